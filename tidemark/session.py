@@ -32,6 +32,8 @@ def build_session(
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
+        # Reports build hundreds of column expressions; do not record a call site for each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in {**RUNTIME_OPTIONS, **extra}.items():
         builder = builder.config(key, value)
