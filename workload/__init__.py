@@ -1,6 +1,6 @@
 """Queries over the shared test tables: Spark reports next to DuckDB SQL."""
 
-from workload import reports_a  # noqa: F401
+from workload import alerts, reports_a, reports_b  # noqa: F401
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -351,7 +351,7 @@ SELECT MIN(CASE WHEN snapid = 9 THEN time END) AS t1, MIN(CASE WHEN snapid = 49
 
 # --- statements --------------------------------------------------------------
 F["statement"] = """
-SELECT snapid, dbid, userid, queryid, CONCAT('select ', CAST(queryid AS STRING)) AS query, n % 3 AS plans,
+SELECT snapid, dbid, userid, queryid, CONCAT('select ', CAST(queryid AS STRING)) AS query, CAST(FLOOR(n / 4) AS BIGINT) AS plans,
        CAST(n AS DOUBLE) / 4 AS total_plan_time, n * 3 AS calls, CAST(p AS DOUBLE) / 8 AS total_exec_time,
        CAST(p AS DOUBLE) / 16 AS shared_blk_read_time, CAST(n AS DOUBLE) AS shared_blk_write_time,
        CAST(n AS DOUBLE) / 2 AS local_blk_read_time, CAST(p AS DOUBLE) / 4 AS local_blk_write_time,
