@@ -162,7 +162,7 @@ def db_rusage(repo: Repository, begin: int, end: int) -> DataFrame:
     return by_name.select(
         F.col("name").alias("datname"),
         *[
-            round_real(F.col(out), "decimal(15,6)").alias(out) if out.endswith("time") else F.col(out)
+            round_real(F.col(out), "decimal(30,6)").alias(out) if out.endswith("time") else F.col(out)
             for out in _RUSAGE
         ],
     )

@@ -131,7 +131,7 @@ def query_statements_rusage(repo: Repository, begin: int, end: int, limit: int |
         grown = sub(F.col(f"e_{c}"), F.col(f"b_{c}"))
         if c.endswith("_time"):
             short = c.replace("_system_time", "_sys_times").replace("_user_time", "_user_times")
-            return round_real(grown, "decimal(15,6)").alias(short)
+            return round_real(grown, "decimal(30,6)").alias(short)
         return grown.alias(c)
 
     return top(joined, _statement_order(), limit).select("rolname", "datname", "query", *[out(c) for c in kept])
