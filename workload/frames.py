@@ -341,6 +341,172 @@ SELECT snapid, dbid, tbl, CAST(attnum AS SMALLINT) AS attnum, CAST(NULL AS DATE)
             ELSE CAST(CAST((tbl * 37 + attnum * 11) % 201 - 100 AS DOUBLE) / 100 AS FLOAT) END AS correlation
 FROM x_rel CROSS JOIN (SELECT 1 AS attnum UNION ALL SELECT 2 UNION ALL SELECT 3) a"""
 
+# --- server log and samples --------------------------------------------------
+_V3 = "LPAD(CAST(v % 1000 AS STRING), 3, '0')"
+_TARGET = """CONCAT('"db', CAST(dbid % 61 AS STRING), '.s', CAST(user_id % 3 AS STRING), '.t', CAST(user_id % 211 AS STRING), '"')"""
+
+
+def _opt(test: str, *parts: str) -> str:
+    return f"CASE WHEN {test} THEN CONCAT({', '.join(parts)}, LINE_BREAK_) ELSE '' END"
+
+
+def _str(expression: str) -> str:
+    return f"CAST({expression} AS STRING)"
+
+
+_INDEX_LINE = "'index \"{0}\": pages: ', CAST(v AS STRING), ' in total, ', CAST(v % 5 AS STRING), ' newly deleted, ', CAST(v % 9 AS STRING), ' currently deleted, ', CAST(v % 4 AS STRING), ' reusable'"
+_SCAN = "CASE v % 4 WHEN 0 THEN 'not needed' WHEN 1 THEN 'needed' WHEN 2 THEN 'bypassed' ELSE 'bypassed by failsafe' END"
+_TAIL = f"""'avg read rate: ', {_str("v % 9")}, '.125 MB/s, avg write rate: ', {_str("v % 8")}, '.500 MB/s', LINE_BREAK_,
+  'buffer usage: ', {_str("v")}, ' hits, ', {_str("v % 31")}, ' misses, ', {_str("v % 7")}, ' dirtied', LINE_BREAK_"""
+_USAGE_LINE = f"""'system usage: CPU: user: 0.01 s, system: 0.02 s, elapsed: ', {_str("v % 100")}, '.25 s'"""
+_VACUUM = f"""CONCAT('automatic vacuum of table ', {_TARGET}, ': index scans: ', {_str("v % 3")}, LINE_BREAK_,
+  'pages: ', {_str("v % 13")}, ' removed, ', {_str("v * 2")}, ' remain, ', {_str("v % 100")}, ' scanned (', {_str("v % 100")}, '.25% of total)', LINE_BREAK_,
+  'tuples: ', {_str("v")}, ' removed, ', {_str("v * 3")}, ' remain, ', {_str("v % 17")}, ' are dead but not yet removable', LINE_BREAK_,
+  {_opt("v % 2 = 0", "'tuples missed: '", _str("v % 5"), "' dead from '", _str("v % 3"), "' pages not removed due to cleanup lock contention'")},
+  'removable cutoff: ', {_str("event_id")}, ', which was 3 XIDs old when operation ended', LINE_BREAK_,
+  {_opt("v % 3 = 0", "'new relfrozenxid: '", _str("event_id + 5"), "', which is 7 XIDs ahead of previous value'")},
+  {_opt("v % 5 = 0", "'new relminmxid: '", _str("event_id + 9"), "', which is 2 MXIDs ahead of previous value'")},
+  {_opt("v % 2 = 1", "'frozen: '", _str("v % 6"), "' pages from table ('", _str("v % 50"), "'.50% of total) had '", _str("v % 23"), "' tuples frozen'")},
+  {_opt("v % 6 < 5", "'index scan '", _SCAN, "': '", _str("v % 13"), "' pages from table ('", _str("v % 40"), "'.75% of total) had '", _str("v % 19"), "' dead item identifiers removed'")},
+  {_opt("v % 3 >= 1", _INDEX_LINE.format("ix_a"))},
+  {_opt("v % 3 = 2", _INDEX_LINE.format("ix b"))},
+  {_opt("v % 7 = 0", "'I/O timings: read: '", _str("v % 30"), "'.500 ms, write: '", _str("v % 20"), "'.250 ms'")},
+  {_TAIL},
+  'WAL usage: ', {_str("v * 4")}, ' records, ', {_str("v % 11")}, ' full page images, ', {_str("v * 50")}, ' bytes', LINE_BREAK_,
+  {_USAGE_LINE})"""
+_ANALYZE = f"""CONCAT('automatic analyze of table ', {_TARGET}, LINE_BREAK_,
+  {_opt("v % 7 = 1", "'I/O timings: read: '", _str("v % 30"), "'.500 ms, write: '", _str("v % 20"), "'.250 ms'")},
+  {_TAIL},
+  {_USAGE_LINE})"""
+_COMPLETE = f"""CONCAT(CASE WHEN v % 11 = 0 THEN 'restartpoint' ELSE 'checkpoint' END, ' complete: wrote ', {_str("v")}, ' buffers (', {_str("v % 100")}, '.5%); ', {_str("v % 7")}, ' WAL file(s) added, ',
+  {_str("v % 5")}, ' removed, ', {_str("v % 3")}, ' recycled; write=', {_str("v % 50")}, '.', {_V3}, ' s, sync=0.', {_V3}, ' s, total=', {_str("v % 60")}, '.', {_V3},
+  ' s; sync files=3, longest=0.001 s, average=0.001 s; distance=5 kB, estimate=6 kB; lsn=0/1A, redo lsn=0/1B')"""
+
+
+def _log(kind: str, level: str, message: str, **fields: str) -> str:
+    """Log records of one kind of event."""
+    absent = {c: "CAST(NULL AS STRING)" for c in ("hint", "context", "user_query")} | {"query_pos": "CAST(NULL AS INT)"}
+    extra = ", ".join(f"{v} AS {c}" for c, v in (absent | fields).items() if c != "pid")
+    return f"""
+SELECT instid, ts AS timestamp, CASE WHEN v % 6 = 0 THEN NULL ELSE CONCAT('u', CAST(user_id % 7 AS STRING)) END AS username,
+       CONCAT('db', CAST(dbid AS STRING)) AS database, CAST({fields.get("pid", "user_id")} AS INT) AS pid,
+       CASE v % 4 WHEN 0 THEN '[local]' WHEN 1 THEN '10.0.0.1:5000' WHEN 2 THEN 'hosty' ELSE NULL END AS client_addr,
+       CONCAT('s', CAST(user_id AS STRING)) AS session_id, event_id AS session_line_num, '{level}' AS elevel,
+       CASE kind WHEN 3 THEN '57014' WHEN 1 THEN '00000' ELSE '42P01' END AS sqlstate, {message} AS message, {extra}
+FROM x_events WHERE {kind}"""
+
+
+_FLAGS = "CASE WHEN v % 5 = 0 THEN 'shutdown immediate' WHEN v % 2 = 0 THEN 'time' ELSE 'wal' END"
+_DDL = "CONCAT('ddl ', CAST(event_id AS STRING))"
+_WORKER = "CAST(100 + user_id % 4 AS STRING)"
+F["log"] = " UNION ALL ".join(
+    [
+        _log("kind = 1", "LOG", f"CONCAT('checkpoint starting: ', {_FLAGS})"),
+        _log("kind = 2", "LOG", _COMPLETE),
+        _log(
+            "kind = 3", "ERROR", "'canceling autovacuum task'", pid="100 + user_id % 4",
+            context=f"CONCAT('while scanning block 7', LINE_BREAK_, 'automatic ', CASE WHEN v % 2 = 0 THEN 'vacuum' ELSE 'analyze' END, ' of table ', {_TARGET})",
+        ),
+        _log("kind = 4", "LOG", _VACUUM, query_pos="CAST(v % 90 AS INT)"),
+        _log(
+            "kind = 5 AND v % 2 = 0", "LOG", "'agent: autovacuum cancel request'",
+            hint=f"CONCAT('sending cancel to blocking autovacuum PID ', {_WORKER})", user_query=_DDL,
+        ),
+        _log("kind = 5 AND v % 2 <> 0", "LOG", _ANALYZE, user_query=_DDL),
+    ]
+)
+F["x_levels"] = """
+SELECT event_id, CASE v % 9 WHEN 0 THEN 'DEBUG' WHEN 1 THEN 'INFO' WHEN 2 THEN 'NOTICE' WHEN 3 THEN 'WARNING' WHEN 4 THEN 'ERROR'
+       WHEN 5 THEN 'LOG' WHEN 6 THEN 'FATAL' WHEN 7 THEN 'PANIC' ELSE 'ALERT' END AS elevel,
+       CASE kind WHEN 1 THEN '00000' WHEN 2 THEN '42P01' WHEN 3 THEN '57014' WHEN 4 THEN '22012' ELSE '23505' END AS sqlstate,
+       CASE WHEN user_id % 5 = 0 THEN NULL ELSE CONCAT('u', CAST(user_id % 7 AS STRING)) END AS username,
+       CASE WHEN v % 10 = 0 THEN 'agent: snapshot requested' ELSE CONCAT('m', CAST(v AS STRING)) END AS message
+FROM x_events"""
+F["x_backends"] = """
+SELECT event_id, instid, ts, DATE_TRUNC('hour', ts) AS sampled_at, user_id AS pid, CONCAT('10.0.0.', CAST(user_id % 250 AS STRING)) AS client,
+       CASE WHEN v % 10 = 0 THEN 'autovacuum worker' ELSE 'client backend' END AS backend_type, user_id = 7 AS is_sampler,
+       CASE WHEN kind = 3 THEN 'Lock' WHEN kind = 1 AND v % 3 = 0 THEN 'IO' END AS wait_event_type,
+       CASE kind WHEN 1 THEN 'idle' WHEN 2 THEN 'idle in transaction' WHEN 5 THEN 'disabled' ELSE 'active' END AS state,
+       DATE_TRUNC('day', ts) AS xact_start, v % 11 = 0 AS in_vacuum, CONCAT('q', CAST(event_id AS STRING)) AS query
+FROM x_events"""
+F["x_disks"] = """
+SELECT instid, event_type AS device, ts AS sampled_at, d, event_id, SUM(v) OVER w % 900000 AS rd_sectors, SUM(v * 3) OVER w % 800000 AS wr_sectors,
+       SUM(v) OVER w % 70000 AS rd_ticks, SUM(v * 2) OVER w % 60000 AS wr_ticks, SUM(v * 5) OVER w % 50000 AS rq_ticks
+FROM x_events WINDOW w AS (PARTITION BY instid, event_type ORDER BY ts, event_id)"""
+F["x_waits"] = """
+SELECT instid, ts AS sampled_at, d, dbid, user_id % 5 AS userid, user_id % 20 AS queryid, 'client backend' AS backend_type,
+       CASE WHEN kind < 4 THEN 'IO' ELSE 'Lock' END AS event_type, CASE WHEN kind <> 5 THEN CONCAT('ev', CAST(v % 4 AS STRING)) END AS event
+FROM x_events"""
+F["x_execs"] = """
+SELECT 1 + l_suppkey % 2 AS instid, l_partkey % 97 AS dbid, CAST(l_linenumber AS BIGINT) AS userid, l_partkey AS queryid,
+       CASE WHEN l_returnflag = 'R' THEN 'plan' ELSE 'exec' END AS kind, l_linestatus = 'O' AS toplevel,
+       CAST(l_quantity AS BIGINT) AS reads, CAST(l_quantity AS BIGINT) * 2 AS writes, l_quantity / 4 AS user_time, l_quantity / 8 AS system_time,
+       CAST(l_linenumber AS BIGINT) AS minflts, l_suppkey AS majflts, l_orderkey AS nvcsws, l_partkey AS nivcsws
+FROM lineitem"""
+F["x_queries"] = """
+SELECT 1 + o_custkey % 2 AS instid, o_custkey AS pid, EXTRACT(YEAR FROM o_orderdate) AS xact, o_orderkey AS executed_at,
+       CONCAT('UPDATE t SET a = ', CAST(o_orderkey AS STRING), REPEAT('x', CAST(o_orderkey % 140 AS INT)), CASE WHEN o_orderstatus = 'F' THEN ';' ELSE '' END) AS query
+FROM orders"""
+
+# --- catalogs ----------------------------------------------------------------
+F["c_databases"] = """
+SELECT snapid, dbid, CONCAT('db', CAST(dbid % 61 AS STRING)) AS datname, n3 < 30 AS datallowconn, instid = 2 AS in_recovery, v AS size,
+       CAST(n AS INT) AS age, v AS xact_commit, n3 AS xact_rollback, v * 3 AS blks_fetched, v AS blks_hit, v * 2 AS tup_returned,
+       n AS tup_fetched, n4 AS tup_inserted, n1 AS tup_updated, n3 AS tup_deleted, n1 AS confl_tablespace, n2 AS confl_lock,
+       n3 AS confl_snapshot, n4 AS confl_bufferpin, n AS confl_deadlock, n1 AS temp_files, v * 5 AS temp_bytes, n3 AS deadlocks,
+       CAST(v AS DOUBLE) / 8 AS blk_read_time, CAST(n AS DOUBLE) / 4 AS blk_write_time
+FROM x_db"""
+F["c_roles"] = """
+SELECT DISTINCT snapid, o_userid AS oid, CONCAT('role', CAST(o_userid AS STRING)) AS rolname FROM (SELECT snapid, userid AS o_userid FROM x_orders) r WHERE o_userid < 4"""
+F["c_settings"] = """
+SELECT snapid, CONCAT('p', event_type) AS name, CAST(n AS STRING) AS setting, 'ms' AS unit,
+       CASE kind WHEN 1 THEN 'client' WHEN 2 THEN 'default' ELSE 'configuration file' END AS source, CAST(n - n % 2 AS STRING) AS boot_val
+FROM x_kind"""
+F["c_namespaces"] = """
+SELECT 1 AS oid, 'public' AS nspname UNION ALL SELECT 2, 'app' UNION ALL SELECT 3, 'pg_toast'"""
+F["c_relations"] = """
+SELECT p_partkey AS oid, 1 + p_partkey % 3 AS relnamespace, 0 AS reltablespace, p_name AS relname,
+       CASE WHEN p_size < 25 THEN p_partkey + 1 ELSE 0 END AS reltoastrelid, CASE p_type WHEN 'ECONOMY' THEN 'i' WHEN 'STANDARD' THEN 't' ELSE 'r' END AS relkind,
+       p_size AS relpages, CAST(p_size * 10 AS FLOAT) AS reltuples, CASE WHEN p_size > 30 THEN ARRAY_('fillfactor=70') END AS reloptions,
+       p_partkey * 100 AS size, p_partkey AS numscans, p_partkey * 2 AS tuples_returned, p_partkey * 3 AS tuples_fetched,
+       p_partkey AS n_tup_ins, p_partkey AS n_tup_upd, p_partkey AS n_tup_del, p_partkey AS n_tup_hot_upd, p_partkey AS n_live_tup,
+       p_partkey AS n_dead_tup, p_partkey AS n_mod_since_analyze, p_partkey * 9 AS blks_fetched, p_partkey * 5 AS blks_hit,
+       CAST(NULL AS TIMESTAMP) AS last_vacuum, CAST(NULL AS TIMESTAMP) AS last_autovacuum, CAST(NULL AS TIMESTAMP) AS last_analyze,
+       CAST(NULL AS TIMESTAMP) AS last_autoanalyze, CAST(403 AS BIGINT) AS relam
+FROM part"""
+F["c_indexes"] = """
+SELECT l_partkey * 10 + l_linenumber AS indexrelid, l_partkey AS indrelid, SUM(CAST(l_quantity AS BIGINT)) > 100 AS indisvalid,
+       l_linenumber = 1 AS indisprimary, l_linenumber < 3 AS indisunique, l_linenumber = 2 AS indisclustered,
+       ARRAY_(CAST(1 AS SMALLINT), CAST(2 AS SMALLINT)) AS indkey, 'CREATE INDEX i ON t USING btree (a)' AS indexdef,
+       COUNT(*) AS numscans, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS tuples_returned,
+       CAST(SUM(CAST(l_quantity AS BIGINT)) * 2 AS BIGINT) AS tuples_fetched, COUNT(*) * 9 AS blks_fetched, COUNT(*) * 4 AS blks_hit
+FROM lineitem GROUP BY l_partkey, l_linenumber"""
+F["c_attributes"] = """
+SELECT l_partkey AS attrelid, CAST(l_linenumber AS SMALLINT) AS attnum, CONCAT('c', CAST(l_linenumber AS STRING)) AS attname,
+       'integer' AS type, -1 AS attstattarget, 'p' AS attstorage, COUNT(*) > 3 AS attnotnull, FALSE AS attisdropped
+FROM lineitem GROUP BY l_partkey, l_linenumber"""
+F["c_statistics"] = """
+SELECT starelid, staattnum, q % 3 = 1 AS stainherit, CAST(4 + q % 60 AS INT) AS stawidth, CAST(q AS FLOAT) AS stadistinct,
+       CASE WHEN q % 4 = 0 THEN 3 ELSE 1 END AS stakind1, CASE WHEN q % 5 = 0 THEN 3 ELSE 2 END AS stakind2,
+       CASE WHEN q % 7 = 0 THEN 3 ELSE 2 END AS stakind3, CASE WHEN q % 2 = 0 THEN 3 ELSE 2 END AS stakind4,
+       ARRAY_(CAST(CAST(q % 100 AS DOUBLE) / 128 AS FLOAT)) AS stanumbers1, ARRAY_(CAST(CAST(q % 90 AS DOUBLE) / 128 AS FLOAT)) AS stanumbers2,
+       ARRAY_(CAST(CAST(q % 80 AS DOUBLE) / 128 AS FLOAT)) AS stanumbers3, ARRAY_(CAST(CAST(q % 70 AS DOUBLE) / 128 AS FLOAT)) AS stanumbers4
+FROM (SELECT l_partkey AS starelid, CAST(l_linenumber AS SMALLINT) AS staattnum, SUM(CAST(l_quantity AS BIGINT)) AS q
+      FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_partkey, l_linenumber) g"""
+F["c_locks"] = """
+SELECT snapid, user_id AS pid, ARRAY_(user_id + 1, user_id + 2) AS blocking_pids, CASE WHEN kind = 4 THEN user_id END AS transactionid,
+       1 + v % 500 AS relation, ts AS waitstart, kind = 1 AS granted
+FROM x_events"""
+F["c_activity"] = """
+SELECT snapid, user_id AS pid, MAX(dbid) AS datid, MAX(CONCAT('app', CAST(event_id AS STRING))) AS application_name, '10.0.0.1' AS client_addr,
+       CAST(NULL AS STRING) AS client_hostname, CAST(5000 AS INT) AS client_port, 'Lock' AS wait_event_type, 'relation' AS wait_event,
+       MAX(CONCAT('upd ', CAST(event_id AS STRING))) AS query
+FROM x_events WHERE kind <> 5 GROUP BY snapid, user_id"""
+F["c_last"] = """
+SELECT snapid, user_id AS pid, MAX(CONCAT('last ', CAST(event_id AS STRING))) AS queries FROM x_events WHERE kind <> 2 GROUP BY snapid, user_id"""
+F["c_prepared"] = """
+SELECT snapid, user_id AS transaction, MIN(CONCAT('gid', CAST(event_id AS STRING))) AS gid FROM x_events WHERE kind = 4 AND v > 5000 GROUP BY snapid, user_id"""
+
 # --- scope of the checked reports ------------------------------------------
 F["o_scope"] = """
 SELECT snapid, instid, time FROM snapshot WHERE instid = 1 AND snapid BETWEEN 9 AND 49"""
@@ -423,14 +589,14 @@ def duckdb_sql(sql: str) -> str:
 
 
 def _quote_aliases(sql: str) -> str:
-    return re.sub(r"\bAS (table|index|column|start|timestamp|time)\b", r'AS "\1"', sql)
+    return re.sub(r"\bAS (table|index|column|start|timestamp|time|transaction|setting|name|size)\b", r'AS "\1"', sql)
 
 
 def spark_frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     names = [n for n in _ordered(F[name])]
     body = ",\n".join(f"`{n}` AS ({F[n]})" for n in names)
     text = _translate((f"WITH {body}\n" if names else "") + F[name], SPARK)
-    text = re.sub(r"\bAS (table|index|column|start|timestamp|time)\b", r"AS `\1`", text)
+    text = re.sub(r"\bAS (table|index|column|start|timestamp|time|transaction|setting|name|size)\b", r"AS `\1`", text)
     for base in BASE_TABLES:
         text = re.sub(rf"\b(FROM|JOIN) {base}\b", rf"\1 parquet.`{sf_dir}/{base}.parquet`", text)
     return spark.sql(text)
@@ -446,7 +612,8 @@ class DerivedRepository(Repository):
     def _open(self, name: str) -> DataFrame:
         if name in F:
             frame = spark_frame(self.spark, self.sf_dir, name)
-            missing = [f for f in schemas.struct(name) if f.name not in frame.columns]
+            wanted = schemas.struct(name) if name in schemas.DDL else []
+            missing = [f for f in wanted if f.name not in frame.columns]
             return frame.withColumns({f.name: _null(f) for f in missing}) if missing else frame
         return super()._open(name)
 
