@@ -17,14 +17,12 @@ from tidemark.streaming.patterns import line_capture, lines_capture, msg_capture
 
 # Server message formats.
 CHECKPOINT_STARTING = "%s starting: %s"
-_COMPLETE = (
-    " complete: wrote %d buffers (%.1f%%); %d WAL file(s) added, %d removed, %d recycled; "
+CHECKPOINT_COMPLETE = (
+    "%s complete: wrote %d buffers (%.1f%%); %d WAL file(s) added, %d removed, %d recycled; "
     "write=%ld.%03d s, sync=%ld.%03d s, total=%ld.%03d s; "
     "sync files=%d, longest=%ld.%03d s, average=%ld.%03d s; "
     "distance=%d kB, estimate=%d kB; lsn=%X/%X, redo lsn=%X/%X"
 )
-CHECKPOINT_COMPLETE = "checkpoint" + _COMPLETE
-RESTARTPOINT_COMPLETE = "restartpoint" + _COMPLETE
 VACUUM = (
     '%s vacuum%s "%s.%s.%s": index scans: %d\n'
     "pages: %u removed, %u remain, %u scanned (%.2f%% of total)\n"
@@ -77,7 +75,7 @@ def checkpoint_records(log: DataFrame) -> DataFrame:
     message = F.col("message")
     begun = msg_capture(message, CHECKPOINT_STARTING)
     starting = F.element_at(begun, 1).isin("checkpoint", "restartpoint")
-    done = F.coalesce(msg_capture(message, CHECKPOINT_COMPLETE), msg_capture(message, RESTARTPOINT_COMPLETE))
+    done = msg_capture(message, CHECKPOINT_COMPLETE)
     relevant = log.where((F.col("elevel") == "LOG") & message.rlike("^(checkpoint|restartpoint) (starting|complete):"))
     flags = F.element_at(begun, 2)
     return (
@@ -92,8 +90,8 @@ def checkpoint_records(log: DataFrame) -> DataFrame:
     )
 
 
-_CHECKPOINT_FIGURES = {"num_buffers": 0, "xlog_added": 2, "xlog_removed": 3, "xlog_recycled": 4}
-_CHECKPOINT_TIMES = {"write_duration": 5, "sync_duration": 7, "total_duration": 9}
+_CHECKPOINT_FIGURES = {"num_buffers": 1, "xlog_added": 3, "xlog_removed": 4, "xlog_recycled": 5}
+_CHECKPOINT_TIMES = {"write_duration": 6, "sync_duration": 8, "total_duration": 10}
 
 
 def _checkpoint_row(paired: DataFrame) -> DataFrame:

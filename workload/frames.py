@@ -21,6 +21,7 @@ BASE_TABLES = (
 
 SPARK = {
     "ARRAY_(": "array(",
+    "EXPLODE_(": "explode(",
     "NO_TEXTS_": "CAST(array() AS ARRAY<STRING>)",
     "NO_LONGS_": "CAST(array() AS ARRAY<BIGINT>)",
     "MICROS_(": "unix_micros(",
@@ -30,6 +31,7 @@ SPARK = {
 }
 DUCKDB = {
     "ARRAY_(": "list_value(",
+    "EXPLODE_(": "unnest(",
     "NO_TEXTS_": "CAST(list_value() AS VARCHAR[])",
     "NO_LONGS_": "CAST(list_value() AS BIGINT[])",
     "MICROS_(": "epoch_us(",
@@ -384,7 +386,11 @@ _COMPLETE = f"""CONCAT(CASE WHEN v % 11 = 0 THEN 'restartpoint' ELSE 'checkpoint
 
 
 def _log(kind: str, level: str, message: str, **fields: str) -> str:
-    """Log records of one kind of event."""
+    """Log records of one kind of event.
+
+    The message passes a one-element explode, so that filters on it read a column
+    as they would on stored logs and do not rebuild the text.
+    """
     absent = {c: "CAST(NULL AS STRING)" for c in ("hint", "context", "user_query")} | {"query_pos": "CAST(NULL AS INT)"}
     extra = ", ".join(f"{v} AS {c}" for c, v in (absent | fields).items() if c != "pid")
     return f"""
@@ -392,7 +398,7 @@ SELECT instid, ts AS timestamp, CASE WHEN v % 6 = 0 THEN NULL ELSE CONCAT('u', C
        CONCAT('db', CAST(dbid AS STRING)) AS database, CAST({fields.get("pid", "user_id")} AS INT) AS pid,
        CASE v % 4 WHEN 0 THEN '[local]' WHEN 1 THEN '10.0.0.1:5000' WHEN 2 THEN 'hosty' ELSE NULL END AS client_addr,
        CONCAT('s', CAST(user_id AS STRING)) AS session_id, event_id AS session_line_num, '{level}' AS elevel,
-       CASE kind WHEN 3 THEN '57014' WHEN 1 THEN '00000' ELSE '42P01' END AS sqlstate, {message} AS message, {extra}
+       CASE kind WHEN 3 THEN '57014' WHEN 1 THEN '00000' ELSE '42P01' END AS sqlstate, EXPLODE_(ARRAY_({message})) AS message, {extra}
 FROM x_events WHERE {kind}"""
 
 
@@ -475,7 +481,7 @@ SELECT p_partkey AS oid, 1 + p_partkey % 3 AS relnamespace, 0 AS reltablespace,
        CAST(NULL AS TIMESTAMP) AS last_autoanalyze, CAST(403 AS BIGINT) AS relam
 FROM part"""
 F["c_indexes"] = """
-SELECT l_partkey * 10 + l_linenumber AS indexrelid, l_partkey AS indrelid, SUM(CAST(l_quantity AS BIGINT)) > 100 AS indisvalid,
+SELECT 1000000000 + l_partkey * 10 + l_linenumber AS indexrelid, l_partkey AS indrelid, SUM(CAST(l_quantity AS BIGINT)) > 100 AS indisvalid,
        l_linenumber = 1 AS indisprimary, l_linenumber < 3 AS indisunique, l_linenumber = 2 AS indisclustered,
        ARRAY_(CAST(1 AS SMALLINT), CAST(2 AS SMALLINT)) AS indkey, 'CREATE INDEX i ON t USING btree (a)' AS indexdef,
        COUNT(*) AS numscans, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS tuples_returned,
