@@ -72,8 +72,7 @@ def _plain(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
-def _fire(
-    df: DataFrame,
+def _rule(
     rule: str,
     value: Column,
     threshold: str,
@@ -81,19 +80,28 @@ def _fire(
     below: bool = False,
     entity: Column | None = None,
     shown: Column | None = None,
-) -> DataFrame:
+) -> Column:
+    """One threshold check: the alert's fields if it fires, else NULL."""
     limit = F.col(threshold)
     broken = (value < limit) if below else (value > limit)
-    return df.where((limit >= 0) & broken).select(
-        "snapid",
-        F.lit(rule).alias("rule"),
-        (F.lit(None).cast("string") if entity is None else entity).alias("entity"),
-        value.cast("double").alias("value"),
-        limit.cast("double").alias("threshold"),
-        message(_plain(value) if shown is None else shown, _plain(limit)).alias("message"),
+    return F.when(
+        (limit >= 0) & broken,
+        F.struct(
+            F.lit(rule).alias("rule"),
+            (F.lit(None).cast("string") if entity is None else entity).alias("entity"),
+            value.cast("double").alias("value"),
+            limit.cast("double").alias("threshold"),
+            message(_plain(value) if shown is None else shown, _plain(limit)).alias("message"),
+        ),
     )
 
 
+def _fire(df: DataFrame, *rules: Column) -> DataFrame:
+    """Alerts of all checks on one frame, which is read once however many checks there are."""
+    fired = F.filter(F.array(*rules), lambda alert: alert.isNotNull())
+    return df.select("snapid", F.explode(fired).alias("alert")).select("snapid", "alert.*")
+
+
 def _text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
@@ -126,14 +134,10 @@ def rule_xact(given: AlertInput) -> DataFrame:
     rollbacks = div(F.col("rollbacks") - F.col("p_rollbacks"), F.col("lasted"))
     commits = div(F.col("commits") - F.col("p_commits"), F.col("lasted"))
     return _fire(
-        both, "rollback_tps", rollbacks, "rollback_tps",
-        lambda v, t: _between_text("too many rollbacks", v, "Rollbacks/sec", t),
-    ).unionByName(
-        _fire(
-            both, "commit_tps", commits, "commit_tps",
-            lambda v, t: _between_text("too many transactions", v, "Transactions/sec", t),
-        )
-    )
+        both,
+        _rule("rollback_tps", rollbacks, "rollback_tps", lambda v, t: _between_text("too many rollbacks", v, "Rollbacks/sec", t)),
+        _rule("commit_tps", commits, "commit_tps", lambda v, t: _between_text("too many transactions", v, "Transactions/sec", t)),
+    )
 
 
 def rule_garbage(given: AlertInput) -> DataFrame:
@@ -151,28 +155,18 @@ def rule_garbage(given: AlertInput) -> DataFrame:
     totals = given.judged.join(sums, "snapid")
     each = given.judged.join(tables.where(big), "snapid")
     who = _text(F.col("database"), ".", F.col("schema"), ".", F.col("table"))
-    return (
-        _fire(
-            totals, "garbage_size", div(F.col("garbage"), F.lit(1048576)), "garbage_size",
-            lambda v, t: _at_text("dead tuple size exceeds threshold", v, t, "MiB"),
-        )
-        .unionByName(
-            _fire(
-                totals, "garbage_percent", div(F.col("big_garbage") * 100, F.col("big_size")), "garbage_percent",
-                lambda v, t: _at_text("dead tuple ratio exceeds threshold", v, t, "%"),
-            )
-        )
-        .unionByName(
-            _fire(
-                each, "garbage_percent_table", F.col("dead") * 100, "garbage_percent_table",
-                lambda v, t: _text(
-                    "dead tuple ratio in '", who, "' exceeds threshold in snapshot '", F.col("now"), "' --- ", v,
-                    " % (threshold = ", t, " %)",
-                ),
-                entity=who,
-            )
-        )
-    )
+    size_text = lambda v, t: _at_text("dead tuple size exceeds threshold", v, t, "MiB")
+    ratio_text = lambda v, t: _at_text("dead tuple ratio exceeds threshold", v, t, "%")
+    table_text = lambda v, t: _text(
+        "dead tuple ratio in '", who, "' exceeds threshold in snapshot '", F.col("now"), "' --- ", v, " % (threshold = ", t, " %)"
+    )
+    summed = _fire(
+        totals,
+        _rule("garbage_size", div(F.col("garbage"), F.lit(1048576)), "garbage_size", size_text),
+        _rule("garbage_percent", div(F.col("big_garbage") * 100, F.col("big_size")), "garbage_percent", ratio_text),
+    )
+    single = _fire(each, _rule("garbage_percent_table", F.col("dead") * 100, "garbage_percent_table", table_text, entity=who))
+    return summed.unionByName(single)
 
 
 def rule_query(given: AlertInput) -> DataFrame:
@@ -192,25 +186,19 @@ def rule_query(given: AlertInput) -> DataFrame:
     times = per_call.groupBy("snapid").agg(F.avg("per_call").alias("mean"), F.max("per_call").alias("worst"))
     both = given.judged.join(times, "snapid")
     cents = lambda c: F.col(c).cast("decimal(38,12)").cast("decimal(10,2)").cast("string")
+    mean_text = lambda v, t: _between_text("Query average response time exceeds threshold", v, "sec", t)
+    worst_text = lambda v, t: _between_text("Query worst response time exceeds threshold", v, "sec", t)
     return _fire(
-        both, "response_avg", F.col("mean"), "response_avg",
-        lambda v, t: _between_text("Query average response time exceeds threshold", v, "sec", t),
-        shown=cents("mean"),
-    ).unionByName(
-        _fire(
-            both, "response_worst", F.col("worst"), "response_worst",
-            lambda v, t: _between_text("Query worst response time exceeds threshold", v, "sec", t),
-            shown=cents("worst"),
-        )
-    )
+        both,
+        _rule("response_avg", F.col("mean"), "response_avg", mean_text, shown=cents("mean")),
+        _rule("response_worst", F.col("worst"), "response_worst", worst_text, shown=cents("worst")),
+    )
 
 
 def rule_activity(given: AlertInput) -> DataFrame:
     both = given.judged.join(given.fact("activity").select("snapid", "max_backends"), "snapid")
-    return _fire(
-        both, "backend_max", F.col("max_backends"), "backend_max",
-        lambda v, t: _at_text("too many backends", v, t),
-    )
+    text = lambda v, t: _at_text("too many backends", v, t)
+    return _fire(both, _rule("backend_max", F.col("max_backends"), "backend_max", text))
 
 
 def rule_correlation(given: AlertInput) -> DataFrame:
@@ -225,38 +213,34 @@ def rule_correlation(given: AlertInput) -> DataFrame:
     both = given.judged.join(clustered.join(column, ["snapid", "dbid", "tbl", "attnum"]), "snapid")
     percent = (F.abs("correlation").cast("double") * 100).cast("decimal(38,12)").cast("decimal(5,2)")
     who = _text(F.col("database"), ".", F.col("schema"), ".", F.col("table"))
-    return _fire(
-        both, "correlation_percent", percent, "correlation_percent",
-        lambda v, t: _at_text("correlation of the clustered table fell below threshold", v, t, "%", who=who),
-        below=True, entity=who,
-    )
+    text = lambda v, t: _at_text(
+        "correlation of the clustered table fell below threshold", v, t, "%", who=who
+    )
+    return _fire(both, _rule("correlation_percent", percent, "correlation_percent", text, below=True, entity=who))
 
 
 def rule_resource(given: AlertInput) -> DataFrame:
     disk = given.judged.join(given.fact("tablespace").select("snapid", "name", "avail", "total"), "snapid")
     load = given.judged.join(given.fact("loadavg"), "snapid")
     memory = given.judged.join(given.fact("memory").select("snapid", "swap"), "snapid")
-    fired = _fire(
-        disk, "disk_remain_percent", div(F.col("avail"), F.col("total")) * 100, "disk_remain_percent",
-        lambda v, t: _text(
-            "free disk space ratio at '", F.col("name"), "' fell below threshold in snapshot '", F.col("now"),
-            "' --- ", v, " % (threshold = ", t, " %)",
-        ),
-        below=True, entity=F.col("name"),
+    disk_text = lambda v, t: _text(
+        "free disk space ratio at '", F.col("name"), "' fell below threshold in snapshot '", F.col("now"), "' --- ", v,
+        " % (threshold = ", t, " %)",
     )
-    for minutes in (1, 5, 15):
-        fired = fired.unionByName(
-            _fire(
-                load, f"loadavg_{minutes}min", F.col(f"loadavg{minutes}"), f"loadavg_{minutes}min",
-                lambda v, t, m=minutes: _at_text(f"load average {m}min exceeds threshold", v, t),
-            )
-        )
-    return fired.unionByName(
-        _fire(
-            memory, "swap_size", F.col("swap"), "swap_size",
-            lambda v, t: _at_text("memory swap size exceeds threshold", v, t, "KiB"),
+    free = div(F.col("avail"), F.col("total")) * 100
+    loads = [
+        _rule(
+            f"loadavg_{m}min", F.col(f"loadavg{m}"), f"loadavg_{m}min",
+            lambda v, t, m=m: _at_text(f"load average {m}min exceeds threshold", v, t),
         )
-    )
+        for m in (1, 5, 15)
+    ]
+    swap_text = lambda v, t: _at_text("memory swap size exceeds threshold", v, t, "KiB")
+    return (
+        _fire(disk, _rule("disk_remain_percent", free, "disk_remain_percent", disk_text, below=True, entity=F.col("name")))
+        .unionByName(_fire(load, *loads))
+        .unionByName(_fire(memory, _rule("swap_size", F.col("swap"), "swap_size", swap_text)))
+    )
 
 
 def rule_replication(given: AlertInput) -> DataFrame:
@@ -276,9 +260,11 @@ def rule_replication(given: AlertInput) -> DataFrame:
             " MiB (threshold = ", t, " MiB)",
         )
 
-    flush = _fire(both, "rep_flush_delay", lag("flush_location"), "rep_flush_delay", text("WAL flush-delay"), entity=client)
-    replay = _fire(both, "rep_replay_delay", lag("replay_location"), "rep_replay_delay", text("replay-delay"), entity=client)
-    return flush.unionByName(replay)
+    return _fire(
+        both,
+        _rule("rep_flush_delay", lag("flush_location"), "rep_flush_delay", text("WAL flush-delay"), entity=client),
+        _rule("rep_replay_delay", lag("replay_location"), "rep_replay_delay", text("replay-delay"), entity=client),
+    )
 
 
 RULES: dict[str, Callable[[AlertInput], DataFrame]] = {

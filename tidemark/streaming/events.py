@@ -63,6 +63,11 @@ def _item(c: str, i: int) -> Column:
     return F.get(F.col(c), F.lit(i))
 
 
+def _column_of(c: str, i: int) -> Column:
+    """One field of every captured line; no array without parsed options gives an empty array."""
+    return F.coalesce(F.transform(c, lambda line: F.get(line, F.lit(i))), F.array().cast("array<string>"))
+
+
 def _seconds(c: str, i: int) -> Column:
     return F.concat(_item(c, i), F.lit("."), _item(c, i + 1)).cast("float")
 
@@ -123,13 +128,24 @@ def autovacuum_events(log: DataFrame) -> DataFrame:
         .select("*", msg_capture(_item("v", 27), RUSAGE).alias("u"), _item("v", 13).alias("missed"), _item("v", 16).alias("extra"))
         .where(F.col("u").isNotNull())
     )
-    missed, extra = F.col("missed"), F.col("extra")
-    kind_text = line_capture(extra, INDEX_SCAN, 1)
     kind = F.lit(None).cast("int")
     for text, number in INDEX_SCAN_KINDS.items():
-        kind = F.when(F.col("scan_kind") == text, number).otherwise(kind)
-    parsed = parsed.withColumn("scan_kind", kind_text)
-    parsed = parsed.where(F.col("scan_kind").isNull() | F.col("scan_kind").isin(*INDEX_SCAN_KINDS))
+        kind = F.when(_item("scan", 0) == text, number).otherwise(kind)
+    parsed = parsed.select(
+        "instid",
+        "timestamp",
+        "v",
+        "u",
+        line_capture(F.col("missed"), TUPLES_MISSED).alias("missed"),
+        *[
+            line_capture(F.col("extra"), pattern).alias(name)
+            for name, pattern in (
+                ("xid", FROZEN_XID), ("mxid", MIN_MXID), ("frozen", FROZEN_PAGES), ("scan", INDEX_SCAN), ("io", IO_TIMINGS)
+            )
+        ],
+        lines_capture(F.col("extra"), INDEX_LINE).alias("indexes"),
+    )
+    parsed = parsed.where(F.col("scan").isNull() | kind.isNotNull())
     elapsed = _item("u", 2)
     v = lambda i, kind_: _item("v", i).cast(kind_)
     big = lambda c: c.cast("bigint")
@@ -157,24 +173,24 @@ def autovacuum_events(log: DataFrame) -> DataFrame:
         "wal_page_images": v(25, "bigint"),
         "wal_bytes": v(26, "bigint"),
         "duration": elapsed.cast("float"),
-        "tup_miss_dead": big(line_capture(missed, TUPLES_MISSED, 1)),
-        "tup_miss_dead_pages": big(line_capture(missed, TUPLES_MISSED, 2)),
-        "new_relfrozenxid": line_capture(extra, FROZEN_XID, 1).cast("decimal(20,0)"),
-        "new_relminmxid": line_capture(extra, MIN_MXID, 1).cast("decimal(20,0)"),
-        "frozen_pages": big(line_capture(extra, FROZEN_PAGES, 1)),
-        "frozen_pages_ratio": line_capture(extra, FROZEN_PAGES, 2).cast("double"),
-        "frozen_tuples": big(line_capture(extra, FROZEN_PAGES, 3)),
+        "tup_miss_dead": big(_item("missed", 0)),
+        "tup_miss_dead_pages": big(_item("missed", 1)),
+        "new_relfrozenxid": _item("xid", 0).cast("decimal(20,0)"),
+        "new_relminmxid": _item("mxid", 0).cast("decimal(20,0)"),
+        "frozen_pages": big(_item("frozen", 0)),
+        "frozen_pages_ratio": _item("frozen", 1).cast("double"),
+        "frozen_tuples": big(_item("frozen", 2)),
         "index_scan_ptn": kind,
-        "dead_lp_pages": big(line_capture(extra, INDEX_SCAN, 2)),
-        "dead_lp_pages_ratio": line_capture(extra, INDEX_SCAN, 3).cast("double"),
-        "dead_lp": big(line_capture(extra, INDEX_SCAN, 5)),
-        "index_names": lines_capture(extra, INDEX_LINE, 1),
-        "index_pages_total": lines_capture(extra, INDEX_LINE, 2).cast("array<bigint>"),
-        "index_pages_new_del": lines_capture(extra, INDEX_LINE, 3).cast("array<bigint>"),
-        "index_pages_current_del": lines_capture(extra, INDEX_LINE, 4).cast("array<bigint>"),
-        "index_pages_reusable": lines_capture(extra, INDEX_LINE, 5).cast("array<bigint>"),
-        "io_timings_read": line_capture(extra, IO_TIMINGS, 1).cast("double"),
-        "io_timings_write": line_capture(extra, IO_TIMINGS, 2).cast("double"),
+        "dead_lp_pages": big(_item("scan", 1)),
+        "dead_lp_pages_ratio": _item("scan", 2).cast("double"),
+        "dead_lp": big(_item("scan", 4)),
+        "index_names": _column_of("indexes", 0),
+        "index_pages_total": _column_of("indexes", 1).cast("array<bigint>"),
+        "index_pages_new_del": _column_of("indexes", 2).cast("array<bigint>"),
+        "index_pages_current_del": _column_of("indexes", 3).cast("array<bigint>"),
+        "index_pages_reusable": _column_of("indexes", 4).cast("array<bigint>"),
+        "io_timings_read": _item("io", 0).cast("double"),
+        "io_timings_write": _item("io", 1).cast("double"),
     }
     return parsed.select(*[columns[c].alias(c) for c in schemas.struct("autovacuum").names])
 
@@ -185,7 +201,7 @@ def autoanalyze_events(log: DataFrame) -> DataFrame:
         log.where((F.col("elevel") == "LOG") & message.startswith("automatic analyze"))
         .select("instid", "timestamp", msg_capture(message, ANALYZE).alias("a"))
         .where(F.col("a").isNotNull())
-        .select("*", msg_capture(_item("a", 11), RUSAGE).alias("u"))
+        .select("*", msg_capture(_item("a", 11), RUSAGE).alias("u"), line_capture(_item("a", 3), IO_TIMINGS).alias("io"))
         .where(F.col("u").isNotNull())
     )
     elapsed = _item("u", 2)
@@ -199,7 +215,7 @@ def autoanalyze_events(log: DataFrame) -> DataFrame:
         _item("a", 4).cast("double").alias("read_rate"),
         _item("a", 6).cast("double").alias("write_rate"),
         elapsed.cast("float").alias("duration"),
-        *[line_capture(_item("a", 3), IO_TIMINGS, i).cast("double").alias(f"io_timings_{k}") for i, k in ((1, "read"), (2, "write"))],
+        *[_item("io", i).cast("double").alias(f"io_timings_{k}") for i, k in ((0, "read"), (1, "write"))],
     )
 
 
@@ -215,7 +231,7 @@ def cancel_records(log: DataFrame) -> DataFrame:
     )
     cancel = (F.col("elevel") == "ERROR") & (F.col("message") == CANCEL)
     worker = F.element_at(msg_capture(F.col("hint"), CANCEL_REQUEST), 1).try_cast("int")
-    target = [line_capture(F.col("context"), CANCEL_CONTEXT, i) for i in (1, 2, 3, 4)]
+    target = line_capture(F.col("context"), CANCEL_CONTEXT)
     return (
         log.where(F.coalesce(request, F.lit(False)) | F.coalesce(cancel, F.lit(False)))
         .select(
@@ -224,8 +240,10 @@ def cancel_records(log: DataFrame) -> DataFrame:
             *ORDER,
             F.when(cancel, "cancel").otherwise("request").alias("kind"),
             F.col("user_query").alias("query"),
-            *[c.alias(name) for c, name in zip(target, ("work", "database", "schema", "table"), strict=True)],
+            target.alias("_target"),
         )
+        .select("*", *[_item("_target", i).alias(name) for i, name in enumerate(("work", "database", "schema", "table"))])
+        .drop("_target")
         .where(F.col("worker").isNotNull() & ((F.col("kind") == "request") | F.col("work").isNotNull()))
     )
 

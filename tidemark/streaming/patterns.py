@@ -44,14 +44,22 @@ def msg_capture(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(regex), F.split(F.regexp_replace(text, regex, joined), _SEPARATOR, -1))
 
 
-def line_capture(text: Column, pattern: str, group: int) -> Column:
-    """One group of the first line that matches ``pattern``, NULL without one."""
-    body = to_regex(pattern).removeprefix(r"(?s)\A").removesuffix(r"\z")
-    regex = rf"(?m)^{body}$"
-    return F.when(text.rlike(regex), F.regexp_extract(text, regex, group))
+def line_starting(text: Column, head: str) -> Column:
+    """First line that starts with ``head`` (a cheap anchored search), NULL without one."""
+    return F.nullif(F.regexp_extract(text, rf"(?m)^({re.escape(head)}.*)$", 1), F.lit(""))
 
 
-def lines_capture(text: Column, pattern: str, group: int) -> Column:
-    """One group of every matching line, in order."""
-    body = to_regex(pattern).removeprefix(r"(?s)\A").removesuffix(r"\z")
-    return F.regexp_extract_all(text, F.lit(rf"(?m)^{body}$"), group)
+def line_capture(text: Column, pattern: str) -> Column:
+    """Captures of the first line that starts like ``pattern``, NULL if none matches.
+
+    The full text is only searched for the line's fixed beginning; the pattern
+    itself is matched against that one line.
+    """
+    return msg_capture(line_starting(text, pattern[: pattern.index("%")]), pattern)
+
+
+def lines_capture(text: Column, pattern: str) -> Column:
+    """Captures of every line that starts like ``pattern``, as an array of arrays."""
+    head = re.escape(pattern[: pattern.index("%")])
+    lines = F.regexp_extract_all(text, F.lit(rf"(?m)^({head}.*)$"), 1)
+    return F.filter(F.transform(lines, lambda line: msg_capture(line, pattern)), lambda c: c.isNotNull())
