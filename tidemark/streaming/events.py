@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions.clock import minus_seconds
 from tidemark.operators.delta import with_previous_in_time
-from tidemark.streaming.patterns import line_capture, lines_capture, msg_capture, msg_match
+from tidemark.streaming.patterns import line_capture, lines_capture, matched, msg_capture, msg_match
 
 # Server message formats.
 CHECKPOINT_STARTING = "%s starting: %s"
@@ -121,13 +121,12 @@ def checkpoint_events(log: DataFrame) -> DataFrame:
 def autovacuum_events(log: DataFrame) -> DataFrame:
     """``autovacuum`` rows; the start is the record's time minus the elapsed time."""
     message = F.col("message")
-    parsed = (
-        log.where((F.col("elevel") == "LOG") & message.startswith("automatic") & message.contains(" vacuum"))
-        .select("instid", "timestamp", msg_capture(message, VACUUM).alias("v"))
-        .where(F.col("v").isNotNull())
-        .select("*", msg_capture(_item("v", 27), RUSAGE).alias("u"), _item("v", 13).alias("missed"), _item("v", 16).alias("extra"))
-        .where(F.col("u").isNotNull())
-    )
+    candidates = log.where(
+        (F.col("elevel") == "LOG") & message.startswith("automatic") & message.contains(" vacuum")
+    ).select("instid", "timestamp", "message")
+    parsed = matched(candidates, message, VACUUM, "v").drop("message")
+    parsed = matched(parsed, _item("v", 27), RUSAGE, "u")
+    parsed = parsed.select("*", _item("v", 13).alias("missed"), _item("v", 16).alias("extra"))
     kind = F.lit(None).cast("int")
     for text, number in INDEX_SCAN_KINDS.items():
         kind = F.when(_item("scan", 0) == text, number).otherwise(kind)
@@ -145,7 +144,9 @@ def autovacuum_events(log: DataFrame) -> DataFrame:
         ],
         lines_capture(F.col("extra"), INDEX_LINE).alias("indexes"),
     )
-    parsed = parsed.where(F.col("scan").isNull() | kind.isNotNull())
+    # a record with an unknown kind of index scan is dropped (no pushed filter, as in matched())
+    usable = F.when(F.col("scan").isNull() | kind.isNotNull(), F.lit(True))
+    parsed = parsed.select("*", F.explode(F.array_compact(F.array(usable))).alias("_usable"))
     elapsed = _item("u", 2)
     v = lambda i, kind_: _item("v", i).cast(kind_)
     big = lambda c: c.cast("bigint")
@@ -197,13 +198,12 @@ def autovacuum_events(log: DataFrame) -> DataFrame:
 
 def autoanalyze_events(log: DataFrame) -> DataFrame:
     message = F.col("message")
-    parsed = (
-        log.where((F.col("elevel") == "LOG") & message.startswith("automatic analyze"))
-        .select("instid", "timestamp", msg_capture(message, ANALYZE).alias("a"))
-        .where(F.col("a").isNotNull())
-        .select("*", msg_capture(_item("a", 11), RUSAGE).alias("u"), line_capture(_item("a", 3), IO_TIMINGS).alias("io"))
-        .where(F.col("u").isNotNull())
+    candidates = log.where((F.col("elevel") == "LOG") & message.startswith("automatic analyze")).select(
+        "instid", "timestamp", "message"
     )
+    parsed = matched(candidates, message, ANALYZE, "a").drop("message")
+    parsed = matched(parsed, _item("a", 11), RUSAGE, "u")
+    parsed = parsed.select("*", line_capture(_item("a", 3), IO_TIMINGS).alias("io"))
     elapsed = _item("u", 2)
     return parsed.select(
         "instid",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _CONVERSION = re.compile(r"%(?:%|[-+ 0#]*\d*(?:\.\d+)?(?:hh|h|ll|l)?[sduifX])")
@@ -32,16 +32,27 @@ def msg_match(text: Column, pattern: str) -> Column:
     return text.rlike(to_regex(pattern))
 
 
+def _captured(text: Column, regex: str) -> Column:
+    """All groups as an array: one replacement writes them between separators."""
+    groups = re.compile(regex.replace(r"\z", r"\Z")).groups
+    joined = _SEPARATOR.join(f"${i}" for i in range(1, groups + 1))
+    return F.split(F.regexp_replace(text, regex, joined), _SEPARATOR, -1)
+
+
 def msg_capture(text: Column, pattern: str) -> Column:
-    """Array of all captures of a matching text, NULL otherwise.
+    """Array of all captures of a matching text, NULL otherwise."""
+    regex = to_regex(pattern)
+    return F.when(text.rlike(regex), _captured(text, regex))
 
-    One replacement writes every group between separators, so the expression is
-    matched once however many fields the message has.
+
+def matched(df: DataFrame, text: Column, pattern: str, name: str) -> DataFrame:
+    """Rows whose text matches, with the captures as column ``name``.
+
+    The match drops rows through a generator instead of a filter: a filter on the
+    captures would be pushed below their projection and match the text again for
+    every later condition.
     """
-    regex = to_regex(pattern)
-    groups = re.compile(regex.replace(r"\z", r"\Z")).groups
-    joined = _SEPARATOR.join(f"${i}" for i in range(1, groups + 1))
-    return F.when(text.rlike(regex), F.split(F.regexp_replace(text, regex, joined), _SEPARATOR, -1))
+    return df.select("*", F.explode(F.array_compact(F.array(msg_capture(text, pattern)))).alias(name))
 
 
 def line_starting(text: Column, head: str) -> Column:
