@@ -250,7 +250,7 @@ ROWS["statement"] = [
 ]
 
 
-_WRITTEN: dict[int, str] = {}
+_WRITTEN: dict[int, tuple[list, str]] = {}  # keeps the rows alive, so an id stays theirs
 
 
 def build(spark, rows=None) -> Repository:
@@ -262,6 +262,6 @@ def build(spark, rows=None) -> Repository:
             path = f"{tempfile.mkdtemp(prefix='tidemark-fixture-')}/{name}"
             local = spark.createDataFrame([tuple(r.get(c) for c in schema.names) for r in given], schema)
             local.coalesce(1).write.parquet(path)
-            _WRITTEN[id(given)] = path
-        frames[name] = spark.read.schema(schema).parquet(_WRITTEN[id(given)])
+            _WRITTEN[id(given)] = (given, path)
+        frames[name] = spark.read.schema(schema).parquet(_WRITTEN[id(given)][1])
     return Repository(spark, frames)

@@ -116,6 +116,11 @@ CHANGE_ONLY = ("cpuinfo", "meminfo")
 DATED_FACTS = ("table", "index", "column")
 
 
+def column_names(name: str) -> list[str]:
+    """Columns of a table in order (needs no session)."""
+    return [part.split(" ", 1)[0] for part in _columns(DDL[name])]
+
+
 def struct(name: str) -> T.StructType:
     # StructType.fromDDL needs reserved words quoted
     quoted = []

@@ -100,7 +100,7 @@ def _start(df: DataFrame, checkpoint: str, deliver: Callable[[DataFrame, int], N
 def _with_previous_record(records: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Add ``prev_x`` from the key's previous record, kept as one row of state.
 
-    Only records of interest reach this operator (a few per server and minute);
+    State of a key that stays silent for a day of event time is dropped.  Only records of interest reach this operator (a few per server and minute);
     they arrive Arrow-batched and are ordered by time inside a micro-batch.
     """
     kept = {c: records.schema[c].dataType for c in cols}
@@ -122,11 +122,12 @@ def _with_previous_record(records: DataFrame, keys: Sequence[str], cols: Sequenc
             rows[f"prev_{c}"] = shifted
         last = rows.iloc[-1]
         state.update(tuple(None if _missing(last[c]) else last[c] for c in cols))
-        state.setTimeoutDuration(STATE_IDLE_MS)
+        seen = int(last[order[0]].timestamp() * 1000)
+        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + STATE_IDLE_MS)
         yield rows[columns + [f"prev_{c}" for c in cols]]
 
     return records.groupBy(*[F.col(k) for k in keys]).applyInPandasWithState(
-        attach, out_schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout
+        attach, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
