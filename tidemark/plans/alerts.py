@@ -40,10 +40,10 @@ class AlertInput:
         return self.repo.between(name, self.begin, self.end)
 
     def fact_with_history(self, name: str) -> DataFrame:
-        """Rows of judged snapshots and of the snapshots before them."""
-        if self.end is None:
+        """Rows of judged snapshots and of the snapshots before them, no older history."""
+        if self.begin is None or self.end is None:
             return self.repo.table(name)
-        return self.repo.table(name).where(F.col("snapid") <= self.end)
+        return self.repo.between(name, self.judged.agg(F.min("prev_snapid")).scalar(), self.end)
 
 
 def judged_snapshots(repo: Repository, begin: int | None = None, end: int | None = None) -> DataFrame:

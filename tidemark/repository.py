@@ -111,7 +111,8 @@ class Repository:
         wanted = F.col("snapid").isin(*snapids)
         return self._logical(name, self._pruned(name, wanted).where(wanted))
 
-    def between(self, name: str, begin: int, end: int) -> DataFrame:
+    def between(self, name: str, begin: int | Column, end: int | Column) -> DataFrame:
+        """Rows of a fact in a snapshot range; a bound may be a scalar subquery."""
         wanted = F.col("snapid").between(begin, end)
         return self._logical(name, self._pruned(name, wanted).where(wanted))
 
