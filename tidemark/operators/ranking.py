@@ -36,9 +36,8 @@ def top_shares(df: DataFrame, group: Sequence[str], measure: str, ties: Sequence
     """
     order = [desc(measure), *[asc(t) for t in ties]]
     if not group:
-        # The totals row is a single row by construction.
-        total = df.agg(F.sum(measure).alias("_total"))
-        leaders = df.orderBy(*order).limit(k).crossJoin(F.broadcast(total))
+        total = df.agg(F.sum(measure)).scalar()
+        leaders = df.orderBy(*order).limit(k).withColumn("_total", total)
         ranked = leaders.withColumn("row_number", F.row_number().over(Window.orderBy(*order)))
     else:
         totals = df.groupBy(*group).agg(F.sum(measure).alias("_total"))

@@ -21,15 +21,14 @@ def total_grew(*counters: str) -> Column:
     return result
 
 
-def pair_times(repo: Repository, begin: int, end: int) -> DataFrame:
-    """One row ``begin_time, end_time``; no row if a snapshot of the pair is missing."""
-    at = lambda snapid: F.max(F.when(F.col("snapid") == snapid, F.col("time")))
-    row = (
-        repo.at("snapshot", begin, end)
-        .agg(at(begin).alias("begin_time"), at(end).alias("end_time"))
-        .where("begin_time IS NOT NULL AND end_time IS NOT NULL")
-    )
-    return F.broadcast(row)  # a global aggregate: never more than one row
+def with_pair_times(repo: Repository, df: DataFrame, begin: int, end: int) -> DataFrame:
+    """Add ``begin_time`` and ``end_time``; no rows if a snapshot of the pair is missing.
+
+    Both are scalar subqueries on the snapshot dimension, so nothing is joined.
+    """
+    at = lambda snapid: repo.at("snapshot", snapid).agg(F.max("time")).scalar()
+    timed = df.withColumns({"begin_time": at(begin), "end_time": at(end)})
+    return timed.where("begin_time IS NOT NULL AND end_time IS NOT NULL")
 
 
 def in_scope(repo: Repository, name: str, begin: int, end: int) -> DataFrame:

@@ -9,7 +9,7 @@ from tidemark.functions.clock import minute_label, seconds_rounded, span, to_sec
 from tidemark.functions.numeric import mib, np_sub, percent, round_real, size_pretty, tps
 from tidemark.operators.delta import endpoint_pair, step, with_previous
 from tidemark.operators.ranking import asc, desc
-from tidemark.plans.common import grew, in_scope, pair_times, scope_length, total_grew
+from tidemark.plans.common import grew, in_scope, scope_length, total_grew, with_pair_times
 from tidemark.repository import Repository
 
 
@@ -52,15 +52,18 @@ def summary(repo: Repository, begin: int, end: int) -> DataFrame:
         ["size", "xact_commit", "xact_rollback"],
         presence="both",
     )
+    # one struct by one subquery, however many totals there are
     totals = pair.agg(
-        size_pretty(F.sum("e_size")).alias("total_dbsize"),
-        (F.sum("e_xact_commit") - F.sum("b_xact_commit")).alias("total_commits"),
-        (F.sum("e_xact_rollback") - F.sum("b_xact_rollback")).alias("total_rollbacks"),
-    )
+        F.struct(
+            size_pretty(F.sum("e_size")).alias("total_dbsize"),
+            (F.sum("e_xact_commit") - F.sum("b_xact_commit")).alias("total_commits"),
+            (F.sum("e_xact_rollback") - F.sum("b_xact_rollback")).alias("total_rollbacks"),
+        ).alias("t")
+    ).scalar()
     who = repo.table("instance").where(F.col("instid") == repo.instance_of(end))
     return (
-        who.crossJoin(pair_times(repo, begin, end))
-        .crossJoin(F.broadcast(totals))
+        with_pair_times(repo, who, begin, end)
+        .withColumn("t", totals)
         .select(
             F.col("name").alias("instname"),
             "hostname",
@@ -69,9 +72,7 @@ def summary(repo: Repository, begin: int, end: int) -> DataFrame:
             to_second(F.col("begin_time")).alias("snap_begin"),
             to_second(F.col("end_time")).alias("snap_end"),
             seconds_rounded(span(F.col("end_time"), F.col("begin_time"))).alias("duration"),
-            "total_dbsize",
-            "total_commits",
-            "total_rollbacks",
+            "t.*",
         )
     )
 
@@ -82,7 +83,7 @@ def dbstats(repo: Repository, begin: int, end: int) -> DataFrame:
         "temp_files", "temp_bytes", "deadlocks", "blk_read_time", "blk_write_time",
     ]
     pair = endpoint_pair(repo.at("database", begin, end), ["dbid"], begin, end, counters, at_end=["name"])
-    timed = pair.crossJoin(pair_times(repo, begin, end))
+    timed = with_pair_times(repo, pair, begin, end)
     lasted = span(F.col("end_time"), F.col("begin_time"))
     return timed.select(
         F.col("e_name").alias("datname"),

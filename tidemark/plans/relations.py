@@ -136,14 +136,14 @@ def low_density_tables(repo: Repository, begin: int, end: int, limit: int | None
         .agg(align8(F.sum("avg_width")).alias("width"))
     )
     toast = all_tables.select("dbid", F.col("tbl").alias("toastrelid"), F.col("size").alias("toast_size"))
-    pages = repo.table("instance").where(F.col("instid") == repo.instance_of(end)).select(
-        "page_size", "page_header_size", "htup_header_size", "item_id_size"
-    )
+    sizes = F.struct("page_size", "page_header_size", "htup_header_size", "item_id_size")
+    mine = repo.table("instance").where(F.col("instid") == repo.instance_of(end))
     tables = (
         all_tables.where((F.col("relkind") == "r") & _visible(repo, own=True, toast=True))
         .join(widths, ["dbid", "tbl"], "left")
         .join(toast, ["dbid", "toastrelid"], "left")
-        .crossJoin(F.broadcast(pages))  # instid is unique: one row
+        .withColumn("page", mine.agg(F.max(sizes)).scalar())
+        .select("*", "page.*")
     )
     usable = (F.col("page_size") - F.col("page_header_size")) * fillfactor(F.col("reloptions"))
     per_row = (F.col("width") + F.col("htup_header_size") + F.col("item_id_size")) * 100

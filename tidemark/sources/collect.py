@@ -409,7 +409,10 @@ def ingest_ht_info(
         return df.select(*scope, F.col("dealloc").alias(f"{source}_dealloc"), F.col("stats_reset").alias(f"{source}_reset"))
 
     def beside(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right, list(scope)) if scope else left.crossJoin(F.broadcast(right.limit(1)))
+        if scope:
+            return left.join(right, list(scope))
+        only = right.agg(F.max(F.struct(*right.columns))).scalar()
+        return left.withColumn("_right", only).where("_right IS NOT NULL").select("*", "_right.*").drop("_right")
 
     both = beside(named(wait_sampling, "wait_sampling"), named(rusage, "rusage"))
     if statements is None:

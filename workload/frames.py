@@ -136,8 +136,8 @@ SELECT snapid, dbid, CONCAT('db', CAST(dbid % 61 AS STRING)) AS name, v * 1000 +
        CAST(n AS DOUBLE) / 4 AS blk_write_time
 FROM x_db"""
 F["schema"] = """
-SELECT snapid, dbid, nsp, nspname AS name
-FROM x_db CROSS JOIN (SELECT 1 AS nsp, 'public' AS nspname UNION ALL SELECT 2, 'app' UNION ALL SELECT 3, 'pg_toast') s"""
+SELECT snapid, dbid, nsp, CASE nsp WHEN 1 THEN 'public' WHEN 2 THEN 'app' ELSE 'pg_toast' END AS name
+FROM (SELECT snapid, dbid, EXPLODE_(ARRAY_(1, 2, 3)) AS nsp FROM x_db) s"""
 F["role"] = """
 SELECT DISTINCT snapid, user_id % 5 AS userid, CONCAT('role', CAST(user_id % 5 AS STRING)) AS name FROM x_events"""
 F["rusage"] = """
@@ -341,7 +341,7 @@ SELECT snapid, dbid, tbl, CAST(attnum AS SMALLINT) AS attnum, CAST(NULL AS DATE)
        CONCAT('c', CAST(attnum AS STRING)) AS name, CAST(4 + (tbl * attnum) % 60 AS INT) AS avg_width,
        CASE WHEN (tbl + attnum) % 6 = 0 THEN NULL
             ELSE CAST(CAST((tbl * 37 + attnum * 11) % 201 - 100 AS DOUBLE) / 100 AS FLOAT) END AS correlation
-FROM x_rel CROSS JOIN (SELECT 1 AS attnum UNION ALL SELECT 2 UNION ALL SELECT 3) a"""
+FROM (SELECT snapid, dbid, tbl, EXPLODE_(ARRAY_(1, 2, 3)) AS attnum FROM x_rel) a"""
 
 # --- server log and samples --------------------------------------------------
 _V3 = "LPAD(CAST(v % 1000 AS STRING), 3, '0')"
@@ -500,18 +500,19 @@ SELECT starelid, staattnum, q % 3 = 1 AS stainherit, CAST(4 + q % 60 AS INT) AS
 FROM (SELECT l_partkey AS starelid, CAST(l_linenumber AS SMALLINT) AS staattnum, SUM(CAST(l_quantity AS BIGINT)) AS q
       FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_partkey, l_linenumber) g"""
 F["c_locks"] = """
-SELECT snapid, user_id AS pid, ARRAY_(user_id + 1, user_id + 2) AS blocking_pids, CASE WHEN kind = 4 THEN user_id END AS transactionid,
+SELECT snapid * 100000 + user_id AS pid, ARRAY_(snapid * 100000 + user_id + 1, snapid * 100000 + user_id + 2) AS blocking_pids,
+       CASE WHEN kind = 4 THEN snapid * 100000 + user_id END AS transactionid,
        1 + v % 500 AS relation, ts AS waitstart, kind = 1 AS granted
 FROM x_events"""
 F["c_activity"] = """
-SELECT snapid, user_id AS pid, MAX(dbid) AS datid, MAX(CONCAT('app', CAST(event_id AS STRING))) AS application_name, '10.0.0.1' AS client_addr,
+SELECT snapid * 100000 + user_id AS pid, MAX(dbid) AS datid, MAX(CONCAT('app', CAST(event_id AS STRING))) AS application_name, '10.0.0.1' AS client_addr,
        CAST(NULL AS STRING) AS client_hostname, CAST(5000 AS INT) AS client_port, 'Lock' AS wait_event_type, 'relation' AS wait_event,
        MAX(CONCAT('upd ', CAST(event_id AS STRING))) AS query
 FROM x_events WHERE kind <> 5 GROUP BY snapid, user_id"""
 F["c_last"] = """
-SELECT snapid, user_id AS pid, MAX(CONCAT('last ', CAST(event_id AS STRING))) AS queries FROM x_events WHERE kind <> 2 GROUP BY snapid, user_id"""
+SELECT snapid * 100000 + user_id AS pid, MAX(CONCAT('last ', CAST(event_id AS STRING))) AS queries FROM x_events WHERE kind <> 2 GROUP BY snapid, user_id"""
 F["c_prepared"] = """
-SELECT snapid, user_id AS transaction, MIN(CONCAT('gid', CAST(event_id AS STRING))) AS gid FROM x_events WHERE kind = 4 AND v > 5000 GROUP BY snapid, user_id"""
+SELECT snapid * 100000 + user_id AS transaction, MIN(CONCAT('gid', CAST(event_id AS STRING))) AS gid FROM x_events WHERE kind = 4 AND v > 5000 GROUP BY snapid, user_id"""
 
 # --- scope of the checked reports ------------------------------------------
 F["o_scope"] = """

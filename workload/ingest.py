@@ -69,19 +69,18 @@ NOW = "2024-01-31 00:00:00"
 add(
     "ingest_lock_edges",
     lambda r: collect.ingest_lock_edges(
-        r.table("c_locks"), r.table("c_activity"), r.table("c_relations").crossJoin(r.table("x_snap").select("snapid")),
-        r.table("c_namespaces").crossJoin(r.table("x_snap").select("snapid")), r.table("c_prepared"), r.table("c_last"),
-        F.lit(NOW).cast("timestamp"), 10 * 86400.0, SNAP,
+        r.table("c_locks"), r.table("c_activity"), r.table("c_relations"), r.table("c_namespaces"), r.table("c_prepared"),
+        r.table("c_last"), F.lit(NOW).cast("timestamp"), 10 * 86400.0,
     ),
     f"""
-WITH t AS (SELECT DISTINCT snapid, pid AS blockee_pid, unnest(blocking_pids) AS blocker_pid, transactionid, relation, waitstart
+WITH t AS (SELECT DISTINCT pid AS blockee_pid, unnest(blocking_pids) AS blocker_pid, transactionid, relation, waitstart
            FROM c_locks WHERE NOT granted AND epoch_us(TIMESTAMP '{NOW}') - epoch_us(waitstart) > 864000000000)
-SELECT t.snapid, a.datid AS dbid, n.nspname, CAST(t.relation AS VARCHAR) AS relname, a.application_name AS blocker_appname, a.client_addr AS blocker_addr,
+SELECT a.datid AS dbid, n.nspname, CAST(t.relation AS VARCHAR) AS relname, a.application_name AS blocker_appname, a.client_addr AS blocker_addr,
        a.client_hostname AS blocker_hostname, {big("a.client_port")} AS blocker_port, t.blockee_pid, t.blocker_pid, p.gid AS blocker_gid, a.wait_event_type, a.wait_event,
        ((epoch_us(TIMESTAMP '{NOW}') - epoch_us(t.waitstart) + 500000) // 1000000) * 1000000 AS duration, a.query AS blockee_query,
        CASE WHEN p.gid IS NOT NULL THEN '(xact is detached from session)' WHEN l.queries IS NULL THEN '(library might not have been loaded)' ELSE l.queries END AS blocker_query
-FROM t LEFT JOIN c_prepared p ON p.snapid = t.snapid AND p.transaction = t.transactionid LEFT JOIN c_activity a ON a.snapid = t.snapid AND a.pid = t.blockee_pid
-     LEFT JOIN c_last l ON l.snapid = t.snapid AND l.pid = t.blocker_pid LEFT JOIN c_relations c ON c.oid = t.relation LEFT JOIN c_namespaces n ON n.oid = c.relnamespace""",
+FROM t LEFT JOIN c_prepared p ON p.transaction = t.transactionid LEFT JOIN c_activity a ON a.pid = t.blockee_pid
+     LEFT JOIN c_last l ON l.pid = t.blocker_pid LEFT JOIN c_relations c ON c.oid = t.relation LEFT JOIN c_namespaces n ON n.oid = c.relnamespace""",
 )
 _SAME = "n_tup_ins, n_tup_upd, n_tup_del, n_tup_hot_upd, n_live_tup, n_dead_tup, n_mod_since_analyze"
 add(
