@@ -512,3 +512,32 @@ add(
     lambda r: hardware.meminfo(r, B, E),
     f"""SELECT {mins('"timestamp"')} AS "timestamp", {_SYS} AS mem_total FROM {_in_force("meminfo")}""",
 )
+
+# --- remaining limits and scans ----------------------------------------------
+add(
+    "scan_fact",
+    lambda r: r.between("table", B, E).select("snapid", "dbid", "tbl", "size"),
+    f"""SELECT snapid, dbid, tbl, size FROM "table" WHERE snapid BETWEEN {B} AND {E}""",
+)
+add(
+    "scan_events",
+    lambda r: r.events("checkpoint", B, E).select("start", "num_buffers"),
+    f"""SELECT {full('"start"')} AS "start", num_buffers FROM {events("checkpoint", '"start"')}""",
+)
+add(
+    "query_statements_rusage_top20",
+    lambda r: statements.query_statements_rusage(r, B, E, limit=20),
+    _STMT_CTE
+    + f""", z AS (SELECT * FROM q JOIN (SELECT DISTINCT snapid AS last, dbid, userid, queryid FROM rusage) k USING (last, dbid, userid, queryid){_TOPQ})
+SELECT rolname, datname, query, {", ".join(_usage(f"{k}_{u}") for k in ("plan", "exec") for u in ("reads", "writes", "user_time", "system_time"))}
+FROM z JOIN rusage e ON e.snapid = z.last AND e.dbid = z.dbid AND e.userid = z.userid AND e.queryid = z.queryid
+     LEFT JOIN rusage b ON b.snapid = {B} AND b.dbid = z.dbid AND b.userid = z.userid AND b.queryid = z.queryid""",
+)
+add(
+    "query_statements_named_at_last",
+    lambda r: statements.query_statements(r, B, E, names_as_of="last").select("dbid", "userid", "queryid", "rolname", "datname", "calls", "last"),
+    "WITH " + _registry("statement", "dbid, userid, queryid") + f"""
+SELECT p.dbid, p.userid, p.queryid, r.name AS rolname, d.name AS datname, {psub("calls")} AS calls, p.last
+FROM p JOIN database d ON d.snapid = p.last AND d.dbid = p.dbid JOIN role r ON r.snapid = p.last AND r.userid = p.userid
+WHERE {psub("calls")} > 0 AND {psub("total_exec_time")} > 0""",
+)
