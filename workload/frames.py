@@ -549,8 +549,6 @@ FROM (SELECT d, instid, snapid, dbid, userid, queryid, o_orderstatus AS backend_
              CONCAT('ev', CAST(p % 4 AS STRING)) AS event, CAST(SUM(1 + p % 7) AS BIGINT) AS n
       FROM x_orders GROUP BY d, instid, snapid, dbid, userid, queryid, o_orderstatus, o_orderpriority, p % 4) g"""
 
-_WORD = re.compile(r"[A-Za-z_]\w*")
-
 
 def _needs(sql: str) -> list[str]:
     """Frames a statement reads (names after FROM or JOIN)."""
@@ -580,14 +578,12 @@ def _translate(sql: str, dialect: dict[str, str]) -> str:
     return sql
 
 
-# names that a SQL dialect reserves are quoted as frame names and columns
-_RESERVED = ("table", "index", "column", "lock", "database", "schema", "function", "plan", "role", "alert", "start")
 
 
 def duckdb_sql(sql: str) -> str:
     """Statement for DuckDB with the frames it reads as common table expressions."""
     names = _ordered(sql)
-    body = ",\n".join(f'"{n}" AS ({_quote_aliases(F[n])})' for n in names)
+    body = ",\n".join(f'"{n}" AS ({_quote(F[n], '"')})' for n in names)
     head = f"WITH {body}\n" if names else ""
     if sql.lstrip().upper().startswith("WITH "):
         sql = sql.lstrip()[5:]
@@ -595,18 +591,24 @@ def duckdb_sql(sql: str) -> str:
     return _translate(head + sql, DUCKDB)
 
 
-def _quote_aliases(sql: str) -> str:
-    return re.sub(r"\bAS (table|index|column|start|timestamp|time|transaction|setting|name|size)\b", r'AS "\1"', sql)
+def _quote(sql: str, mark: str) -> str:
+    """Quote column aliases that a dialect may reserve."""
+    return re.sub(
+        r"\bAS (table|index|column|start|timestamp|time|transaction|setting|name|size)\b", rf"AS {mark}\1{mark}", sql
+    )
 
 
-def spark_frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    names = [n for n in _ordered(F[name])]
-    body = ",\n".join(f"`{n}` AS ({F[n]})" for n in names)
-    text = _translate((f"WITH {body}\n" if names else "") + F[name], SPARK)
-    text = re.sub(r"\bAS (table|index|column|start|timestamp|time|transaction|setting|name|size)\b", r"AS `\1`", text)
-    for base in BASE_TABLES:
-        text = re.sub(rf"\b(FROM|JOIN) {base}\b", rf"\1 parquet.`{sf_dir}/{base}.parquet`", text)
-    return spark.sql(text)
+def spark_frame(spark: SparkSession, sf_dir: str, name: str, built: dict[str, DataFrame]) -> DataFrame:
+    """Frame over the frames it reads; ``built`` keeps each analysed plan once."""
+    if name not in built:
+        inner = {n: spark_frame(spark, sf_dir, n, built) for n in _needs(F[name])}
+        text = _quote(_translate(F[name], SPARK), "`")
+        for n in inner:
+            text = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", text)
+        for base in BASE_TABLES:
+            text = re.sub(rf"\b(FROM|JOIN) {base}\b", rf"\1 parquet.`{sf_dir}/{base}.parquet`", text)
+        built[name] = spark.sql(text, **inner)
+    return built[name]
 
 
 class DerivedRepository(Repository):
@@ -615,10 +617,11 @@ class DerivedRepository(Repository):
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         super().__init__(spark)
         self.sf_dir = sf_dir
+        self._built: dict[str, DataFrame] = {}
 
     def _open(self, name: str) -> DataFrame:
         if name in F:
-            frame = spark_frame(self.spark, self.sf_dir, name)
+            frame = spark_frame(self.spark, self.sf_dir, name, self._built)
             wanted = schemas.struct(name) if name in schemas.DDL else []
             missing = [f for f in wanted if f.name not in frame.columns]
             return frame.withColumns({f.name: _null(f) for f in missing}) if missing else frame
