@@ -6,6 +6,7 @@ stored table by dropping whole day folders and rewriting only the edge day.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -61,7 +62,8 @@ def _days(spark: SparkSession, root: str, table: str) -> list[date]:
         return []
     fs, path = _fs(spark, f"{root}/{table}")
     names = [status.getPath().getName() for status in fs.listStatus(path)]
-    return sorted(date.fromisoformat(n.removeprefix("date=")) for n in names if n.startswith("date=2") or n.startswith("date=1"))
+    dated = [n.removeprefix("date=") for n in names if re.fullmatch(r"date=\d{4}-\d\d-\d\d", n)]
+    return sorted(date.fromisoformat(d) for d in dated)
 
 
 def expire_days(
@@ -80,16 +82,21 @@ def expire_days(
 
 
 def rewrite(spark: SparkSession, root: str, folder: str, keep: Callable[[DataFrame], DataFrame]) -> None:
-    """Replace a folder by its kept rows: stage, then swap by rename.
+    """Replace a folder by its kept rows: stage the copy, set the old folder aside, swap, drop it.
 
-    The old files stay in place until the staged copy is complete.
+    A run that dies in between leaves either the old folder in place or both
+    complete copies under the staging folder, never a partial one.
     """
-    live, staged = f"{root}/{folder}", f"{root}/{STAGING}/{folder}"
+    live, staged, old = f"{root}/{folder}", f"{root}/{STAGING}/new/{folder}", f"{root}/{STAGING}/old/{folder}"
     keep(spark.read.parquet(live)).write.mode("overwrite").parquet(staged)
-    fs, live_path = _fs(spark, live)
-    _, staged_path = _fs(spark, staged)
-    fs.delete(live_path, True)
-    fs.rename(staged_path, live_path)
+    fs, old_path = _fs(spark, old)
+    live_path, staged_path = _fs(spark, live)[1], _fs(spark, staged)[1]
+    fs.delete(old_path, True)
+    fs.mkdirs(old_path.getParent())
+    for source, target in ((live_path, old_path), (staged_path, live_path)):
+        if not fs.rename(source, target):
+            raise OSError(f"cannot rename {source} to {target}")
+    fs.delete(old_path, True)
     spark.catalog.refreshByPath(root)
 
 

@@ -49,12 +49,12 @@ def append_fact(df: DataFrame, root: str, table: str, day: Column) -> None:
 def append_events(df: DataFrame, root: str, table: str) -> None:
     """Append event rows to the folder of their own day.
 
-    Rows are spread by day and hour before the write, so a day is written by up to
-    24 tasks and a task writes few folders.
+    Rebalancing gathers a day's rows for few files but lets adaptive execution
+    split a day (or a whole micro-batch) that is too large for one task.
     """
     at = schemas.EVENT_TIME[table]
     rows = conform(df, table).withColumn("date", F.to_date(F.col(at)))
-    spread = rows.repartition("date", F.hour(F.col(at))).sortWithinPartitions("date", "instid", at)
+    spread = rows.hint("rebalance", F.col("date")).sortWithinPartitions("date", "instid", at)
     spread.write.partitionBy("date").mode("append").parquet(f"{root}/{table}")
 
 
