@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import simhash
+from tidemark.llm import pivots, quality, simhash
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,66 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_pivot_permutation_index")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def _op2_sql() -> str:
+    def text(sql: str) -> str:  # the same expressions in DuckDB's words
+        return sql.replace(" DIV ", " // ")
+
+    rules = quality.RULES
+    metrics = " UNION ALL ".join(
+        f"SELECT lk, sk, '{r.metric}' AS metric, {text(r.value)} AS v FROM counts WHERE NOT base_failed" for r in rules
+    )
+    ends = ", ".join(
+        f"max(CASE WHEN metric = '{r.metric}' THEN {f'q1 - greatest((q3 - q1) * {quality.SPREAD}, {r.slack})' if r.low else '0'} END) "
+        f"AS {r.metric}_low, max(CASE WHEN metric = '{r.metric}' THEN q3 + greatest((q3 - q1) * {quality.SPREAD}, {r.slack}) END) AS {r.metric}_high"
+        for r in rules
+    )
+    fits = " AND ".join(f"({text(r.value)}) BETWEEN {r.metric}_low AND {r.metric}_high" for r in rules)
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+               list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+win AS (SELECT rid, i, words[i] || chr(32) || words[i + 1] || chr(32) || words[i + 2] AS w
+        FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM cut)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS c FROM win) WHERE c > 1),
+cover AS (SELECT rid, CAST(sum(least(3, coalesce(n - i, 3))) AS BIGINT) AS n
+          FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS n FROM twice) GROUP BY rid),
+base AS (SELECT c.rid, doc_id, coalesce('=' || lang, '-') AS lk, coalesce('=' || source, '-') AS sk, CAST(len(words) AS BIGINT) AS n_words,
+                CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+                CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                coalesce(v.n, 0) AS n_repeat_words
+         FROM cut c LEFT JOIN cover v ON c.rid = v.rid),
+counts AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+metrics AS ({metrics}),
+sketch AS (SELECT lk, sk, metric, {text(quality.bucket("v"))} AS bucket, count(*) AS n FROM metrics GROUP BY 1, 2, 3, 4),
+merged AS (SELECT * FROM sketch
+           UNION ALL SELECT lk, '*', metric, bucket, sum(n) FROM sketch GROUP BY lk, metric, bucket
+           UNION ALL SELECT '*', '*', metric, bucket, sum(n) FROM sketch GROUP BY metric, bucket),
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY lk, sk, metric ORDER BY bucket) AS below,
+                  sum(n) OVER (PARTITION BY lk, sk, metric) AS total FROM merged),
+edge AS (SELECT lk, sk, metric, max(total) AS docs, min(CASE WHEN below * 4 >= total THEN bucket END) AS b1,
+                min(CASE WHEN below * 4 >= total * 3 THEN bucket END) AS b3 FROM ranked GROUP BY lk, sk, metric),
+quart AS (SELECT lk, sk, metric, docs, {text(quality.bucket_floor("b1"))} AS q1, {text(quality.bucket_floor("b3"))} AS q3 FROM edge),
+fences AS (SELECT lk, sk, max(docs) AS docs, {ends} FROM quart GROUP BY lk, sk),
+groups AS (SELECT g.lk, g.sk, CASE WHEN g.docs >= {quality.LEAST} THEN 2 WHEN l.docs >= {quality.LEAST} THEN 1 ELSE 0 END AS level
+           FROM fences g JOIN fences l ON g.lk = l.lk AND l.sk = '*' WHERE g.sk <> '*' AND g.lk <> '*'),
+chosen AS (SELECT g.lk, g.sk, g.level, f.* EXCLUDE (lk, sk, docs) FROM groups g JOIN fences f
+           ON f.lk = CASE WHEN level > 0 THEN g.lk ELSE '*' END AND f.sk = CASE WHEN level > 1 THEN g.sk ELSE '*' END)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       CASE WHEN base_failed THEN false ELSE coalesce({fits}, false) END AS kept, CAST(level AS BIGINT) AS level
+FROM counts c LEFT JOIN chosen h ON c.lk = h.lk AND c.sk = h.sk"""
+
+
+@query("op2_quality_quantile_sketch", _op2_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 @query("op4_simhash_bktree")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4, shingle=4, seed=42)
