@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import langid, mixing, packing, pivots, quality, secrets, simhash, toxicity
+from tidemark.llm import langid, mixing, packing, pivots, quality, secrets, simhash, toxicity, urllist
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +100,62 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
+_HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
+_PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)"
+_YEAR, _BASE = 365 * 86400, 1704067200
+
+_OP6_SQL = rf"""
+WITH caps AS (SELECT page_id, url, nullif(regexp_replace(lower(regexp_extract(url, '{_HOST}', 1)), '\.+$', ''), '') AS host,
+                     list_filter(string_split(regexp_extract(url, '{_PATH}', 1), '/'), lambda p: p <> '') AS parts,
+                     {_BASE} + CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 7) AS BIGINT) % {_YEAR} AS fetched FROM pages),
+named AS (SELECT DISTINCT host AS key, 4 AS n FROM caps WHERE host IS NOT NULL
+          UNION SELECT DISTINCT regexp_replace(host, '^[^.]*\.', ''), 2 FROM caps WHERE host LIKE '%.%.%'
+          UNION SELECT DISTINCT host || '/' || lower(parts[1]), 3 FROM caps WHERE host IS NOT NULL AND len(parts) > 0),
+entries AS (SELECT key, {_BASE} + CAST('0x' || substr(md5(key || '#' || k), 1, 7) AS BIGINT) % {_YEAR} AS day,
+                   ['block', 'none', 'allow', 'none', 'block'][1 + CAST('0x' || substr(md5(key || '!' || k), 1, 7) AS BIGINT) % 5] AS action
+            FROM (SELECT key, unnest(range(n)) AS k FROM named)),
+held AS (SELECT key, day AS since, lead(day) OVER (PARTITION BY key ORDER BY day) AS until, action
+         FROM (SELECT key, day, max(action) AS action FROM entries GROUP BY key, day)),
+labels AS (SELECT *, string_split(host, '.') AS names FROM caps WHERE host IS NOT NULL),
+doms AS (SELECT page_id, fetched, parts, array_to_string(names[i:], '.') AS dom
+         FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM labels)),
+asked AS (SELECT DISTINCT page_id, fetched, dom || CASE WHEN j = 0 THEN '' ELSE '/' || lower(array_to_string(parts[:j], '/')) END AS key
+          FROM (SELECT *, unnest(range(0, least(len(parts), 2) + 1)) AS j FROM doms)),
+hits AS (SELECT a.page_id, a.key, h.action, h.since, row_number() OVER (PARTITION BY a.page_id ORDER BY length(a.key) DESC, a.key) AS r
+         FROM asked a JOIN held h ON a.key = h.key AND h.since <= a.fetched AND (h.until IS NULL OR a.fetched < h.until)
+         WHERE h.action <> 'none')
+SELECT c.page_id, c.url, c.host, c.fetched, h.key AS matched_key, h.action, h.since, coalesce(h.action = 'allow', true) AS kept
+FROM caps c LEFT JOIN hits h ON c.page_id = h.page_id AND h.r = 1"""
+
+
+def _captures_and_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages with a fetch time of their own, and a dated list on their hosts, parent domains and first path parts."""
+    number = "CAST(conv(substr(md5({0}), 1, 7), 16, 10) AS BIGINT)"
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.expr(f"{_BASE} + {number.format('CAST(page_id AS STRING)')} % {_YEAR}"))
+    parts = F.filter(F.split(F.regexp_extract("url", _PATH, 1), "/"), lambda p: p != "")
+    hosts = pages.select(urllist.host(F.col("url")).alias("host"), parts.alias("parts")).where("host IS NOT NULL")
+    named = (
+        hosts.select(F.col("host").alias("key"), F.lit(4).alias("n"))
+        .union(hosts.where("host LIKE '%.%.%'").select(F.regexp_replace("host", r"^[^.]*\.", ""), F.lit(2)))
+        .union(hosts.where("size(parts) > 0").select(F.concat("host", F.lit("/"), F.lower(F.element_at("parts", 1))), F.lit(3)))
+        .distinct()
+    )
+    dated = named.select("key", F.explode(F.expr("sequence(0, n - 1)")).alias("k"))
+    at, turn = number.format("concat(key, '#', k)"), number.format("concat(key, '!', k)")
+    entries = dated.select(
+        "key",
+        F.expr(f"{_BASE} + {at} % {_YEAR}").alias("at"),
+        F.expr(f"element_at(array('block', 'none', 'allow', 'none', 'block'), CAST(1 + {turn} % 5 AS INT))").alias("action"),
+    )
+    return captures, entries
+
+
+@query("op6_url_temporal_list", _OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urllist.matched(*_captures_and_entries(spark, sf_dir))
+
+
 @query("op8_language_centroids")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
