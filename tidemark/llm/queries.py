@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, mixing, packing, pivots, quality, secrets, simhash, toxicity, urllist
+from tidemark.llm import katz, langid, mixing, packing, pivots, quality, secrets, simhash, toxicity, urllist
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +156,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urllist.matched(*_captures_and_entries(spark, sf_dir))
 
 
+@query("op7_katz_backoff")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(table(spark, sf_dir, "documents"))
+
+
 @query("op8_language_centroids")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
