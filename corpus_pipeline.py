@@ -1,16 +1,77 @@
-"""Corpus pipeline: the stages from raw documents to packed sequences."""
+"""Corpus pipeline: documents to packed training sequences in five stages.
+
+Each stage calls one operator of ``tidemark.llm`` on all that the stage before kept. ``run`` writes every
+stage's result to the shared folder and reads it again, so a lost executor costs at most one stage's tasks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import langid, mixing, packing, secrets, simhash
+from tidemark.llm.common import held_out, stored, table
+
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language identification: documents too far from every known language, or without letters, go."""
+    model = langid.train(docs.where(~held_out("doc_id", 4, 2)))
+    return langid.kept(docs, model)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-duplicates: of every group the document of smallest id stays; rows without an id stay."""
+    row = F.xxhash64(*docs.columns)
+    found = simhash.near_duplicates(docs, radius=4, shingle=4, seed=42)
+    ids = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    # rows that repeat an id: the one of the smallest row hash stays
+    rows = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(row).alias("_row"), F.count("*").alias("_n"))
+    chosen = stored(ids.join(rows, "doc_id"), "chosen")
+    single, several = stored(chosen.where("_n = 1"), "single"), stored(chosen.where("_n > 1"), "several")
+    stay = docs.join(single.select("doc_id"), "doc_id", "left_semi")
+    again = docs.withColumn("_row", row).join(several.select("doc_id", "_row"), ["doc_id", "_row"], "left_semi").drop("_row")
+    parts = [x.select(*docs.columns) for x in (stay, again.dropDuplicates(), docs.where("doc_id IS NULL"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scan: confirmed secrets are masked in the text, all documents stay; ``n_chars`` follows the text."""
+    clean = secrets.redact(docs, secrets.train(docs))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        clean = clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return clean.select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing to target weights: a document comes as often as the mix takes it, its last copy cut to the words left.
+
+    Copies go to the output shards of their draws and are shuffled inside each by a hash.
+    """
+    return mixing.taken_rows(mixing.mix(docs), docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing: where each piece of each document goes, with the sequence's final length."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("language", language_stage),
+    ("near_duplicates", dedup_stage),
+    ("secrets", secrets_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+#: Fitted models, XXH64 and seeded draws have no SQL; tests/llm/test_pipeline.py checks the rows against plain code.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

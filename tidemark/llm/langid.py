@@ -217,6 +217,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
+def kept(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = [model.predict(texts)[2] for _, texts in _runs(batch.column("text"))]
+            if far:
+                yield batch.filter(pa.array(~np.concatenate(far)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def languages(docs: DataFrame, **options) -> DataFrame:
     """Learn from the rows whose crc32(doc_id) mod 4 is not 2 and predict all: ``doc_id, held_out, lang_pred, score, rejected``.
 

@@ -15,7 +15,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0  # times its size a source may be taken
 BLOCKS = 65536  # blocks of all sources together at most
 PER_BLOCK = 64  # documents of a block aimed at, while that many blocks are enough
-SHARDS = 64  # output shards
+PER_SHARD = 2_000_000  # words of an output shard aimed at; as many shards as blocks at most
 
 
 def targets(sizes: Sequence[float], weights: Sequence[float], most: float = MOST) -> np.ndarray:
@@ -87,7 +87,7 @@ def draw(sizes: list[list[int]], target: np.ndarray, shards: int, seed: int) ->
     return [(s, b, *row) for (s, b), row in rows.items()]
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, shards: int = SHARDS, seed: int = 11,
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, shards: int | None = None, seed: int = 11,
         blocks: int = BLOCKS, per_block: int = PER_BLOCK) -> DataFrame:
     """The rows of ``docs(doc_id, text, source, ...)`` with ``size, source_size, target, taken, shards``.
 
@@ -112,6 +112,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST,
     n = sum(r.n for r in totals)
     count = [max(1, min(r.n // per_block, blocks * r.n // n)) for r in totals]
     target = targets([r.size for r in totals], [weights[i % len(weights)] for i in range(len(totals))], most)
+    if shards is None:
+        shards = int(min(blocks, 1 + target.sum() // PER_SHARD))
     spark = docs.sparkSession
     known = [(r["_key"], i, c, r["size"], float(t)) for i, (r, c, t) in enumerate(zip(totals, count, target))]
     sources = spark.createDataFrame(known, "_key string, _source int, _blocks int, source_size long, target double")
@@ -133,3 +135,28 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST,
     taken = F.col("size") * F.coalesce("_whole", F.lit(0)) + F.col("_more")
     return out.select(*kept, "size", "source_size", "target", taken.cast("long").alias("taken"),
                       F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
+
+
+def taken_rows(mixed: DataFrame, columns: Sequence[str], seed: int = 11) -> DataFrame:
+    """The mix itself: ``columns`` of each document as often as its block was drawn, by output shard and shuffled inside.
+
+    ``mixed`` is the result of :func:`mix`.  A copy carries the whole text; the last one of a partial draw its first words only,
+    joined by single spaces.
+    A document of which a draw takes no word is left out of it; wordless texts go.
+    """
+    whole = F.floor(F.col("taken") / F.col("size"))
+    copies = F.transform(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size"))), lambda k: k.cast("int"))
+    rows = mixed.where("taken > 0").withColumn("_copy", F.explode(copies))
+    rest = F.col("taken") - whole * F.col("size")
+    words = F.array_remove(F.split(F.col("text"), r"[\x20\x09-\x0D]+", -1), "")
+    partial = (F.col("_copy") > whole) & (rest > 0)
+    text = F.when(partial, F.array_join(F.slice(words, 1, rest.cast("int")), " ")).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in columns:
+        kind = mixed.schema["n_chars"].dataType
+        rows = rows.withColumn("n_chars", F.when(partial, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    rows = rows.withColumn("_shard", F.element_at("shards", F.col("_copy")))
+    rows = rows.withColumn("_turn", F.xxhash64(F.lit(seed), "_copy", "doc_id", "text"))
+    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionById(parts, F.pmod(F.col("_shard"), F.lit(parts)).cast("int")).sortWithinPartitions("_shard", "_turn")
+    return rows.select(*columns)
