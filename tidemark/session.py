@@ -6,7 +6,7 @@ options that the reports rely on for identical results everywhere.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Options that may be changed on a running session.
 RUNTIME_OPTIONS = {
@@ -39,15 +39,3 @@ def build_session(
     for key, value in {**RUNTIME_OPTIONS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder the cluster names.
-
-    ``fallback_dir`` is only used when the session has no checkpoint folder, as
-    in tests; it must be reachable by all executors.
-    """
-    sc = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and fallback_dir:
-        sc.setCheckpointDir(fallback_dir)
-    return df.checkpoint(eager=True)

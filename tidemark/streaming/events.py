@@ -34,7 +34,7 @@ VACUUM = (
     "buffer usage: %lld hits, %lld misses, %lld dirtied\n"
     "WAL usage: %lld records, %lld full page images, %llu bytes\n"
     "system usage: %s"
-).replace("%llu", "%lld")
+)
 ANALYZE = (
     'automatic analyze of table "%s.%s.%s"\n'
     "%s"

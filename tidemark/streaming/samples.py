@@ -149,30 +149,52 @@ def _clip(text: Column, limit: Column) -> Column:
     return F.regexp_replace(F.make_valid_utf8(cut.cast("string")), "\uFFFD+$", "")
 
 
+# Commands that only steer a transaction.
+_COMMANDS = r"(?i)^\s*(begin|start\s+transaction|commit|end|rollback|abort|savepoint|release|prepare\s+transaction)\b"
+
+
 def xact_query_history(
-    statements: DataFrame, keys: Sequence[str] = ("instid", "pid", "xact"), order: str = "executed_at"
+    statements: DataFrame,
+    keys: Sequence[str] = ("instid", "pid", "xact"),
+    order: str = "executed_at",
+    history_limit: int = HISTORY_LIMIT,
+    query_limit: int = QUERY_LIMIT,
+    record_commands: bool = True,
 ) -> DataFrame:
-    """Queries of each transaction in one text of at most ``HISTORY_LIMIT`` bytes.
-
-    A query that no longer fits is cut and marked ``...``.  Each kept query of n
-    bytes uses at least min(n, 5) bytes of the text, and a length that did not fit
-    once never fits later; so of each length class only the first
-    ``HISTORY_LIMIT`` queries can appear.  That proven limit is applied before the
-    shuffle (group limit), then the short lists are folded.
+    """Queries of each transaction in one text of at most ``history_limit`` bytes with its end mark.
+
+    A query that no longer fits is cut at a character and marked ``...``; if not even its first character and the
+    mark fit it is passed over, and later ones are still tried.  ``record_commands=False`` leaves transaction
+    commands out.  NULL queries count as empty ones; ties in ``order`` follow the text.
+
+    How long a list can get: put queries into classes by (size, up to 8 bytes; bytes of the first character, w).  A
+    query of n bytes leaves a trace if the room is n or more, or w + 4 or more.  From n = 8 on the second is the weaker
+    (w <= 4), so within a class the room needed is one constant.  Room never grows, so a class that failed once fails
+    for good, and each trace takes a byte at least.  Hence only the first ``history_limit`` queries of a class can
+    leave a trace; that limit is applied before the shuffle (group limit), and a query is
+    carried by no more than its first ``query_limit`` bytes.
     """
-    size = F.octet_length("query")
-    turn = Window.partitionBy(*keys, F.least(size, F.lit(5))).orderBy(order)
-    short = statements.withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= HISTORY_LIMIT)
-    listed = short.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("query").alias("q")))).alias("_all")
+    text = F.coalesce(F.col("query"), F.lit(""))
+    if not record_commands:
+        statements = statements.where(~text.rlike(_COMMANDS))
+    size = F.octet_length(text)
+    entry = F.struct(
+        F.col(order).alias("at"),
+        F.when(size <= query_limit, text).otherwise(_clip(text, F.lit(query_limit))).alias("q"),
+        F.least(size, F.lit(query_limit + 1)).alias("size"),
     )
+    rows = statements.select(*keys, entry.alias("e"), F.least(size, F.lit(8)).alias("_size"),
+                             F.octet_length(F.substring(text, 1, 1)).alias("_width"))
+    turn = Window.partitionBy(*keys, "_size", "_width").orderBy("e")
+    short = rows.withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= history_limit)
+    listed = short.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("_all"))
 
-    def append(text: Column, entry: Column) -> Column:
+    def append(done: Column, entry: Column) -> Column:
         query = entry["q"]
-        room = F.least(F.lit(HISTORY_LIMIT - 1) - F.octet_length(text), F.lit(QUERY_LIMIT))
+        room = F.least(F.lit(history_limit - 1) - F.octet_length(done), F.lit(query_limit))
         kept = F.when(room > 4, _clip(query, room - 4)).otherwise(F.lit(""))
         cut = F.when(kept != "", F.concat(kept, F.lit("...;"))).otherwise(F.lit(""))
         whole = F.when(query.endswith(";"), query).otherwise(F.concat(query, F.lit(";")))
-        return F.concat(text, F.when(F.octet_length(query) > room, cut).otherwise(whole))
+        return F.concat(done, F.when(entry["size"] > room, cut).otherwise(whole))
 
     return listed.select(*keys, F.aggregate("_all", F.lit(""), append).alias("queries"))
