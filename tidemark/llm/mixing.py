@@ -117,6 +117,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST,
     spark = docs.sparkSession
     known = [(r["_key"], i, c, r["size"], float(t)) for i, (r, c, t) in enumerate(zip(totals, count, target))]
     sources = spark.createDataFrame(known, "_key string, _source int, _blocks int, source_size long, target double")
+    if len(known) <= blocks:
+        sources = F.broadcast(sources)  # ``blocks`` rows at most; more sources are joined by shuffle
     rows = rows.join(sources, "_key", "left").withColumn("_block", F.pmod("_turn", F.col("_blocks")).cast("int"))
     sums = rows.groupBy("_source", "_block").agg(F.sum("size").alias("size")).collect()
     sizes = [[0] * c for c in count]
