@@ -22,6 +22,7 @@ from tidemark.operators.delta import with_previous
 from tidemark.plans.relations import view_indexes, view_tables
 from tidemark.repository import Repository
 
+# The alert texts below must read as they do in existing reports.
 RULE_COLUMNS = ["snapid", "rule", "entity", "value", "threshold", "message"]
 MIN_PAGES = 1000  # smaller tables are too small for a garbage ratio
 
@@ -51,7 +52,14 @@ def judged_snapshots(repo: Repository, begin: int | None = None, end: int | None
     snaps = repo.table("snapshot").select("snapid", "instid", "time")
     if end is not None:
         snaps = snaps.where(F.col("snapid") <= end)
-    paired = with_previous(snaps, ["instid"], ["snapid", "time"]).where(F.col("prev_snapid").isNotNull())
+    length = None
+    if begin is not None:
+        # of older history only each server's last snapshot is needed: an aggregate, not a window
+        before = snaps.where(F.col("snapid") < begin).groupBy("instid").agg(F.max(F.struct("snapid", "time")).alias("last"))
+        snaps = snaps.where(F.col("snapid") >= begin).unionByName(before.select("last.snapid", "instid", "last.time"))
+        length = None if end is None else end - begin + 2
+    paired = with_previous(snaps, ["instid"], ["snapid", "time"], scope_length=length)
+    paired = paired.where(F.col("prev_snapid").isNotNull())
     if begin is not None:
         paired = paired.where(F.col("snapid") >= begin)
     thresholds = repo.table("alert").where("enable_alert").drop("enable_alert")
@@ -289,6 +297,9 @@ def alerts(
     fired = [
         rule(given).select(*RULE_COLUMNS).withColumn("ordinal", F.lit(i)) for i, rule in enumerate(rules.values())
     ]
+    if not fired:
+        names = "snapid bigint, rule string, entity string, value double, threshold double, message string, ordinal int"
+        return repo.spark.createDataFrame([], names)
     return reduce(DataFrame.unionByName, fired)
 
 

@@ -33,7 +33,7 @@ def with_pair_times(repo: Repository, df: DataFrame, begin: int, end: int) -> Da
 
 def in_scope(repo: Repository, name: str, begin: int, end: int) -> DataFrame:
     """Fact rows of the instance's snapshots in ``[begin, end]`` with their time."""
-    return repo.between(name, begin, end).join(repo.timeline(begin, end), "snapid")
+    return repo.ranged(name, begin, end).join(repo.timeline(begin, end), "snapid")
 
 
 def label(df: DataFrame, name: str = "timestamp") -> DataFrame:

@@ -197,7 +197,7 @@ def autoanalyze_stats(repo: Repository, begin: int, end: int) -> DataFrame:
         )
     )
     # The scope's snapshots are broadcast first, so only this instance's rows meet the names.
-    reader = lambda name: repo.between(name, begin, end).join(
+    reader = lambda name: repo.scoped(name, begin, end).join(
         repo.timeline(begin, end).select("snapid"), "snapid", "left_semi"
     )
     modified = (
@@ -238,7 +238,7 @@ def lock_activity(repo: Repository, begin: int, end: int, limit: int | None = No
 
     match = ["snapid", "_db", "_nspname", "_relname", "_blocker_gid", "blockee_pid", "blocker_pid", "blockee_query"]
     sample = keyed(locks).select(*match, "duration", "blocker_query")
-    names = view_tables(repo, lambda name: repo.between(name, begin, end)).select(
+    names = view_tables(repo, lambda name: repo.scoped(name, begin, end)).select(
         "snapid", "dbid", F.col("tbl").alias("_relid"), "database", "schema", "table"
     )
     edges = (

@@ -269,7 +269,7 @@ def modified_row_ratio(repo: Repository, begin: int, end: int, table_num: int) -
     if table_num <= BROADCAST_TABLES:
         largest = F.broadcast(largest)
     chosen = in_scope(repo, "table", begin, end).join(largest, keys).withColumnRenamed("name", "table")
-    database, schema = _names(lambda name: repo.between(name, begin, end))
+    database, schema = _names(lambda name: repo.scoped(name, begin, end))
     modified = percent(F.col("n_mod_since_analyze"), F.round("reltuples").cast("bigint"), "decimal(34,3)")
     return (
         chosen.join(database, ["snapid", "dbid"])

@@ -47,7 +47,7 @@ def query_functions(repo: Repository, begin: int, end: int, limit: int | None =
 
 
 def _scoped(repo: Repository, name: str, begin: int, end: int) -> DataFrame:
-    return repo.between(name, begin, end).join(
+    return repo.scoped(name, begin, end).join(
         repo.timeline(begin, end).select("snapid"), "snapid", "left_semi"
     )
 
@@ -103,10 +103,10 @@ def _with_names(repo: Repository, seen: DataFrame, begin: int, end: int, as_of:
         database = repo.at("database", begin).select("dbid", F.col("name").alias("datname"))
         role = repo.at("role", begin).select("userid", F.col("name").alias("rolname"))
         return seen.join(database, "dbid").join(role, "userid")
-    database = repo.between("database", begin, end).select(
+    database = repo.scoped("database", begin, end).select(
         F.col("snapid").alias("last"), "dbid", F.col("name").alias("datname")
     )
-    role = repo.between("role", begin, end).select(
+    role = repo.scoped("role", begin, end).select(
         F.col("snapid").alias("last"), "userid", F.col("name").alias("rolname")
     )
     return seen.join(database, ["last", "dbid"]).join(role, ["last", "userid"])
@@ -122,7 +122,7 @@ def query_statements_rusage(repo: Repository, begin: int, end: int, limit: int |
     kept = [f"{kind}_{u}" for kind in ("plan", "exec") for u in _USAGE]
     key = ["dbid", "userid", "queryid"]
     at_begin = repo.at("rusage", begin).select(*key, *[F.col(c).alias(f"b_{c}") for c in kept])
-    at_last = repo.between("rusage", begin, end).select(
+    at_last = repo.scoped("rusage", begin, end).select(
         *key, F.col("snapid").alias("last"), *[F.col(c).alias(f"e_{c}") for c in kept]
     )
     joined = statements.join(at_last, [*key, "last"]).join(at_begin, key, "left")

@@ -2,11 +2,13 @@
 
 Layout on disk (written by :mod:`tidemark.sources.sink`)::
 
-    <root>/<table>/date=YYYY-MM-DD/*.parquet     snapshot facts and events
-    <root>/<dimension>/*.parquet                 instance, snapshot, alert, ...
+    <root>/<table>/date=YYYY-MM-DD/server=N/*.parquet           snapshot facts
+    <root>/<table>/date=YYYY-MM-DD/server=N/batch=B/*.parquet   events
+    <root>/<dimension>/*.parquet                                instance, snapshot, alert, ...
 
-Files are sorted by ``snapid`` (facts) or event time, so a filter prunes whole
-day folders first and row groups second.
+``date`` is the UTC day and ``server`` the instance's bucket, both taken from absolute values, so
+readers and writers in any session time zone agree.  Files are sorted by ``snapid`` (facts) or
+event time: a filter prunes whole folders first and row groups second.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import schemas
 
@@ -25,10 +28,25 @@ from tidemark import schemas
 # Longer scopes are left to the optimizer, which joins by shuffle and splits skew.
 BROADCAST_SNAPSHOTS = 100_000
 
+# Folders that the servers of one day are spread over; a report reads one of them.
+SERVERS = 128
+# Marks of tables whose folders are being exchanged, and of staged copies.
+STAGING, BUSY = "_staging", "_staging/busy"
+
 # Schemas that belong to the server itself.
 CATALOG_SCHEMAS = ("pg_catalog", "pg_toast", "information_schema")
 
 
+def utc_day(time: Column) -> Column:
+    """Day of a timestamp in UTC, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(time) / 86_400_000_000).cast("int"))
+
+
+def server_of(instid: Column) -> Column:
+    """Bucket of an instance."""
+    return F.pmod(instid, F.lit(SERVERS)).cast("int")
+
+
 @dataclass(frozen=True)
 class Bounds:
     """Lazy scalar columns of a scope: its instance and its first and last time."""
@@ -66,17 +84,24 @@ class Repository:
     def _open(self, name: str) -> DataFrame:
         schema = schemas.struct(name)
         location = f"{self.path}/{name}" if self.path else None
+        if location is not None and _exists(self.spark, f"{self.path}/{BUSY}/{name}"):
+            raise RuntimeError(f"{name} is being rewritten, or a rewrite was interrupted: see retention.recover")
         if location is None or not _exists(self.spark, location):
             return self.spark.createDataFrame([], schema)
-        if name not in schemas.DIMENSIONS and name not in schemas.CHANGE_ONLY and "date" not in schema.names:
-            schema = schema.add("date", "date")
+        if name not in schemas.DIMENSIONS and name not in schemas.CHANGE_ONLY:
+            if "date" not in schema.names:
+                schema = schema.add("date", "date")
+            schema = schema.add("server", T.IntegerType())
+            if name in schemas.EVENT_TIME:
+                schema = schema.add("batch", T.StringType())
         return self.spark.read.schema(schema).parquet(location)
 
     @staticmethod
     def _logical(name: str, frame: DataFrame) -> DataFrame:
-        """Hide the partition date of tables whose schema does not have it."""
-        if name in schemas.DDL and name not in schemas.DATED_FACTS and "date" in frame.columns:
-            return frame.drop("date")
+        """Hide partition columns that the table's schema does not have."""
+        if name in schemas.DDL:
+            known = schemas.column_names(name)
+            frame = frame.drop(*[c for c in ("date", "server", "batch") if c in frame.columns and c not in known])
         return frame
 
     # -- scope --------------------------------------------------------------
@@ -98,45 +123,73 @@ class Repository:
     def bounds(self, begin: int, end: int) -> Bounds:
         """First time at or after ``begin`` and last time at or before ``end`` of the instance."""
         mine = self.table("snapshot").where(F.col("instid") == self.instance_of(end))
-        return Bounds(
-            instid=self.instance_of(end),
-            start=mine.where(F.col("snapid") >= begin).agg(F.min("time")).scalar(),
-            end=mine.where(F.col("snapid") <= end).agg(F.max("time")).scalar(),
+        ends = F.struct(
+            F.max("instid").alias("instid"),
+            F.min(F.when(F.col("snapid") >= begin, F.col("time"))).alias("start"),
+            F.max(F.when(F.col("snapid") <= end, F.col("time"))).alias("end"),
         )
+        scope = mine.agg(ends).scalar()  # one subquery for all three
+        return Bounds(scope["instid"], scope["start"], scope["end"])
 
     # -- pruned reads -------------------------------------------------------
 
+    def _partitioned(self, frame: DataFrame) -> bool:
+        return self.path is not None and "date" in frame.columns and "server" in frame.columns
+
     def at(self, name: str, *snapids: int) -> DataFrame:
-        """Rows of a fact at the given snapshots."""
-        wanted = F.col("snapid").isin(*snapids)
-        return self._logical(name, self._pruned(name, wanted).where(wanted))
+        """Rows of a fact at the given snapshots, from exactly their days and servers."""
+        frame = self._stored(name)
+        if self._partitioned(frame):
+            here = F.lit(False)
+            for snapid in dict.fromkeys(snapids):
+                mark = self._mark(F.col("snapid") == snapid)
+                here = here | ((F.col("date") == mark["first"]) & (F.col("server") == mark["server"]))
+            frame = frame.where(here)
+        return self._logical(name, frame.where(F.col("snapid").isin(*snapids)))
 
     def between(self, name: str, begin: int | Column, end: int | Column) -> DataFrame:
-        """Rows of a fact in a snapshot range; a bound may be a scalar subquery."""
+        """Rows of a fact in a snapshot range, of all servers; a bound may be a scalar subquery."""
         wanted = F.col("snapid").between(begin, end)
-        return self._logical(name, self._pruned(name, wanted).where(wanted))
+        frame = self._stored(name)
+        if self._partitioned(frame):
+            days = self._mark(wanted)
+            frame = frame.where(F.col("date").between(days["first"], days["last"]))
+        return self._logical(name, frame.where(wanted))
 
-    def _pruned(self, name: str, wanted: Column) -> DataFrame:
-        """Restrict day folders to the days of the wanted snapshots.
+    def ranged(self, name: str, begin: int, end: int) -> DataFrame:
+        """Rows of a fact in a snapshot range, from the folders of the server of ``end``.
 
-        The days are scalar subqueries over the snapshot dimension, so the
-        partition filter is known before the fact's files are listed.
+        Other servers of its bucket are still in it; join with :meth:`timeline`, or use :meth:`scoped`.
         """
+        wanted = F.col("snapid").between(begin, end)
         frame = self._stored(name)
-        if "date" not in frame.columns or self.path is None:
-            return frame
-        days = self.table("snapshot").where(wanted).select(F.to_date("time").alias("day"))
-        return frame.where(
-            F.col("date").between(days.agg(F.min("day")).scalar(), days.agg(F.max("day")).scalar())
-        )
+        if self._partitioned(frame):
+            days = self._mark(wanted & (F.col("instid") == self.instance_of(end)))
+            frame = frame.where(F.col("date").between(days["first"], days["last"]) & (F.col("server") == days["server"]))
+        return self._logical(name, frame.where(wanted))
+
+    def scoped(self, name: str, begin: int, end: int) -> DataFrame:
+        """Rows of a fact at the snapshots of the scope's instance only."""
+        return self.ranged(name, begin, end).join(self.timeline(begin, end).select("snapid"), "snapid", "left_semi")
+
+    def _mark(self, wanted: Column) -> Column:
+        """First and last UTC day and the server bucket of wanted snapshots, as one scalar subquery.
+
+        It is known before the fact's files are listed, so other folders are never opened.
+        """
+        day = utc_day(F.col("time"))
+        mark = F.struct(F.min(day).alias("first"), F.max(day).alias("last"), F.max(server_of(F.col("instid"))).alias("server"))
+        return self.table("snapshot").where(wanted).agg(mark).scalar()
 
     def events(self, name: str, begin: int, end: int) -> DataFrame:
         """Event rows of the scope's instance inside its time range, ends included."""
         at = F.col(schemas.EVENT_TIME[name])
         scope = self.bounds(begin, end)
         frame = self._stored(name)
-        if "date" in frame.columns and self.path is not None:
-            frame = frame.where(F.col("date").between(F.to_date(scope.start), F.to_date(scope.end)))
+        if self._partitioned(frame):
+            frame = frame.where(
+                F.col("date").between(utc_day(scope.start), utc_day(scope.end)) & (F.col("server") == server_of(scope.instid))
+            )
         frame = frame.where(at.between(scope.start, scope.end) & (F.col("instid") == scope.instid))
         return self._logical(name, frame)
 

@@ -32,9 +32,16 @@ def read_csvlog(spark: SparkSession, path: str, instid: int | None = None) -> Da
     return typed(spark.read.schema(raw_schema()).options(**_options()).csv(path), instid)
 
 
-def stream_csvlog(spark: SparkSession, path: str, instid: int | None = None, files_per_trigger: int = 100) -> DataFrame:
-    """The same records as a stream; processed files are remembered by the checkpoint."""
+def stream_csvlog(
+    spark: SparkSession, path: str, instid: int | None = None, files_per_trigger: int = 100, closed: str = "*.csv"
+) -> DataFrame:
+    """The same records as a stream; processed files are remembered by the checkpoint.
+
+    Only files that match ``closed`` are taken, each once and whole: a server's log must get such a name when it is
+    rotated (``.csv`` here), not while it still grows.
+    """
     reader = spark.readStream.schema(raw_schema()).options(**_options()).option("maxFilesPerTrigger", files_per_trigger)
+    reader = reader.option("pathGlobFilter", closed)
     return typed(reader.csv(path), instid)
 
 

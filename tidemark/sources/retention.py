@@ -14,9 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.repository import Repository, _exists
-
-STAGING = "_staging"
+from tidemark.repository import BUSY, STAGING, Repository, _exists, server_of, utc_day
 
 
 def cutoff(keep_days: int, today: Column | None = None) -> Column:
@@ -48,6 +46,8 @@ def kept_log(log: DataFrame, before: Column) -> DataFrame:
     return log.where(F.col("timestamp") >= before)
 
 
+FILES = 4  # files of a server's day that compaction leaves as they are
+
 # --- stored tables -----------------------------------------------------------
 
 
@@ -66,6 +66,10 @@ def _days(spark: SparkSession, root: str, table: str) -> list[date]:
     return sorted(date.fromisoformat(d) for d in dated)
 
 
+def _day_of(spark: SparkSession, moment: Column) -> date:
+    return spark.range(1).select(utc_day(moment)).first()[0]
+
+
 def expire_days(
     spark: SparkSession, root: str, table: str, day: date, keep: Callable[[DataFrame], DataFrame] | None = None
 ) -> list[date]:
@@ -81,35 +85,104 @@ def expire_days(
     return dropped
 
 
-def rewrite(spark: SparkSession, root: str, folder: str, keep: Callable[[DataFrame], DataFrame]) -> None:
-    """Replace a folder by its kept rows: stage the copy, set the old folder aside, swap, drop it.
+def rewrite(spark: SparkSession, root: str, folder: str, keep: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Replace a folder by its kept rows (all without ``keep``) in few files, with the partitions inside it.
 
-    A run that dies in between leaves either the old folder in place or both
-    complete copies under the staging folder, never a partial one.
+    The copy is staged first.  While the folders are exchanged the table is marked, and opening it fails
+    instead of showing it without them; a run that dies there leaves the mark, and :func:`recover` ends the exchange.
+    Work on one folder is repeatable: the old folder is dropped only after the new one is in place.
     """
-    live, staged, old = f"{root}/{folder}", f"{root}/{STAGING}/new/{folder}", f"{root}/{STAGING}/old/{folder}"
-    keep(spark.read.parquet(live)).write.mode("overwrite").parquet(staged)
-    fs, old_path = _fs(spark, old)
-    live_path, staged_path = _fs(spark, live)[1], _fs(spark, staged)[1]
-    fs.delete(old_path, True)
-    fs.mkdirs(old_path.getParent())
-    for source, target in ((live_path, old_path), (staged_path, live_path)):
-        if not fs.rename(source, target):
-            raise OSError(f"cannot rename {source} to {target}")
-    fs.delete(old_path, True)
+    live, staged, old, busy = _places(root, folder)
+    fs, live_path = _fs(spark, live)
+    rows = spark.read.parquet(live)
+    inside = [c for c in ("server", "batch") if c in rows.columns and f"/{c}=" not in f"/{folder}"]
+    kept = keep(rows) if keep is not None else rows
+    writer = kept.hint("rebalance", *[F.col(c) for c in inside]).write.mode("overwrite")
+    (writer.partitionBy(*inside) if inside else writer).parquet(staged)
+    fs.mkdirs(_fs(spark, busy)[1])
+    _exchange(spark, root, folder)
+    spark.catalog.refreshByPath(root)
+
+
+def _places(root: str, folder: str) -> tuple[str, str, str, str]:
+    table = folder.split("/")[0]
+    name = folder.replace("/", "~")
+    return f"{root}/{folder}", f"{root}/{STAGING}/new/{name}", f"{root}/{STAGING}/old/{name}", f"{root}/{BUSY}/{table}/{name}"
+
+
+def _exchange(spark: SparkSession, root: str, folder: str) -> None:
+    live, staged, old, busy = (_fs(spark, p)[1] for p in _places(root, folder))
+    fs = _fs(spark, root)[0]
+    if fs.exists(staged):
+        fs.mkdirs(old.getParent())
+        if fs.exists(live):
+            fs.delete(old, True)
+            _rename(fs, live, old)
+        _rename(fs, staged, live)
+    fs.delete(old, True)
+    fs.delete(busy, True)
+    table = busy.getParent()
+    if not fs.listStatus(table):
+        fs.delete(table, False)
+
+
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
+def recover(spark: SparkSession, root: str) -> list[str]:
+    """End exchanges that an interrupted rewrite left behind; returns their folders."""
+    fs, busy = _fs(spark, f"{root}/{BUSY}")
+    done = []
+    for table in fs.listStatus(busy) if fs.exists(busy) else []:
+        for mark in fs.listStatus(table.getPath()):
+            done.append(mark.getPath().getName().replace("~", "/"))
+            _exchange(spark, root, done[-1])
     spark.catalog.refreshByPath(root)
+    return done
+
+
+def compact(spark: SparkSession, root: str, table: str, before: date) -> list[str]:
+    """Gather the small files of all days before ``before``: one server folder after the other.
+
+    Batches of events become one, so a day must be closed: no stream will write one of its batches again.  The
+    ``snapshot`` table has no days and is gathered whole.
+    """
+    if table in schemas.DIMENSIONS:
+        rewrite(spark, root, table)
+        return [table]
+    done = []
+    for day in (d for d in _days(spark, root, table) if d < before):
+        fs, path = _fs(spark, f"{root}/{table}/date={day.isoformat()}")
+        for status in fs.listStatus(path):
+            name = status.getPath().getName()
+            if not re.fullmatch(r"server=\d+", name):
+                continue
+            files = fs.getContentSummary(status.getPath()).getFileCount()
+            if files > FILES:
+                folder = f"{table}/date={day.isoformat()}/{name}"
+                closed = (lambda df: df.withColumn("batch", F.lit("closed"))) if table in schemas.EVENT_TIME else None
+                rewrite(spark, root, folder, closed)
+                done.append(folder)
+    return done
 
 
 def del_snapshot(spark: SparkSession, root: str, snapid: int) -> None:
-    """Delete one snapshot: its row first, so readers stop seeing it, then its facts."""
+    """Delete one snapshot: its row first, so readers stop seeing it, then its facts.
+
+    Only the folders of its own day and server are written anew.
+    """
     repo = Repository(spark, path=root)
-    found = repo.table("snapshot").where(F.col("snapid") == snapid).select(F.to_date("time").alias("d")).first()
+    mark = repo.table("snapshot").where(F.col("snapid") == snapid)
+    found = mark.select(utc_day(F.col("time")).cast("string").alias("d"), server_of(F.col("instid")).alias("s")).first()
     if found is None:
         return
     rewrite(spark, root, "snapshot", lambda df: without_snapshot(df, snapid))
     for table in schemas.snapshot_facts():
-        if found["d"] in _days(spark, root, table):
-            rewrite(spark, root, f"{table}/date={found['d'].isoformat()}", lambda df: without_snapshot(df, snapid))
+        folder = f"{table}/date={found['d']}/server={found['s']}"
+        if _exists(spark, f"{root}/{folder}"):
+            rewrite(spark, root, folder, lambda df: without_snapshot(df, snapid))
 
 
 def del_snapshots_before(spark: SparkSession, root: str, before: datetime) -> None:
@@ -117,16 +190,17 @@ def del_snapshots_before(spark: SparkSession, root: str, before: datetime) -> No
     moment = F.lit(before).cast("timestamp")
     rewrite(spark, root, "snapshot", lambda df: kept_snapshots(df, moment))
     kept = Repository(spark, path=root).table("snapshot")
+    day = _day_of(spark, moment)
     for table in schemas.snapshot_facts():
-        expire_days(spark, root, table, before.date(), lambda df: kept_facts(df, kept))
-    oldest = kept.agg(F.min("time")).first()[0]
-    if oldest is None:
+        expire_days(spark, root, table, day, lambda df: kept_facts(df, kept))
+    oldest = kept.agg(F.min("time").alias("t"), F.min(utc_day(F.col("time"))).alias("d")).first()
+    if oldest["t"] is None:
         return
     for table, at in schemas.EVENT_TIME.items():
         if table != "log":
-            expire_days(spark, root, table, oldest.date(), lambda df, at=at: df.where(F.col(at) >= F.lit(oldest)))
+            expire_days(spark, root, table, oldest["d"], lambda df, at=at: df.where(F.col(at) >= F.lit(oldest["t"])))
 
 
 def del_repolog(spark: SparkSession, root: str, before: datetime) -> None:
     moment = F.lit(before).cast("timestamp")
-    expire_days(spark, root, "log", before.date(), lambda df: kept_log(df, moment))
+    expire_days(spark, root, "log", _day_of(spark, moment), lambda df: kept_log(df, moment))

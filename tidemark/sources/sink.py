@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import time as clock
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime
@@ -13,11 +15,12 @@ from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.plans.alerts import RULES, alerts, as_log_rows
-from tidemark.repository import Repository, _exists
+from tidemark.repository import Repository, _exists, server_of, utc_day
 
 # facts kept only for databases that the snapshot knows
 GUARDED = ("statement", "plan", "rusage")
-CLAIMS = "snapshot_claim"
+CLAIMS = "_snapshot_claim"
+CLAIMS_KEPT = 100  # more than writers that claim at the same moment
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -40,30 +43,44 @@ def known_databases(df: DataFrame, database: DataFrame) -> DataFrame:
     return df.join(database.select("snapid", "dbid"), ["snapid", "dbid"], "left_semi")
 
 
-def append_fact(df: DataFrame, root: str, table: str, day: Column) -> None:
-    """Append rows of a snapshot fact to their day folder, sorted for row-group skipping."""
-    rows = conform(df, table).withColumn("date", day.cast("date"))
-    rows.sortWithinPartitions("date", "snapid").write.partitionBy("date").mode("append").parquet(f"{root}/{table}")
+def append_fact(df: DataFrame, root: str, table: str, day: Column, instid: int | Column) -> None:
+    """Append rows of a snapshot fact to the folder of their UTC day and server bucket.
+
+    Rebalancing makes one file of a small snapshot and splits a large one; files are sorted for row-group skipping.
+    """
+    owner = F.lit(instid) if isinstance(instid, int) else instid
+    rows = conform(df, table).withColumns({"date": day.cast("date"), "server": server_of(owner)})
+    rows = rows.hint("rebalance").sortWithinPartitions("date", "server", "snapid")
+    rows.write.partitionBy("date", "server").mode("append").parquet(f"{root}/{table}")
 
 
-def append_events(df: DataFrame, root: str, table: str) -> None:
-    """Append event rows to the folder of their own day.
+def append_events(df: DataFrame, root: str, table: str, batch: str | None = None) -> None:
+    """Write event rows to the folder of their own UTC day, server bucket and batch.
 
-    Rebalancing gathers a day's rows for few files but lets adaptive execution
-    split a day (or a whole micro-batch) that is too large for one task.
+    A named batch that is written again replaces itself, so a retried micro-batch is stored once; without a name the
+    rows are a batch of their own.  Rebalancing gathers a day's rows for few files but lets adaptive
+    execution split a day (or a whole micro-batch) that is too large for one task.
     """
     at = schemas.EVENT_TIME[table]
-    rows = conform(df, table).withColumn("date", F.to_date(F.col(at)))
-    spread = rows.hint("rebalance", F.col("date")).sortWithinPartitions("date", "instid", at)
-    spread.write.partitionBy("date").mode("append").parquet(f"{root}/{table}")
+    rows = conform(df, table).withColumns(
+        {
+            "date": utc_day(F.col(at)),
+            "server": server_of(F.coalesce("instid", F.lit(0))),
+            "batch": F.lit(uuid.uuid4().hex if batch is None else batch),
+        }
+    )
+    spread = rows.hint("rebalance", F.col("date"), F.col("server")).sortWithinPartitions("date", "server", "instid", at)
+    writer = spread.write.partitionBy("date", "server", "batch").mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").parquet(f"{root}/{table}")
 
 
 def append_dimension(df: DataFrame, root: str, table: str) -> None:
     conform(df, table).write.mode("append").parquet(f"{root}/{table}")
 
 
-def append_text(lines: DataFrame, path: str) -> None:
-    lines.write.mode("append").text(path)
+def append_text(lines: DataFrame, path: str, batch: str | None = None) -> None:
+    """Write text lines to the folder of their batch; a named batch replaces itself."""
+    lines.write.mode("overwrite").text(f"{path}/batch={uuid.uuid4().hex if batch is None else batch}")
 
 
 # --- snapshots ---------------------------------------------------------------
@@ -75,27 +92,52 @@ class Snapshot:
     alerts: int
 
 
-def _folder_bytes(spark: SparkSession, root: str) -> int:
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(path).getLength()) if fs.exists(path) else 0
+def _path(spark: SparkSession, location: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _bytes(spark: SparkSession, folders: list[str]) -> int:
+    """Size of a few folders; the rest of the repository is not looked at."""
+    total = 0
+    for folder in folders:
+        fs, path = _path(spark, folder)
+        total += int(fs.getContentSummary(path).getLength()) if fs.exists(path) else 0
+    return total
+
+
+def _created(fs, path) -> bool:
+    """Create an empty file unless it is there; of several writers one succeeds."""
+    if fs.getScheme() != "file":
+        return fs.createNewFile(path)
+    try:  # Hadoop's local file system looks first and creates then
+        os.close(os.open(path.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+    except FileExistsError:
+        return False
+    return True
 
 
 def claim_snapshot(spark: SparkSession, root: str) -> int:
-    """Reserve the next snapshot id (one writer at a time, as the agent has).
+    """Reserve the next snapshot id; several writers may claim at once.
 
-    Claims are kept apart from published snapshots: a run that dies leaves rows
-    under an id no reader ever sees and no later run takes again.
+    A claim is a file named by its id, created only if it is not there.  Claims are kept apart from published
+    snapshots: a run that dies leaves rows under an id no reader ever sees and no later run takes again.  Of claims only
+    the newest matter, so older files are removed.
     """
-    claims = f"{root}/{CLAIMS}"
-    last = 0
-    if _exists(spark, claims):
-        last = spark.read.schema("snapid bigint").parquet(claims).agg(F.max("snapid")).first()[0] or 0
-    if _exists(spark, f"{root}/snapshot"):
+    fs, folder = _path(spark, f"{root}/{CLAIMS}")
+    fs.mkdirs(folder)
+    names = [status.getPath().getName() for status in fs.listStatus(folder)]
+    taken = sorted(int(n) for n in names if n.isdigit())
+    last = taken[-1] if taken else 0
+    if not taken and _exists(spark, f"{root}/snapshot"):
         published = spark.read.schema(schemas.struct("snapshot")).parquet(f"{root}/snapshot")
-        last = max(last, published.agg(F.max("snapid")).first()[0] or 0)
-    spark.range(last + 1, last + 2).toDF("snapid").coalesce(1).write.mode("append").parquet(claims)
-    return last + 1
+        last = published.agg(F.max("snapid")).first()[0] or 0
+    snapid = last + 1
+    while not _created(fs, _path(spark, f"{root}/{CLAIMS}/{snapid}")[1]):
+        snapid += 1
+    for old in taken[:-CLAIMS_KEPT]:
+        fs.delete(_path(spark, f"{root}/{CLAIMS}/{old}")[1], False)
+    return snapid
 
 
 def append_snapshot(
@@ -114,27 +156,29 @@ def append_snapshot(
     Readers join facts to published snapshots, so a partial snapshot is invisible.
     """
     started = clock.monotonic()
-    size_before = _folder_bytes(spark, root)
     snapid = claim_snapshot(spark, root)
-    day = F.to_date(F.lit(at))
+    row = _snapshot_row(spark, snapid, instid, at, comment, xid_current)
+    place = row.select(utc_day(F.col("time")).cast("string"), server_of(F.col("instid"))).first()
+    own = [f"{root}/{name}/date={place[0]}/server={place[1]}" for name in (*facts, "alert_message", "log")]
+    size_before = _bytes(spark, own)
+    day = F.lit(place[0]).cast("date")
     database = stamped(facts["database"], snapid) if "database" in facts else None
     for name, rows in facts.items():
         rows = stamped(rows, snapid)
         if name in GUARDED and database is not None:
             rows = known_databases(rows, database)
-        append_fact(rows, root, name, day)
-    row = _snapshot_row(spark, snapid, instid, at, comment, xid_current)
+        append_fact(rows, root, name, day, instid)
     found = _judge(spark, root, row, snapid, rules)
-    append_fact(found, root, "alert_message", day)
-    repo = Repository(spark, path=root)
-    stored = repo.table("alert_message").where((F.col("snapid") == snapid))
+    append_fact(found, root, "alert_message", day, instid)
+    repo = Repository(spark, {"snapshot": row}, path=root)
+    stored = repo.at("alert_message", snapid)  # from its own folder
     if alerts_to_log:
         shown = Repository(spark, {"snapshot": row})
-        append_events(as_log_rows(stored, shown), root, "log")
+        append_events(as_log_rows(stored, shown), root, "log", f"alerts-{snapid}")
     finished = row.withColumns(
         {
             "exec_time": F.lit(int((clock.monotonic() - started) * 1_000_000)).cast("bigint"),
-            "snapshot_increase_size": F.lit(_folder_bytes(spark, root) - size_before).cast("bigint"),
+            "snapshot_increase_size": F.lit(_bytes(spark, own) - size_before).cast("bigint"),
         }
     )
     append_dimension(finished, root, "snapshot")

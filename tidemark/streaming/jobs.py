@@ -1,11 +1,13 @@
 """Structured Streaming jobs over the server log.
 
 Progress is the streaming checkpoint.  Its folder must be reachable by all
-executors; callers pass it, as they pass the repository root.
+executors; callers pass it, as they pass the repository root.  Every delivery is named by its stream's
+checkpoint and batch id, and a batch that Spark delivers again replaces what it stored before.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -28,35 +30,35 @@ def store_log(
     log: DataFrame, root: str, checkpoint: str, route: Route, once: bool = False
 ) -> StreamingQuery:
     """Append accepted records to the day-partitioned ``log`` table."""
-    return _start(routed(log, route), checkpoint, lambda df, _: append_events(df, root, "log"), once)
+    return _start(routed(log, route), checkpoint, lambda df, b: append_events(df, root, "log", b), once)
 
 
 def route_logs(
-    log: DataFrame, checkpoint: str, sinks: Mapping[str, tuple[Route, Callable[[DataFrame], None]]], once: bool = False
+    log: DataFrame, checkpoint: str, sinks: Mapping[str, tuple[Route, Callable[[DataFrame, str], None]]], once: bool = False
 ) -> StreamingQuery:
     """One read of the stream for several destinations with their own thresholds."""
 
-    def deliver(batch: DataFrame, _: int) -> None:
+    def deliver(batch: DataFrame, name: str) -> None:
         batch.persist()
         try:
             for route, write in sinks.values():
-                write(routed(batch, route))
+                write(routed(batch, route), name)
         finally:
             batch.unpersist()
 
     return _start(log, checkpoint, deliver, once)
 
 
-def text_sink(path: str, prefix: str, verbosity: int) -> Callable[[DataFrame], None]:
-    return lambda df: append_text(df.select(format_log_line(prefix, verbosity).alias("value")), path)
+def text_sink(path: str, prefix: str, verbosity: int) -> Callable[[DataFrame, str], None]:
+    return lambda df, batch: append_text(df.select(format_log_line(prefix, verbosity).alias("value")), path, batch)
 
 
 def store_vacuum_and_analyze(log: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    def deliver(batch: DataFrame, _: int) -> None:
+    def deliver(batch: DataFrame, name: str) -> None:
         batch.persist()
         try:
-            append_events(events.autovacuum_events(batch), root, "autovacuum")
-            append_events(events.autoanalyze_events(batch), root, "autoanalyze")
+            append_events(events.autovacuum_events(batch), root, "autovacuum", name)
+            append_events(events.autoanalyze_events(batch), root, "autoanalyze", name)
         finally:
             batch.unpersist()
 
@@ -76,23 +78,29 @@ def cancel_stream(log: DataFrame) -> DataFrame:
 
 
 def store_checkpoints(log: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    return _start(checkpoint_stream(log), checkpoint, lambda df, _: append_events(df, root, "checkpoint"), once)
+    return _start(checkpoint_stream(log), checkpoint, lambda df, b: append_events(df, root, "checkpoint", b), once)
 
 
 def store_cancels(log: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    def deliver(batch: DataFrame, _: int) -> None:
+    def deliver(batch: DataFrame, name: str) -> None:
         batch.persist()
         try:
-            append_events(events.autovacuum_cancels(batch), root, "autovacuum_cancel")
-            append_events(events.autoanalyze_cancels(batch), root, "autoanalyze_cancel")
+            append_events(events.autovacuum_cancels(batch), root, "autovacuum_cancel", name)
+            append_events(events.autoanalyze_cancels(batch), root, "autoanalyze_cancel", name)
         finally:
             batch.unpersist()
 
     return _start(cancel_stream(log), checkpoint, deliver, once)
 
 
-def _start(df: DataFrame, checkpoint: str, deliver: Callable[[DataFrame, int], None], once: bool) -> StreamingQuery:
-    writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(deliver)
+def batch_name(checkpoint: str, batch: int) -> str:
+    """Name of a stream's batch: the same whenever it is delivered again."""
+    return f"{zlib.crc32(checkpoint.rstrip('/').encode()):08x}-{batch}"
+
+
+def _start(df: DataFrame, checkpoint: str, deliver: Callable[[DataFrame, str], None], once: bool) -> StreamingQuery:
+    writer = df.writeStream.option("checkpointLocation", checkpoint)
+    writer = writer.foreachBatch(lambda rows, batch: deliver(rows, batch_name(checkpoint, batch)))
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=STORE_INTERVAL)
     return writer.start()
 
