@@ -116,15 +116,27 @@ WAIT_KEY = ["instid", "dbid", "userid", "queryid", "backend_type", "event_type",
 def wait_profile(samples: DataFrame, width: str = SNAPSHOT_WINDOW, keep_queries: bool = True) -> DataFrame:
     """Cumulative count of waiting samples per key at the end of each snapshot window.
 
-    Counts are reduced per window first, so the running total sees one row per
-    key and window.
+    Counts are reduced per window first.  The running total is cut by day: each day is summed alone and starts from
+    the total of the key's days before, so no window group holds more than a day's windows or one row per day.
     """
     waiting = samples.where(F.col("event").isNotNull())
     if not keep_queries:
         waiting = waiting.withColumn("queryid", F.lit(0).cast("bigint"))
     counted = waiting.groupBy(window_start(width).alias("snap_start"), *WAIT_KEY).agg(F.count(F.lit(1)).alias("count"))
-    so_far = Window.partitionBy(*WAIT_KEY).orderBy("snap_start").rowsBetween(Window.unboundedPreceding, 0)
-    return counted.withColumn("count", F.sum("count").over(so_far))
+    counted = counted.withColumn("_day", F.unix_date(F.to_date("snap_start")))
+    inside = Window.partitionBy(*WAIT_KEY, "_day").orderBy("snap_start").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*WAIT_KEY).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = counted.groupBy(*WAIT_KEY, "_day").agg(F.sum("count").alias("_n"))
+    carried = days.select(
+        *[F.col(k).alias(f"_{k}") for k in WAIT_KEY],
+        F.col("_day").alias("_of"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+    )
+    same = F.col("_day") == F.col("_of")
+    for k in WAIT_KEY:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    running = counted.withColumn("count", F.sum("count").over(inside)).join(carried, same)
+    return running.select("snap_start", *WAIT_KEY, (F.col("count") + F.col("_before")).alias("count"))
 
 
 RUSAGE_KEY = ["instid", "dbid", "userid", "queryid"]

@@ -268,14 +268,14 @@ SELECT snapid, CONCAT('slot_', event_type) AS slot_name, CAST(SUM(n) OVER w AS B
        CASE WHEN kind = 3 THEN NULL ELSE FROM_MICROS_(1704067200000000 + kind * 1000000 + CASE WHEN kind = 2 AND d >= 16 THEN 86400000000 ELSE 0 END) END AS stats_reset
 FROM x_kind WINDOW w AS (PARTITION BY instid, event_type, CASE WHEN kind = 2 AND d >= 16 THEN 1 ELSE 0 END ORDER BY d)"""
 F["alert_message"] = """
-SELECT snapid, CONCAT('alert ', CAST(event_id AS STRING)) AS message FROM x_events WHERE kind = 3 AND v > 3000"""
+SELECT snapid, CONCAT('alert ', CAST(event_id AS STRING)) AS message FROM x_events"""
 F["cpuinfo"] = """
 SELECT instid, time AS timestamp, 'vendor' AS vendor_id, CONCAT('model ', CAST(n % 3 AS STRING)) AS model_name,
        CAST(2400 AS FLOAT) AS cpu_mhz, CAST(n % 8 + 1 AS INT) AS processors, CAST(2 AS INT) AS threads_per_core,
        CAST(n % 4 + 1 AS INT) AS cores_per_socket, CAST(n % 2 + 1 AS INT) AS sockets
-FROM x_marks WHERE d IN (3, 10, 17, 24)"""
+FROM x_marks"""
 F["meminfo"] = """
-SELECT instid, time AS timestamp, v * 100000 AS mem_total FROM x_marks WHERE d IN (2, 8, 14, 20, 26)"""
+SELECT instid, time AS timestamp, v * 100000 AS mem_total FROM x_marks"""
 
 # --- event tables ------------------------------------------------------------
 F["x_names"] = """
@@ -435,10 +435,18 @@ SELECT event_id, instid, ts, DATE_TRUNC('hour', ts) AS sampled_at, user_id AS pi
        CASE kind WHEN 1 THEN 'idle' WHEN 2 THEN 'idle in transaction' WHEN 5 THEN 'disabled' ELSE 'active' END AS state,
        DATE_TRUNC('day', ts) AS xact_start, v % 11 = 0 AS in_vacuum, CONCAT('q', CAST(event_id AS STRING)) AS query
 FROM x_events"""
+F["x_disk_days"] = """
+SELECT instid, event_type, d, CAST(SUM(v) AS BIGINT) AS v FROM x_events GROUP BY instid, event_type, d"""
+F["x_disk_before"] = """
+SELECT instid AS i, event_type AS e, d AS day,
+       COALESCE(SUM(v) OVER (PARTITION BY instid, event_type ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+FROM x_disk_days"""
+# totals of the days before, and a running sum inside each day
 F["x_disks"] = """
-SELECT instid, event_type AS device, ts AS sampled_at, d, event_id, SUM(v) OVER w % 900000 AS rd_sectors, SUM(v * 3) OVER w % 800000 AS wr_sectors,
-       SUM(v) OVER w % 70000 AS rd_ticks, SUM(v * 2) OVER w % 60000 AS wr_ticks, SUM(v * 5) OVER w % 50000 AS rq_ticks
-FROM x_events WINDOW w AS (PARTITION BY instid, event_type ORDER BY ts, event_id)"""
+SELECT instid, device, sampled_at, d, event_id, CAST(t AS BIGINT) % 900000 AS rd_sectors, CAST(t * 3 AS BIGINT) % 800000 AS wr_sectors,
+       CAST(t AS BIGINT) % 70000 AS rd_ticks, CAST(t * 2 AS BIGINT) % 60000 AS wr_ticks, CAST(t * 5 AS BIGINT) % 50000 AS rq_ticks
+FROM (SELECT instid, event_type AS device, ts AS sampled_at, d, event_id, b + SUM(v) OVER (PARTITION BY instid, event_type, d ORDER BY ts, event_id) AS t
+      FROM x_events JOIN x_disk_before ON instid = i AND event_type = e AND d = day) s"""
 F["x_waits"] = """
 SELECT instid, ts AS sampled_at, d, dbid, user_id % 5 AS userid, user_id % 20 AS queryid, 'client backend' AS backend_type,
        CASE WHEN kind < 4 THEN 'IO' ELSE 'Lock' END AS event_type, CASE WHEN kind <> 5 THEN CONCAT('ev', CAST(v % 4 AS STRING)) END AS event
@@ -463,7 +471,7 @@ SELECT snapid, dbid, CONCAT('db', CAST(dbid % 61 AS STRING)) AS datname, n3 < 30
        CAST(v AS DOUBLE) / 8 AS blk_read_time, CAST(n AS DOUBLE) / 4 AS blk_write_time
 FROM x_db"""
 F["c_roles"] = """
-SELECT DISTINCT snapid, o_userid AS oid, CONCAT('role', CAST(o_userid AS STRING)) AS rolname FROM (SELECT snapid, userid AS o_userid FROM x_orders) r WHERE o_userid < 4"""
+SELECT DISTINCT snapid, o_userid AS oid, CONCAT('role', CAST(o_userid AS STRING)) AS rolname FROM (SELECT snapid, userid AS o_userid FROM x_orders) r"""
 F["c_settings"] = """
 SELECT snapid, CONCAT('p', event_type) AS name, CAST(n AS STRING) AS setting, 'ms' AS unit,
        CASE kind WHEN 1 THEN 'client' WHEN 2 THEN 'default' ELSE 'configuration file' END AS source, CAST(n - n % 2 AS STRING) AS boot_val
@@ -497,8 +505,8 @@ SELECT starelid, staattnum, q % 3 = 1 AS stainherit, CAST(4 + q % 60 AS INT) AS
        CASE WHEN q % 7 = 0 THEN 3 ELSE 2 END AS stakind3, CASE WHEN q % 2 = 0 THEN 3 ELSE 2 END AS stakind4,
        ARRAY_(CAST(CAST(q % 100 AS DOUBLE) / 128 AS FLOAT)) AS stanumbers1, ARRAY_(CAST(CAST(q % 90 AS DOUBLE) / 128 AS FLOAT)) AS stanumbers2,
        ARRAY_(CAST(CAST(q % 80 AS DOUBLE) / 128 AS FLOAT)) AS stanumbers3, ARRAY_(CAST(CAST(q % 70 AS DOUBLE) / 128 AS FLOAT)) AS stanumbers4
-FROM (SELECT l_partkey AS starelid, CAST(l_linenumber AS SMALLINT) AS staattnum, SUM(CAST(l_quantity AS BIGINT)) AS q
-      FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_partkey, l_linenumber) g"""
+FROM (SELECT l_partkey AS starelid, CAST(l_linenumber AS SMALLINT) AS staattnum, SUM(CASE WHEN l_linestatus = 'O' THEN CAST(l_quantity AS BIGINT) END) AS q
+      FROM lineitem GROUP BY l_partkey, l_linenumber) g"""
 F["c_locks"] = """
 SELECT snapid * 100000 + user_id AS pid, ARRAY_(snapid * 100000 + user_id + 1, snapid * 100000 + user_id + 2) AS blocking_pids,
        CASE WHEN kind = 4 THEN snapid * 100000 + user_id END AS transactionid,
@@ -512,7 +520,8 @@ FROM x_events WHERE kind <> 5 GROUP BY snapid, user_id"""
 F["c_last"] = """
 SELECT snapid * 100000 + user_id AS pid, MAX(CONCAT('last ', CAST(event_id AS STRING))) AS queries FROM x_events WHERE kind <> 2 GROUP BY snapid, user_id"""
 F["c_prepared"] = """
-SELECT snapid * 100000 + user_id AS transaction, MIN(CONCAT('gid', CAST(event_id AS STRING))) AS gid FROM x_events WHERE kind = 4 AND v > 5000 GROUP BY snapid, user_id"""
+SELECT snapid * 100000 + user_id AS transaction, MIN(CASE WHEN kind = 4 AND v > 5000 THEN CONCAT('gid', CAST(event_id AS STRING)) END) AS gid
+FROM x_events GROUP BY snapid, user_id"""
 
 # --- scope of the checked reports ------------------------------------------
 F["o_scope"] = """

@@ -238,18 +238,23 @@ UNION ALL SELECT 2 + rn, 'sys' || k, 'host' || k, 5431 + k, '18.0' FROM f""",
 )
 add(
     "default_thresholds",
-    lambda r: register.with_default_thresholds(r.table("alert").where("instid = 1"), r.table("instance")).select("instid", "commit_tps", "garbage_percent", "loadavg_15min", "swap_size", "enable_alert"),
+    lambda r: register.with_default_thresholds(
+        r.table("alert"), r.table("instance").unionByName(r.table("instance").withColumn("instid", F.col("instid") + 2))
+    ).select("instid", "commit_tps", "garbage_percent", "loadavg_15min", "swap_size", "enable_alert"),
     """
-SELECT instid, commit_tps, CAST(garbage_percent AS BIGINT) AS garbage_percent, CAST(loadavg_15min AS DOUBLE) AS loadavg_15min, CAST(swap_size AS BIGINT) AS swap_size, enable_alert FROM alert WHERE instid = 1
-UNION ALL SELECT instid, 1000, 30, 5.0, 1000000, TRUE FROM instance WHERE instid <> 1""",
+SELECT instid, commit_tps, CAST(garbage_percent AS BIGINT) AS garbage_percent, CAST(loadavg_15min AS DOUBLE) AS loadavg_15min, CAST(swap_size AS BIGINT) AS swap_size, enable_alert FROM alert
+UNION ALL SELECT instid + 2, 1000, 30, 5.0, 1000000, TRUE FROM instance""",
 )
 add(
     "hardware_change_append",
     lambda r: register.changed_hardware(
-        r.table("meminfo"), r.table("x_marks").where("d = 27").select("instid", F.col("time").alias("timestamp"), F.when(F.col("instid") == 1, F.col("v") * 100000).otherwise(F.lit(5)).alias("mem_total")), "meminfo"
+        r.table("meminfo"),
+        r.table("x_marks").groupBy("instid").agg(F.max("time").alias("timestamp"), F.max_by("v", "d").alias("v"))
+        .select("instid", "timestamp", F.when(F.col("instid") == 1, F.col("v") * 100000).otherwise(F.lit(5)).alias("mem_total")),
+        "meminfo",
     ),
     f"""
-WITH n AS (SELECT instid, time, CASE WHEN instid = 1 THEN v * 100000 ELSE 5 END AS mem_total FROM x_marks WHERE d = 27),
+WITH n AS (SELECT instid, MAX(time) AS time, CASE WHEN instid = 1 THEN arg_max(v, d) * 100000 ELSE 5 END AS mem_total FROM x_marks GROUP BY instid),
      l AS (SELECT instid, arg_max(mem_total, "timestamp") AS last FROM meminfo GROUP BY instid)
 SELECT n.instid, {full("n.time")} AS "timestamp", n.mem_total FROM n LEFT JOIN l USING (instid) WHERE n.mem_total IS DISTINCT FROM l.last""",
 )
