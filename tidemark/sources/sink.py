@@ -25,11 +25,16 @@ CLAIMS_KEPT = 100  # more than writers that claim at the same moment
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Columns of ``table`` in order and type; missing ones are NULL."""
+    return df.select(*_columns(df, table))
+
+
+def _columns(df: DataFrame, table: str, but: tuple[str, ...] = ()) -> list[Column]:
     columns = []
     for f in schemas.struct(table).fields:
-        value = F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)
-        columns.append(value.cast(f.dataType).alias(f.name))
-    return df.select(*columns)
+        if f.name not in but:
+            value = F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)
+            columns.append(value.cast(f.dataType).alias(f.name))
+    return columns
 
 
 def stamped(df: DataFrame, snapid: int, day: Column | None = None) -> DataFrame:
@@ -49,7 +54,8 @@ def append_fact(df: DataFrame, root: str, table: str, day: Column, instid: int |
     Rebalancing makes one file of a small snapshot and splits a large one; files are sorted for row-group skipping.
     """
     owner = F.lit(instid) if isinstance(instid, int) else instid
-    rows = conform(df, table).withColumns({"date": day.cast("date"), "server": server_of(owner)})
+    place = df.withColumns({"date": day.cast("date"), "server": server_of(owner)})
+    rows = place.select(*_columns(place, table, but=("date",)), "date", "server")
     rows = rows.hint("rebalance").sortWithinPartitions("date", "server", "snapid")
     rows.write.partitionBy("date", "server").mode("append").parquet(f"{root}/{table}")
 
