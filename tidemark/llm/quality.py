@@ -28,7 +28,7 @@ RULES = (
     Rule("word_length", "word_chars * 100 DIV nullif(n_words, 0)", 150, low=True),
     Rule("symbols", "n_symbols * 1000 DIV nullif(word_chars, 0)", 60),
     Rule("dup_lines", "n_dup_lines * 1000 DIV nullif(n_words, 0)", 20),
-    Rule("repeats", "n_repeat_words * 1000 DIV nullif(n_words, 0)", 150),
+    Rule("repeats", "n_repeat_words * 1000 DIV nullif(n_words, 0)", 300),
 )
 SPREAD = 3  # quartile ranges beyond the quartiles
 LEAST = 100  # documents a group needs for thresholds of its own
