@@ -1,5 +1,8 @@
 """Wall time of the headline queries; prints one JSON line.
 
+``queries`` time a report with the derivation of its repository.  ``stored`` writes some of the derived tables once
+(``write``) and times reports on them: the least and the greatest of three runs after a first one.
+
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
 BENCH_ALL=1 to time every registered query.
 """
@@ -14,7 +17,19 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tidemark import build_session  # noqa: E402
+from tidemark.plans import databases, relations, statements  # noqa: E402
 from workload import QUERIES  # noqa: E402
+from workload.frames import DerivedRepository  # noqa: E402
+from workload.oracle import B, E  # noqa: E402
+from workload.stored import _stored  # noqa: E402
+
+STORED = {
+    "dbstats": lambda r: databases.dbstats(r, B, E),
+    "xact_tendency": lambda r: databases.xact_tendency(r, B, E),
+    "heavily_updated_tables": lambda r: relations.heavily_updated_tables(r, B, E),
+    "schema_info_tables": lambda r: relations.schema_info_tables(r, B, E),
+    "query_statements": lambda r: statements.query_statements(r, B, E),
+}
 
 HEADLINE = [
     "dbstats", "xact_tendency", "db_rusage", "wal_stats", "cpu_loadavg_average", "io_usage", "io_usage_tendency",
@@ -26,6 +41,22 @@ HEADLINE = [
 ]
 
 
+def _seconds(run) -> float:
+    started = time.perf_counter()
+    run()
+    return round(time.perf_counter() - started, 3)
+
+
+def stored_times(spark, sf_dir: str) -> dict:
+    found = []
+    write = _seconds(lambda: found.append(_stored(DerivedRepository(spark, sf_dir), "database", "schema", "table", "column", "statement", "role")))
+    out = {"write": write}
+    for name, build in STORED.items():
+        runs = [_seconds(lambda b=build: b(found[0]).write.format("noop").mode("overwrite").save()) for _ in range(4)]
+        out[name] = [min(runs[1:]), max(runs[1:])]
+    return out
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -38,6 +69,7 @@ def main() -> None:
         started = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - started, 3)
+    stored = stored_times(spark, sf_dir)
     print(
         json.dumps(
             {
@@ -45,6 +77,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "stored": stored,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }
         )
