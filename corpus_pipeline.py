@@ -29,10 +29,15 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(row).alias("_row"), F.count("*").alias("_n"))
     chosen = stored(ids.join(rows, "doc_id"), "chosen")
     single, several = stored(chosen.where("_n = 1"), "single"), stored(chosen.where("_n > 1"), "several")
-    stay = docs.join(single.select("doc_id"), "doc_id", "left_semi")
-    again = docs.withColumn("_row", row).join(several.select("doc_id", "_row"), ["doc_id", "_row"], "left_semi").drop("_row")
-    parts = [x.select(*docs.columns) for x in (stay, again.dropDuplicates(), docs.where("doc_id IS NULL"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # each partition hashes its ids only, so texts are moved once and never sorted, at any size
+    parts = [docs.join(single.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi"), docs.where("doc_id IS NULL")]
+    if not several.isEmpty():
+        again = docs.withColumn("_row", row).join(several.select("doc_id", "_row"), ["doc_id", "_row"], "left_semi")
+        parts.append(again.drop("_row").dropDuplicates())
+    out = parts[0].select(*docs.columns)
+    for more in parts[1:]:
+        out = out.unionByName(more.select(*docs.columns))
+    return out
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
