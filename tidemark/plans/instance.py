@@ -49,12 +49,12 @@ def proc_tendency(repo: Repository, begin: int, end: int, true_previous: bool =
     lasted = seconds_rounded(span(F.col("time"), F.col("prev_time")))
     spans = spans.select("snapid", "time", F.coalesce(lasted, F.lit(SNAPSHOT_SECONDS)).alias("lasted"))
     every = (
-        repo.scoped("setting", begin, end)
+        repo.ranged("setting", begin, end)
         .where(F.col("name").like(SAMPLING_SETTING))
         .select("snapid", F.col("setting").cast("int").alias("every"))
     )
     marks = (
-        repo.scoped("activity", begin, end)
+        repo.ranged("activity", begin, end)
         .where(F.col("idle").isNotNull())
         .join(spans, "snapid")
         .join(every, "snapid", "left")
@@ -98,7 +98,7 @@ def proc_tendency_with_average(repo: Repository, begin: int, end: int) -> DataFr
 
 
 def _wal_marks(repo: Repository, begin: int, end: int) -> DataFrame:
-    archive = repo.scoped("archive", begin, end).select(
+    archive = repo.ranged("archive", begin, end).select(
         "snapid", "last_archived_wal", "archived_count", "failed_count"
     )
     marks = (
@@ -235,7 +235,7 @@ _BGWRITER = {
 
 def bgwriter_tendency(repo: Repository, begin: int, end: int) -> DataFrame:
     backend = (
-        repo.scoped("stat_io", begin, end)
+        repo.ranged("stat_io", begin, end)
         .where("backend_type = 'client backend' AND object = 'relation' AND context = 'normal'")
         .select("snapid", "writes", "fsyncs")
     )

@@ -197,9 +197,7 @@ def autoanalyze_stats(repo: Repository, begin: int, end: int) -> DataFrame:
         )
     )
     # The scope's snapshots are broadcast first, so only this instance's rows meet the names.
-    reader = lambda name: repo.scoped(name, begin, end).join(
-        repo.timeline(begin, end).select("snapid"), "snapid", "left_semi"
-    )
+    reader = lambda name: repo.scoped(name, begin, end)
     modified = (
         view_tables(repo, reader).groupBy(*TABLE).agg(F.max("n_mod_since_analyze").alias("mod_rows_max"))
     )

@@ -49,7 +49,7 @@ def _delay(of: str) -> Column:
 
 def replication_delays(repo: Repository, begin: int, end: int) -> DataFrame:
     """Flush and replay lag in bytes of physical (or slot-less) senders."""
-    slots = repo.scoped("replication_slots", begin, end).select(
+    slots = repo.ranged("replication_slots", begin, end).select(
         "snapid", F.col("active_pid").alias("procpid"), "slot_name", "slot_type"
     )
     senders = (

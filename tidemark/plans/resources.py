@@ -45,7 +45,7 @@ _LOADS = ("loadavg1", "loadavg5", "loadavg15")
 
 
 def cpu_loadavg_tendency(repo: Repository, begin: int, end: int) -> DataFrame:
-    loads = repo.scoped("loadavg", begin, end)
+    loads = repo.ranged("loadavg", begin, end)
     return (
         label(_cpu_shares(repo, begin, end).join(loads, "snapid"))
         .orderBy("snapid")

@@ -47,9 +47,7 @@ def query_functions(repo: Repository, begin: int, end: int, limit: int | None =
 
 
 def _scoped(repo: Repository, name: str, begin: int, end: int) -> DataFrame:
-    return repo.scoped(name, begin, end).join(
-        repo.timeline(begin, end).select("snapid"), "snapid", "left_semi"
-    )
+    return repo.scoped(name, begin, end)
 
 
 def _per(total: Column, n: Column) -> Column:
