@@ -15,7 +15,7 @@ from tidemark.llm.graph import components, unite
 
 MAX_PIVOTS = 1024  # reference points of one dimension at most: the bounded sample the index is fitted on
 PER_PIVOT = 40  # vectors per reference point aimed at
-DEPTH = 8  # nearest reference points that describe a vector
+DEPTH = 12  # nearest reference points that describe a vector
 SHARED = 2  # reference points two vectors must share to be compared
 LIST = 2048  # members of an inverted list handled at once
 
@@ -178,7 +178,8 @@ def near_duplicates(
     entries = stored(described, "described").withColumn("dim", F.size("vector"))
     entries = entries.withColumn("pivot", F.explode("near")).withColumn("list", F.xxhash64("label", "dim", "pivot"))
     hot = entries.groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > size)
-    hot = hot.select("list", F.ceil(F.col("n") / size).cast("int").alias("chunks"))
+    # written apart: where it is small, as is usual, its size is known and vectors need not move for this join
+    hot = stored(hot.select("list", F.ceil(F.col("n") / size).cast("int").alias("chunks")), "hot")
     entries = entries.join(hot, "list", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     entries = entries.withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("chunks")).cast("int"))
     entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
