@@ -74,5 +74,19 @@ def test_odd_rows(spark):
     assert near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_links_inside_a_hot_group_of_near_copies(spark):
+    """Two thirds of the rows are distinct near copies: dense reference points would tell them apart by noise."""
+    rng = np.random.default_rng(11)
+    center = rng.normal(size=64)
+    near = center + 0.25 * rng.normal(size=(4000, 64))
+    v = np.vstack((near, rng.normal(size=(2000, 64)))).astype(np.float32)
+    docs = spark.createDataFrame([(i, x.tolist(), 1, "", "") for i, x in enumerate(v)], SCHEMA).repartition(4)
+    got = {r.vec_id: r.n_links for r in near_duplicates(docs).select("vec_id", "n_links").collect()}
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(axis=1) - 1
+    assert want.sum() > 1_000_000
+    assert [got[i] for i in range(len(v))] == want.tolist()
+
+
 def test_helper_components():
     assert brute_components([1, 2, 3], [0, 1, 255], 2) == {1: 1, 2: 1, 3: 3}

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored
 from tidemark.llm.graph import components, unite
 
-MAX_PIVOTS = 1024  # reference points of one dimension at most: the bounded sample the index is fitted on
+MAX_PIVOTS = 1024  # reference points of one dimension at most: chosen from the bounded sample the index is fitted on
+SPARE = 4  # sampled vectors per reference point wanted, since those near a chosen one are skipped
 PER_PIVOT = 40  # vectors per reference point aimed at
 DEPTH = 12  # nearest reference points that describe a vector
 SHARED = 2  # reference points two vectors must share to be compared
@@ -25,18 +26,32 @@ def _finite(column: str):
     return F.col(column).isNotNull() & ~bad & F.exists(column, lambda x: x != 0)
 
 
-def reference_points(vectors: DataFrame, n: int, limit: int = MAX_PIVOTS, per_pivot: int = PER_PIVOT) -> dict[int, np.ndarray]:
+def reference_points(
+    vectors: DataFrame, n: int, limit: int = MAX_PIVOTS, per_pivot: int = PER_PIVOT, cosine: float = 0.93
+) -> dict[int, np.ndarray]:
     """Unit reference points by dimension, from the vectors whose hashed id comes first.
 
-    Their number follows the number of vectors up to ``limit``.  A dimension that the sample misses uses the axes.
+    Their number follows the number of vectors up to ``limit``.  A vector within twice the link radius of a chosen point
+    is skipped, so a group of near copies has one point however many rows it holds: were the points as dense as
+    the rows, its members would be told apart by noise and share none.  A dimension that the sample misses uses the axes.
     """
     wanted = int(min(limit, max(4 * DEPTH, n // per_pivot)))
-    sample = vectors.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("vector").collect()
-    found: dict[int, list[np.ndarray]] = {}
-    for (v,) in sample:
-        v = np.array(v, dtype=np.float64)
-        found.setdefault(len(v), []).append(v / np.linalg.norm(v))
-    return {d: np.array(v) for d, v in found.items()}
+    close = max(2 * cosine**2 - 1, 0.5)  # cosine of twice the angle, of 60 degrees at most
+    sample = vectors.orderBy(F.xxhash64("rep"), "rep").limit(SPARE * wanted).select("vector").toArrow()
+    found: dict[int, np.ndarray] = {}
+    rows = pa.concat_arrays(sample.column("vector").chunks) if sample.num_rows else pa.array([], pa.list_(pa.float64()))
+    sizes = np.diff(rows.offsets.to_numpy())
+    flat, at = rows.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
+    for d in np.unique(sizes).tolist():
+        v = flat[at[sizes == d][:, None] + np.arange(d)].astype(np.float64)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        chosen, taken = [], np.zeros(len(v), dtype=bool)
+        for i in range(len(v)):
+            if not taken[i] and len(chosen) < wanted:
+                chosen.append(i)
+                taken |= v @ v[i] >= close
+        found[d] = v[chosen]
+    return found
 
 
 def _describe(pivots: dict[int, np.ndarray], depth: int):
@@ -70,10 +85,10 @@ def _describe(pivots: dict[int, np.ndarray], depth: int):
 def _matches(pivot: int, vectors: np.ndarray, near: np.ndarray, left: np.ndarray, right: np.ndarray, shared: int, cosine: float):
     """Linked index pairs between members ``left`` and ``right`` of one inverted list.
 
-    Candidates share ``shared`` reference points or more.  A pair is judged in the list of its smallest shared
-    point only, so it is met once.
+    Candidates share ``shared`` reference points or more, or all where a dimension has fewer.  A pair is judged in
+    the list of its smallest shared point only, so it is met once.
     """
-    own = left is right
+    own, shared = left is right, min(shared, near.shape[1])
     names, column = np.unique(near[np.concatenate((left, right))], return_inverse=True)
     column = column.reshape(len(left) + len(right), -1)
     has = np.zeros((len(column), len(names)), dtype=np.float32)
@@ -144,8 +159,8 @@ def near_duplicates(
 ) -> DataFrame:
     """Links between vectors of one label: ``vec_id, n_links, component_id, kept`` for ``vectors(vec_id, embedding, label)``.
 
-    Every vector is described by its ``depth`` nearest reference points (cosine; a bounded sample of at most
-    ``limit`` vectors supplies the points) and entered into the inverted list of each, by label.  Vectors that
+    Every vector is described by its ``depth`` nearest reference points (cosine; a bounded sample supplies
+    at most ``limit`` points of a dimension, spread beyond twice the link radius) and entered into the inverted list of each, by label.  Vectors that
     share ``shared`` points or more are candidates; their cosine is then computed in double precision.
     Lists beyond ``size`` members are cut into chunks that meet pairwise, so no task holds more than two.
 
@@ -170,7 +185,7 @@ def near_duplicates(
     )
     known = classes.where("rep IS NOT NULL")
     n = known.count()
-    points = reference_points(known, n, limit)
+    points = reference_points(known, n, limit, cosine=cosine)
     described = known.mapInArrow(
         _describe(points, depth),
         f"label {classes.schema['label'].dataType.simpleString()}, rep long, copies long, vector array<double>, near array<int>",
