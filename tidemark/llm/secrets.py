@@ -185,13 +185,13 @@ class Model:
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> frozenset[str]:
     """Frequent words of three letters or more over all whole texts.
 
-    A batch passes on the words it holds 8 times or more, so rare words never travel; counts are a lower bound.
+    Tasks pass on all their words with their counts, so the list does not depend on how rows lie in partitions.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
-            many = {w: n for w, n in tally.items() if n >= 8}
-            return pa.RecordBatch.from_arrays([pa.array(list(many), pa.string()), pa.array(list(many.values()), pa.int64())], ["w", "n"])
+            plain = {w: n for w, n in tally.items() if w.isalpha()}
+            return pa.RecordBatch.from_arrays([pa.array(list(plain), pa.string()), pa.array(list(plain.values()), pa.int64())], ["w", "n"])
 
         tally: Counter = Counter()
         for batch in batches:
