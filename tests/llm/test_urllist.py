@@ -59,6 +59,18 @@ def test_as_of_join(spark, epoch):
     assert all(r.kept for r in urllist.matched(frame, listed.limit(0)).collect())
 
 
+def test_keys_of_many_path_parts(spark):
+    entries = [("a.com/p/q/r", 1, "block"), ("a.com/p/q/r/s/T/u", 1, "allow"), ("b.org/x", 1, "block"), ("b.org/x/y/z", 1, "allow"), ("b.org/x/y/z", 9, "none")]
+    want = {
+        "http://a.com/p/q": None, "http://w.a.com/P/q//R": "a.com/p/q/r", "http://a.com/p/q/r/s/t": "a.com/p/q/r", "http://a.com/p/q/rr": None,
+        "http://a.com/p/q/r/s/t/u/v?x": "a.com/p/q/r/s/t/u", "http://b.org/x/y/z/1": "b.org/x/y/z", "http://b.org/x/y": "b.org/x",
+    }
+    pages = [(i, url, 5, "", "", "") for i, url in enumerate(want)] + [(99, "http://b.org/x/y/z", 9, "", "", "")]
+    got = urllist.matched(spark.createDataFrame(pages, PAGES), spark.createDataFrame(entries, "key string, at long, action string")).collect()
+    assert {r.url: r.matched_key for r in got} == want | {"http://b.org/x/y/z": "b.org/x"}
+    assert all(r.kept == (r.matched_key in (None, "a.com/p/q/r/s/t/u", "b.org/x/y/z")) for r in got)
+
+
 def test_intervals_are_disjoint(spark):
     entries = [("K", 1, "block"), ("k", 1, "allow"), ("k", 5, "block"), ("k", 5, "block"), ("k", 9, "none"), ("k", 12, "warn")]
     got = sorted(map(tuple, urllist.intervals(spark.createDataFrame(entries, "key string, at long, action string")).collect()), key=str)

@@ -39,7 +39,7 @@ def matched(captures: DataFrame, entries: DataFrame, epoch: int = EPOCH) -> Data
 
     As-of join: intervals are spread over the epochs they touch, captures carry their own, so a pair meets by an
     equality on key and epoch, and a key's long history is met in parts.  Keys of a capture are at most its host's
-    labels times its path's first parts; each meets one interval at most, since a key's intervals are
+    labels times the numbers of path parts that occur in the list; each meets one interval at most, since a key's intervals are
     disjoint.  Captures without host or time match nothing and are kept; repeated rows are judged each; extra
     columns are ignored; empty tables give empty results or no match.
     """
@@ -61,8 +61,11 @@ def matched(captures: DataFrame, entries: DataFrame, epoch: int = EPOCH) -> Data
     labels = F.split("host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    # no other beginning of a path can be a key
+    depths = entries.where("key IS NOT NULL").select((F.size(F.split("key", "/")) - 1).alias("n")).distinct().collect()
+    depths = F.expr(f"CAST(array({', '.join(str(r.n) for r in sorted(depths))}) AS ARRAY<INT>)")
     starts = F.transform(
-        F.sequence(F.lit(0), F.least(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(F.concat(F.array(F.lit("")), F.transform(parts, F.lower)), 1, i + 1), "/")
+        F.filter(depths, lambda i: i <= F.size(parts)), lambda i: F.array_join(F.slice(F.concat(F.array(F.lit("")), F.transform(parts, F.lower)), 1, i + 1), "/")
     )
     keys = F.flatten(F.transform(domains, lambda d: F.transform(starts, lambda s: F.concat(d, s))))
     asked = once.withColumn("epoch", F.floor(F.col("fetched") / epoch)).withColumn("key", F.explode(F.array_distinct(keys)))
