@@ -84,3 +84,11 @@ def test_dictionary_does_not_depend_on_partitions(spark):
         frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), SCHEMA)
         assert secrets.dictionary(frame, 1) == {"river"}
         assert secrets.dictionary(frame) == {"river", "mountain"}
+
+
+def test_long_values_count_whole():
+    start = "ab12" * 128
+    plain, mixed = (dict(zip(secrets.FEATURES, secrets.describe(start + rest, 0, 2048, frozenset({"river"})))) for rest in ("1" * 1536, "river/" * 256))
+    assert plain["digits"] == (256 + 1536) / 2048 and mixed["digits"] == 256 / 2048
+    assert plain["dictionary"] == 0 and mixed["dictionary"] == 5 * 256 / 2048
+    assert plain["slashes"] == 0 and mixed["slashes"] == 256 and plain["length"] == mixed["length"] == 2048

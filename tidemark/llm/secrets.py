@@ -61,15 +61,15 @@ def _covered(value: str, words: frozenset[str]) -> float:
 
 
 def describe(text: str, start: int, end: int, words: frozenset[str]) -> list[float]:
-    """Feature values, in the order of ``FEATURES``; values beyond 512 characters count by their first 512 in the ratios."""
-    value, n = text[start:end][:512], end - start
-    kinds, size = _classes(value), min(n, 512)
+    """Feature values of the whole span, in the order of ``FEATURES``."""
+    value, size = text[start:end], end - start
+    kinds = _classes(value)
     share = Counter(value)
     before, after = text[max(0, start - 48) : start], text[end : end + 24]
     near = " ".join(before.split()[-3:])
     left, right = before[-1:], after[:1]
     return [
-        n,
+        size,
         sum(a != b for a, b in zip(kinds, kinds[1:])) / max(size - 1, 1),
         -sum(c / size * math.log2(c / size) for c in share.values()),
         kinds.count("d") / size,
