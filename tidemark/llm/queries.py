@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import katz, langid, mixing, packing, pivots, quality, secrets, simhash, toxicity, urllist
+from tidemark.llm import katz, langid, mixing, packing, pivots, quality, recompression, secrets, simhash, toxicity, urllist
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity_nnpu")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_recompression_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = recompression.with_periods(table(spark, sf_dir, "documents"))
+    return recompression.digests(recompression.periodic_runs(docs))
