@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import katz, langid, mixing, packing, pivots, quality, recompression, secrets, simhash, toxicity, urllist
+from tidemark.llm import katz, langid, mixing, packing, pivots, quality, recompression, repair, secrets, simhash, toxicity, urllist
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,73 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = recompression.with_periods(table(spark, sf_dir, "documents"))
     return recompression.digests(recompression.periodic_runs(docs))
+
+
+#: Rows after damage, then one step per row: the least (cost, audit) in each state (0 start, 1 system, 2 user, 3 assistant), with up to
+#: two insertions before every row and at the end.
+_OP12_SQL = r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT) AS bytes
+  FROM conversations),
+coded AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+         lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS fault FROM raw),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM coded),
+placed AS (
+  SELECT conv_id, turn, role, text, copy, left(role, 1) AS initial,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS final
+  FROM damaged),
+turns AS (
+  SELECT *, CASE WHEN final = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS wrong,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM placed),
+facts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (wrong = 'blank') AS blank, count(*) FILTER (wrong = 'duplicate') AS duplicate,
+         count(*) FILTER (wrong = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv_id),
+ways AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS state, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS done FROM facts
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit, done FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) AS place FROM (
+      SELECT w.conv_id, t.i, CASE e.edit WHEN 'D' THEN w.state WHEN 'R' THEN CASE w.state WHEN 2 THEN 3 ELSE 2 END
+                             ELSE CASE t.initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS state,
+             w.cost + CASE e.edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN e.edit <> 'D' AND t.wrong = 'truncated' THEN 1 ELSE 0 END AS cost,
+             w.audit || e.edit AS audit,
+             CASE e.edit WHEN 'D' THEN w.done WHEN 'R' THEN list_append(w.done, CASE w.state WHEN 2 THEN 'assistant:' ELSE 'user:' END || t.text)
+             ELSE list_append(w.done, t.role || ':' || t.text) END AS done
+      FROM (SELECT conv_id, i, cost + 2 * k AS cost, audit || repeat('I', k) AS audit,
+                   CASE WHEN k = 0 THEN state WHEN k = 1 THEN CASE state WHEN 2 THEN 3 ELSE 2 END ELSE CASE state WHEN 2 THEN 2 ELSE 3 END END AS state,
+                   CASE WHEN k = 0 THEN done WHEN state = 2 THEN list_concat(done, ['assistant:', 'user:'][:k]) ELSE list_concat(done, ['user:', 'assistant:'][:k]) END AS done
+            FROM ways, (VALUES (0), (1), (2)) AS v(k)) AS w
+      JOIN turns AS t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1
+      CROSS JOIN (VALUES ('K'), ('R'), ('D')) AS e(edit)
+      WHERE e.edit = 'D' OR (t.wrong NOT IN ('blank', 'duplicate') AND (e.edit = 'R' OR (t.initial = 's' AND w.state = 0)
+            OR (t.initial = 'u' AND w.state <> 2) OR (t.initial = 'a' AND w.state = 2)))) AS steps) AS ranked
+  WHERE place = 1),
+ended AS (
+  SELECT w.conv_id, min(struct_pack(cost := w.cost + 2 * k, audit := w.audit || repeat('I', k),
+         done := CASE WHEN k = 0 THEN w.done WHEN w.state = 2 THEN list_append(w.done, 'assistant:') ELSE list_concat(w.done, ['user:', 'assistant:']) END)) AS best
+  FROM ways AS w JOIN facts AS f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.i
+  JOIN (VALUES (0, 0), (3, 0), (2, 1), (1, 2)) AS v(state, k) ON v.state = w.state
+  GROUP BY w.conv_id)
+SELECT c.conv_id, coalesce(f.gaps, 0)::BIGINT AS gaps, coalesce(f.blank, 0) AS blank, coalesce(f.duplicate, 0) AS duplicate,
+       coalesce(f.truncated, 0) AS truncated, coalesce(f.illegal, 0) AS illegal, coalesce(e.best.cost, 0)::BIGINT AS cost,
+       coalesce(e.best.audit, '') AS audit, sha256(coalesce(array_to_string(e.best.done, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c
+LEFT JOIN facts AS f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ended AS e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@query("op12_lightest_repair", _OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
