@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import katz, langid, mixing, packing, pivots, quality, recompression, repair, secrets, simhash, toxicity, urllist
+from tidemark.llm import katz, langid, mixing, packing, pii, pivots, quality, recompression, repair, secrets, simhash, toxicity, urllist
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,3 +250,9 @@ LEFT JOIN ended AS e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
 @query("op12_lightest_repair", _OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_semi_markov_pii")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digests(pii.personal_data(docs, pii.train(docs)))
