@@ -7,7 +7,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import Repository, schemas
+from tidemark import Repository, schemas, versions
 from tidemark.plans import common, databases, relations
 from tidemark.sources import retention, sink
 from tidemark.streaming import jobs
@@ -117,14 +117,23 @@ def test_a_replayed_batch_is_stored_once(spark, tmp_path, monkeypatch):
         whole(df, root, table, batch)
 
     monkeypatch.setattr(jobs, "append_events", broken)
-    name = jobs.batch_name("/ck/", 7)
-    assert name == jobs.batch_name("/ck", 7) != jobs.batch_name("/ck", 8) and name != jobs.batch_name("/other", 7)
+    checkpoints = [tmp_path / n for n in ("ck", "other")]
+    for i, c in enumerate(checkpoints):
+        c.mkdir()
+        (c / "metadata").write_text(f'{{"id":"stream-{i}"}}')
+    here, other = map(str, checkpoints)
+    name = jobs.batch_name(spark, here + "/", 7)
+    assert name == jobs.batch_name(spark, here, 7) != jobs.batch_name(spark, here, 8) and name != jobs.batch_name(spark, other, 7)
+    (checkpoints[1] / "metadata").write_text('{"id":"stream-9"}')  # made anew at the same place
+    assert "stream-9" in jobs.batch_name(spark, other, 7)
+    with pytest.raises(RuntimeError):
+        jobs.batch_name(spark, str(tmp_path / "none"), 0)
     with pytest.raises(OSError):
         calls[0](vacuums(spark), name)
     monkeypatch.setattr(jobs, "append_events", whole)
     for _ in range(2):
         calls[0](vacuums(spark), name)
-    calls[0](vacuums(spark), jobs.batch_name("/ck", 8))
+    calls[0](vacuums(spark), jobs.batch_name(spark, here, 8))
     repo = Repository(spark, path=root)
     assert (repo.table("autovacuum").count(), repo.table("autoanalyze").count()) == (6, 4)
     assert repo.table("autovacuum").columns == schemas.column_names("autovacuum")
@@ -147,27 +156,132 @@ def test_claims_do_not_pile_up(spark, tmp_path, monkeypatch):
     assert len([f for f in glob.glob(f"{root}/{sink.CLAIMS}/*")]) <= 5
 
 
-def test_a_table_being_exchanged_is_not_read_as_empty(spark, tmp_path, monkeypatch):
+def listed(spark, root):
+    return sorted(r.snapid for r in Repository(spark, path=root).table("snapshot").collect())
+
+
+def test_a_row_appended_during_a_rewrite_stays(spark, tmp_path, monkeypatch):
     root = str(tmp_path / "r")
     for _ in range(2):
         sink.append_snapshot(spark, root, 1, START, facts(spark, 1), rules={})
-    rename, left = retention._rename, [1]
+    commit, done = versions.commit, []
 
-    def dying(fs, source, target):
-        if left[0] == 0:
-            raise OSError("died")
-        left[0] -= 1
-        rename(fs, source, target)
+    def late(spark_, root_, table, gone=(), added=()):
+        if gone and table == "snapshot" and not done:  # the copy is written, the exchange comes next
+            done.append(sink.append_snapshot(spark, root, 1, START, facts(spark, 7), rules={}).snapid)
+        return commit(spark_, root_, table, gone, added)
 
-    monkeypatch.setattr(retention, "_rename", dying)
-    with pytest.raises(OSError):
-        retention.del_snapshot(spark, root, 2)
-    with pytest.raises(RuntimeError, match="recover"):
-        Repository(spark, path=root).table("snapshot")
-    assert Repository(spark, path=root).table("database").count() == 2
-    monkeypatch.setattr(retention, "_rename", rename)
-    assert retention.recover(spark, root) == ["snapshot"] and retention.recover(spark, root) == []
-    assert [r.snapid for r in Repository(spark, path=root).table("snapshot").collect()] == [1]
+    monkeypatch.setattr(versions, "commit", late)
+    retention.del_snapshot(spark, root, 1)
+    assert done == [3] and listed(spark, root) == [2, 3]
+    assert sorted(r.snapid for r in Repository(spark, path=root).table("database").collect()) == [2, 3]
+
+
+def test_a_reader_keeps_its_version_and_a_dead_rewrite_is_invisible(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "r")
+    for _ in range(3):
+        sink.append_snapshot(spark, root, 1, START, facts(spark, 1), rules={})
+    before = Repository(spark, path=root)
+    frames = [before.table(t) for t in ("snapshot", "database")]
+
+    def dying(*_, **__):
+        raise OSError("died")
+
+    with monkeypatch.context() as m:
+        m.setattr(versions, "commit", dying)
+        with pytest.raises(OSError):
+            retention.del_snapshot(spark, root, 2)
+    assert listed(spark, root) == [1, 2, 3]  # the staged copy does not show
+    retention.del_snapshot(spark, root, 2)
+    retention.compact(spark, root, "snapshot", START.date())
+    assert [f.count() for f in frames] == [3, 3] and listed(spark, root) == [1, 3]
+    removed = versions.vacuum(spark, root, "snapshot", grace=0)
+    assert len(removed) == 5  # three rows, the dead copy, the copy before the compaction
+    assert listed(spark, root) == [1, 3] and versions.vacuum(spark, root, "snapshot", grace=0) == []
+    assert sink.append_snapshot(spark, root, 1, START, facts(spark, 1), rules={}).snapid == 4
+    retention.del_snapshot(spark, root, 1)
+    assert listed(spark, root) == [3, 4]
+    assert versions.names(spark, f"{root}/{versions.LOG}/snapshot")[0].endswith(".all")
+
+
+def test_writer_rewrites_and_reader_at_once(spark, tmp_path):
+    """Nothing is lost or shown twice while one thread appends, two delete and compact and one reads."""
+    root, failed, done = str(tmp_path / "r"), [], threading.Event()
+    for _ in range(6):
+        sink.append_snapshot(spark, root, 1, START, facts(spark, 1), rules={})
+
+    def guarded(work):
+        def run():
+            try:
+                work()
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+
+        return run
+
+    def write():
+        for _ in range(4):
+            sink.append_snapshot(spark, root, 1, START, facts(spark, 1), rules={})
+
+    def delete():
+        for snapid in (1, 3, 5):
+            retention.del_snapshot(spark, root, snapid)
+
+    def gather():
+        for _ in range(3):
+            retention.compact(spark, root, "snapshot", START.date())
+
+    def look():
+        while not done.is_set():
+            for table in ("snapshot", "database"):
+                ids = sorted(r.snapid for r in Repository(spark, path=root).table(table).select("snapid").collect())
+                assert len(ids) == len(set(ids)) and {2, 4, 6} <= set(ids), (table, ids)
+
+    reader = threading.Thread(target=guarded(look))
+    threads = [threading.Thread(target=guarded(w)) for w in (write, delete, gather)]
+    for t in [reader, *threads]:
+        t.start()
+    for t in threads:
+        t.join()
+    done.set()
+    reader.join()
+    assert not failed, failed
+    assert listed(spark, root) == [2, 4, 6, 7, 8, 9, 10]
+    assert sorted(r.snapid for r in Repository(spark, path=root).table("database").collect()) == [2, 4, 6, 7, 8, 9, 10]
+
+
+def test_commits_of_several_writers_all_hold(spark, tmp_path):
+    root = str(tmp_path / "r")
+
+    def work(i):
+        for k in range(5):
+            assert versions.commit(spark, root, "database", added=[f"c-{i}-{k}"])
+
+    threads = [threading.Thread(target=work, args=(i,)) for i in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    version = versions.current(spark, root, "database")
+    assert version.number == 20 and len(version.added) == 20
+    assert versions.commit(spark, root, "database", gone=["batch=x"]) and not versions.commit(spark, root, "database", gone=["batch=x", "batch=y"])
+
+
+def test_size_of_a_snapshot_is_that_of_its_own_files(spark, tmp_path, monkeypatch):
+    root, bytes_of = str(tmp_path / "r"), sink._bytes
+    first = sink.append_snapshot(spark, root, 1, START, facts(spark, 1), rules={})
+
+    def beside(spark_, folders):  # another server of the bucket writes just before the sum
+        if not root_busy:
+            root_busy.append(1)
+            sink.append_fact(sink.stamped(facts(spark, 1)["database"], 99), root, "database", F.lit(START.date()), 1 + 128, "s-99")
+        return bytes_of(spark_, folders)
+
+    root_busy = []
+    monkeypatch.setattr(sink, "_bytes", beside)
+    sink.append_snapshot(spark, root, 1, START, facts(spark, 1), rules={})
+    sizes = [r.snapshot_increase_size for r in Repository(spark, path=root).table("snapshot").orderBy("snapid").collect()]
+    assert first.snapid == 1 and sizes[0] > 0 and abs(sizes[0] - sizes[1]) < 100  # not one file more
 
 
 def test_compaction_keeps_rows_and_pruning(spark, tmp_path):
@@ -188,7 +302,7 @@ def test_compaction_keeps_rows_and_pruning(spark, tmp_path):
         retention.FILES = monkey
     repo = Repository(spark, path=root)
     assert sorted(map(str, repo.table("database").collect())) == before and repo.table("autovacuum").count() == 18
-    assert len(glob.glob(f"{root}/database/*/*/*.parquet")) == 2 and repo.table("snapshot").count() == 6
+    assert len(versions.live(spark, root, "database")) == 2 and repo.table("snapshot").count() == 6
     assert scanned(repo.at("database", 1, 3)) == [(1, 1)]
 
 

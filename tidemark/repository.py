@@ -2,9 +2,9 @@
 
 Layout on disk (written by :mod:`tidemark.sources.sink`)::
 
-    <root>/<table>/date=YYYY-MM-DD/server=N/*.parquet           snapshot facts
-    <root>/<table>/date=YYYY-MM-DD/server=N/batch=B/*.parquet   events
-    <root>/<dimension>/*.parquet                                instance, snapshot, alert, ...
+    <root>/<table>/date=YYYY-MM-DD/server=N/batch=B/*.parquet   snapshot facts and events
+    <root>/<dimension>/batch=B/*.parquet                        instance, snapshot, alert, ...
+    <root>/_commits/<table>/                                    which batches hold: :mod:`tidemark.versions`
 
 ``date`` is the UTC day and ``server`` the instance's bucket, both taken from absolute values, so
 readers and writers in any session time zone agree.  Files are sorted by ``snapid`` (facts) or
@@ -19,9 +19,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark import schemas
+from tidemark import schemas, versions
 
 # One scope of snapshots has at most (end - begin + 1) rows because snapid is
 # unique; up to this many (id, instance, time) rows are a few MiB to broadcast.
@@ -30,8 +29,6 @@ BROADCAST_SNAPSHOTS = 100_000
 
 # Folders that the servers of one day are spread over; a report reads one of them.
 SERVERS = 128
-# Marks of tables whose folders are being exchanged, and of staged copies.
-STAGING, BUSY = "_staging", "_staging/busy"
 
 # Schemas that belong to the server itself.
 CATALOG_SCHEMAS = ("pg_catalog", "pg_toast", "information_schema")
@@ -82,19 +79,12 @@ class Repository:
         return frame
 
     def _open(self, name: str) -> DataFrame:
-        schema = schemas.struct(name)
         location = f"{self.path}/{name}" if self.path else None
-        if location is not None and _exists(self.spark, f"{self.path}/{BUSY}/{name}"):
-            raise RuntimeError(f"{name} is being rewritten, or a rewrite was interrupted: see retention.recover")
         if location is None or not _exists(self.spark, location):
-            return self.spark.createDataFrame([], schema)
-        if name not in schemas.DIMENSIONS and name not in schemas.CHANGE_ONLY:
-            if "date" not in schema.names:
-                schema = schema.add("date", "date")
-            schema = schema.add("server", T.IntegerType())
-            if name in schemas.EVENT_TIME:
-                schema = schema.add("batch", T.StringType())
-        return self.spark.read.schema(schema).parquet(location)
+            return self.spark.createDataFrame([], schemas.struct(name))
+        version = versions.current(self.spark, self.path, name)  # before the files are listed
+        frame = self.spark.read.schema(schemas.stored_struct(name)).parquet(location)
+        return frame.where(version.visible(frame.columns))
 
     @staticmethod
     def _logical(name: str, frame: DataFrame) -> DataFrame:

@@ -130,6 +130,16 @@ def struct(name: str) -> T.StructType:
     return T.StructType.fromDDL(", ".join(quoted))
 
 
+def stored_struct(name: str) -> T.StructType:
+    """Columns of a stored table with those of its folders."""
+    schema = struct(name)
+    if name not in DIMENSIONS and name not in CHANGE_ONLY:
+        if "date" not in schema.names:
+            schema = schema.add("date", "date")
+        schema = schema.add("server", T.IntegerType())
+    return schema.add("batch", T.StringType())
+
+
 def _columns(ddl: str) -> list[str]:
     parts, depth, current = [], 0, ""
     for ch in ddl:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark import schemas
+from tidemark import schemas, versions
 from tidemark.plans.alerts import RULES, alerts, as_log_rows
 from tidemark.repository import Repository, _exists, server_of, utc_day
 
@@ -48,16 +48,20 @@ def known_databases(df: DataFrame, database: DataFrame) -> DataFrame:
     return df.join(database.select("snapid", "dbid"), ["snapid", "dbid"], "left_semi")
 
 
-def append_fact(df: DataFrame, root: str, table: str, day: Column, instid: int | Column) -> None:
-    """Append rows of a snapshot fact to the folder of their UTC day and server bucket.
+def append_fact(df: DataFrame, root: str, table: str, day: Column, instid: int | Column, batch: str | None = None) -> None:
+    """Append rows of a snapshot fact to the folder of their UTC day, server bucket and batch.
 
-    Rebalancing makes one file of a small snapshot and splits a large one; files are sorted for row-group skipping.
+    Without the name of a snapshot's batch the rows show all at once, when they are committed.  Rebalancing makes one
+    file of a small snapshot and splits a large one; files are sorted for row-group skipping.
     """
     owner = F.lit(instid) if isinstance(instid, int) else instid
+    name = versions.new_batch() if batch is None else batch
     place = df.withColumns({"date": day.cast("date"), "server": server_of(owner)})
-    rows = place.select(*_columns(place, table, but=("date",)), "date", "server")
+    rows = place.select(*_columns(place, table, but=("date",)), "date", "server", F.lit(name).alias("batch"))
     rows = rows.hint("rebalance").sortWithinPartitions("date", "server", "snapid")
-    rows.write.partitionBy("date", "server").mode("append").parquet(f"{root}/{table}")
+    versions.write(rows, root, table)
+    if batch is None:
+        versions.commit(df.sparkSession, root, table, added=[name])
 
 
 def append_events(df: DataFrame, root: str, table: str, batch: str | None = None) -> None:
@@ -76,12 +80,13 @@ def append_events(df: DataFrame, root: str, table: str, batch: str | None = None
         }
     )
     spread = rows.hint("rebalance", F.col("date"), F.col("server")).sortWithinPartitions("date", "server", "instid", at)
-    writer = spread.write.partitionBy("date", "server", "batch").mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").parquet(f"{root}/{table}")
+    versions.write(spread, root, table)
 
 
 def append_dimension(df: DataFrame, root: str, table: str) -> None:
-    conform(df, table).write.mode("append").parquet(f"{root}/{table}")
+    """Append rows of a dimension as one file, which shows at once and whole."""
+    rows = conform(df, table).withColumn("batch", F.lit(f"d-{uuid.uuid4().hex}")).coalesce(1)
+    versions.write(rows, root, table)
 
 
 def append_text(lines: DataFrame, path: str, batch: str | None = None) -> None:
@@ -98,16 +103,11 @@ class Snapshot:
     alerts: int
 
 
-def _path(spark: SparkSession, location: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(location)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-
 def _bytes(spark: SparkSession, folders: list[str]) -> int:
     """Size of a few folders; the rest of the repository is not looked at."""
     total = 0
     for folder in folders:
-        fs, path = _path(spark, folder)
+        fs, path = versions.open_path(spark, folder)
         total += int(fs.getContentSummary(path).getLength()) if fs.exists(path) else 0
     return total
 
@@ -130,19 +130,19 @@ def claim_snapshot(spark: SparkSession, root: str) -> int:
     snapshots: a run that dies leaves rows under an id no reader ever sees and no later run takes again.  Of claims only
     the newest matter, so older files are removed.
     """
-    fs, folder = _path(spark, f"{root}/{CLAIMS}")
+    fs, folder = versions.open_path(spark, f"{root}/{CLAIMS}")
     fs.mkdirs(folder)
     names = [status.getPath().getName() for status in fs.listStatus(folder)]
     taken = sorted(int(n) for n in names if n.isdigit())
     last = taken[-1] if taken else 0
     if not taken and _exists(spark, f"{root}/snapshot"):
-        published = spark.read.schema(schemas.struct("snapshot")).parquet(f"{root}/snapshot")
+        published = Repository(spark, path=root).table("snapshot")
         last = published.agg(F.max("snapid")).first()[0] or 0
     snapid = last + 1
-    while not _created(fs, _path(spark, f"{root}/{CLAIMS}/{snapid}")[1]):
+    while not _created(fs, versions.open_path(spark, f"{root}/{CLAIMS}/{snapid}")[1]):
         snapid += 1
     for old in taken[:-CLAIMS_KEPT]:
-        fs.delete(_path(spark, f"{root}/{CLAIMS}/{old}")[1], False)
+        fs.delete(versions.open_path(spark, f"{root}/{CLAIMS}/{old}")[1], False)
     return snapid
 
 
@@ -165,26 +165,27 @@ def append_snapshot(
     snapid = claim_snapshot(spark, root)
     row = _snapshot_row(spark, snapid, instid, at, comment, xid_current)
     place = row.select(utc_day(F.col("time")).cast("string"), server_of(F.col("instid"))).first()
-    own = [f"{root}/{name}/date={place[0]}/server={place[1]}" for name in (*facts, "alert_message", "log")]
-    size_before = _bytes(spark, own)
+    batch, said = f"{versions.SNAPSHOT}{snapid}", f"alerts-{snapid}"
     day = F.lit(place[0]).cast("date")
     database = stamped(facts["database"], snapid) if "database" in facts else None
     for name, rows in facts.items():
         rows = stamped(rows, snapid)
         if name in GUARDED and database is not None:
             rows = known_databases(rows, database)
-        append_fact(rows, root, name, day, instid)
+        append_fact(rows, root, name, day, instid, batch)
     found = _judge(spark, root, row, snapid, rules)
-    append_fact(found, root, "alert_message", day, instid)
+    append_fact(found, root, "alert_message", day, instid, batch)
     repo = Repository(spark, {"snapshot": row}, path=root)
     stored = repo.at("alert_message", snapid)  # from its own folder
     if alerts_to_log:
         shown = Repository(spark, {"snapshot": row})
-        append_events(as_log_rows(stored, shown), root, "log", f"alerts-{snapid}")
+        append_events(as_log_rows(stored, shown), root, "log", said)
+    own = [(name, batch) for name in (*facts, "alert_message")] + [("log", said)]
+    size = _bytes(spark, [f"{root}/{name}/date={place[0]}/server={place[1]}/batch={b}" for name, b in own])
     finished = row.withColumns(
         {
             "exec_time": F.lit(int((clock.monotonic() - started) * 1_000_000)).cast("bigint"),
-            "snapshot_increase_size": F.lit(_bytes(spark, own) - size_before).cast("bigint"),
+            "snapshot_increase_size": F.lit(size).cast("bigint"),
         }
     )
     append_dimension(finished, root, "snapshot")

@@ -2,21 +2,22 @@
 
 Progress is the streaming checkpoint.  Its folder must be reachable by all
 executors; callers pass it, as they pass the repository root.  Every delivery is named by its stream's
-checkpoint and batch id, and a batch that Spark delivers again replaces what it stored before.
+id and batch number, and a batch that Spark delivers again replaces what it stored before.
 """
 
 from __future__ import annotations
 
-import zlib
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark import versions
 from tidemark.sources.sink import append_events, append_text
 from tidemark.streaming import events
 from tidemark.streaming.logs import Route, format_log_line, routed
@@ -93,14 +94,20 @@ def store_cancels(log: DataFrame, root: str, checkpoint: str, once: bool = False
     return _start(cancel_stream(log), checkpoint, deliver, once)
 
 
-def batch_name(checkpoint: str, batch: int) -> str:
-    """Name of a stream's batch: the same whenever it is delivered again."""
-    return f"{zlib.crc32(checkpoint.rstrip('/').encode()):08x}-{batch}"
+def batch_name(spark: SparkSession, checkpoint: str, batch: int) -> str:
+    """Name of a stream's batch: the same whenever it is delivered again.
+
+    The stream's id is kept in its checkpoint, so a checkpoint made anew at the same place names other batches.
+    """
+    kept = versions.read_text(spark, f"{checkpoint.rstrip('/')}/metadata")
+    if kept is None:
+        raise RuntimeError(f"{checkpoint} does not belong to a stream")
+    return f"q-{json.loads(kept)['id']}-{batch}"
 
 
 def _start(df: DataFrame, checkpoint: str, deliver: Callable[[DataFrame, str], None], once: bool) -> StreamingQuery:
     writer = df.writeStream.option("checkpointLocation", checkpoint)
-    writer = writer.foreachBatch(lambda rows, batch: deliver(rows, batch_name(checkpoint, batch)))
+    writer = writer.foreachBatch(lambda rows, batch: deliver(rows, batch_name(rows.sparkSession, checkpoint, batch)))
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=STORE_INTERVAL)
     return writer.start()
 

@@ -143,6 +143,61 @@ def _retired(r):
 
 add("stored_del_snapshot", _retired, f"SELECT {_sql('database', _DB)} FROM database WHERE snapid <> {E}")
 
+
+def _expired(r):
+    """Facts from the day of the scope's end on, by whole day folders; nothing of that day is filtered."""
+    repo = _stored(r, "database")
+    last = r.table("snapshot").where(F.col("snapid") == E).select(utc_day(F.col("time"))).first()[0]
+    retention.expire_days(r.spark, repo.path, "database", last)
+    return Repository(r.spark, path=repo.path).table("database").select(*_DB)
+
+
+_LAST = f"(SELECT time FROM snapshot WHERE snapid = {E})"
+add(
+    "stored_expire_days",
+    _expired,
+    f"SELECT {_sql('database', _DB)} FROM database JOIN (SELECT snapid FROM snapshot WHERE CAST(time AS DATE) >= CAST({_LAST} AS DATE)) USING (snapid)",
+)
+
+
+def _retired_before(r):
+    repo = _stored(r, "database")
+    moment = r.table("snapshot").where(F.col("snapid") == E).first()["time"]
+    retention.del_snapshots_before(r.spark, repo.path, moment)
+    return Repository(r.spark, path=repo.path).table("database").select(*_DB)
+
+
+add(
+    "stored_del_snapshots_before",
+    _retired_before,
+    f"SELECT {_sql('database', _DB)} FROM database JOIN (SELECT snapid FROM snapshot WHERE time >= {_LAST}) USING (snapid)",
+)
+
+
+def _appended(r) -> Repository:
+    """The facts of the scope's end written as the first snapshot of a new repository."""
+    root = _root(r.spark)
+    mark = r.table("snapshot").where(F.col("snapid") == E).first()
+    facts = {name: r.table(name).where(F.col("snapid") == E) for name in ("database", "statement")}
+    sink.append_snapshot(r.spark, root, mark["instid"], mark["time"], facts, comment="again", rules={})
+    return Repository(r.spark, path=root)
+
+
+_ST = ["dbid", "userid", "queryid", "calls"]
+add("append_snapshot", lambda r: _appended(r).at("database", 1).select(*_DB), f"SELECT CAST(1 AS BIGINT) AS snapid, {_sql('database', _DB[1:])} FROM database WHERE snapid = {E}")
+add(
+    "append_snapshot_guarded",
+    lambda r: _appended(r).at("statement", 1).select(*_ST),
+    f"SELECT {_sql('statement', _ST)} FROM statement WHERE snapid = {E} AND dbid IN (SELECT dbid FROM database WHERE snapid = {E})",
+)
+add(
+    "finish_snapshot",
+    lambda r: _appended(r)
+    .table("snapshot")
+    .select("snapid", "instid", "comment", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("at"), (F.col("exec_time") > 0).alias("timed"), (F.col("snapshot_increase_size") > 0).alias("sized")),
+    f"SELECT CAST(1 AS BIGINT) AS snapid, instid, 'again' AS comment, strftime(time, '%Y-%m-%d %H:%M:%S') AS at, true AS timed, true AS sized FROM snapshot WHERE snapid = {E}",
+)
+
 # --- files ----------------------------------------------------------------------
 
 
