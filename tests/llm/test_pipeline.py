@@ -56,6 +56,23 @@ def test_near_duplicate_stage(kept):
     assert sum(r.doc_id is None for r in got) == 1 and all(by.get(r.doc_id, r.text) == r.text for r in got)
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    """An id with unrelated texts keeps both; of near texts under one id, and of copies under others, one stays."""
+    base = " ".join(f"word{i}" for i in range(400))
+    other = " ".join(f"thing{i}" for i in range(400))
+    third = " ".join(f"item{i}" for i in range(400))
+    rows = [
+        (1, base), (3, base), (3, other), (4, third), (4, third + " more"), (5, other), (6, " ".join(f"a{i}" for i in range(300))),
+        (6, " ".join(f"b{i}" for i in range(300))), (7, third), (8, None), (9, ""), (8, None), (None, base), (3, other),
+    ]
+    docs = stored(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"), "x")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.dedup_stage(spark, docs, SF).collect()), key=str)
+    near = {r.text for r in docs.collect() if r.doc_id == 4}
+    fours = [t for i, t in got if i == 4]
+    assert len(fours) == 1 and fours[0] in near
+    assert [g for g in got if g[0] != 4] == sorted([(None, base), (1, base), (3, other), (6, rows[6][1]), (6, rows[7][1]), (8, None)], key=str)
+
+
 def test_secrets_stage(kept):
     model = secrets.train(kept[2])
     before, after = ({r.doc_id: r for r in t.collect()} for t in kept[2:4])

@@ -220,3 +220,18 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
         "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
     )
+
+
+def representatives(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """``doc_id, fp``: of every group of near texts the one of smallest ``doc_id``, then smallest fingerprint.
+
+    Groups are of texts, not of ids: an id that carries several texts is in the group of each of them, so unrelated
+    texts of one id stay apart.  Rows without an id are in no group.
+    """
+    rows = docs.where("doc_id IS NOT NULL")
+    prints = stored(fingerprints(rows, shingle, seed).withColumn("doc_id", F.col("doc_id").cast("long")), "fingerprints")
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "classes")
+    found = components(near_links(classes.select("fp", F.col("fp").alias("rep")), radius))
+    named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+    groups = named.groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min(F.struct("doc_id", "fp")).alias("r"))
+    return groups.select("r.doc_id", "r.fp")
