@@ -21,19 +21,25 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-duplicates: of every group the document of smallest id stays; rows without an id stay."""
-    row = F.xxhash64(*docs.columns)
-    found = simhash.near_duplicates(docs, radius=4, shingle=4, seed=42)
-    ids = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    # rows that repeat an id: the one of the smallest row hash stays
-    rows = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(row).alias("_row"), F.count("*").alias("_n"))
-    chosen = stored(ids.join(rows, "doc_id"), "chosen")
-    single, several = stored(chosen.where("_n = 1"), "single"), stored(chosen.where("_n > 1"), "several")
+    """SimHash near-duplicates: of every group of near texts the one of smallest id stays; rows without an id stay.
+
+    A group is of texts: if an id carries unrelated texts, each stays unless another id has one near it.
+    """
+    chosen = stored(simhash.representatives(docs, radius=4, shingle=4, seed=42), "representatives")
+    rows = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    ids = stored(chosen.select("doc_id").distinct().join(rows, "doc_id"), "chosen")
+    single, several = ids.where("n = 1").select("doc_id"), ids.where("n > 1").select("doc_id")
     # each partition hashes its ids only, so texts are moved once and never sorted, at any size
-    parts = [docs.join(single.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi"), docs.where("doc_id IS NULL")]
+    parts = [docs.join(single.hint("shuffle_hash"), "doc_id", "left_semi"), docs.where("doc_id IS NULL")]
     if not several.isEmpty():
-        again = docs.withColumn("_row", row).join(several.select("doc_id", "_row"), ["doc_id", "_row"], "left_semi")
-        parts.append(again.drop("_row").dropDuplicates())
+        # rows that repeat an id are told apart by their fingerprints; of equal ones the row of the smallest hash stays
+        again = docs.join(several.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+        again = stored(again.withColumn("_row", F.xxhash64(*docs.columns)), "again")
+        prints = simhash.fingerprints(again.select(F.col("_row").alias("doc_id"), "text"), 4, 42)
+        prints = prints.withColumnRenamed("doc_id", "_row").distinct()
+        wanted = again.select("doc_id", "_row").distinct().join(prints, "_row").join(chosen, ["doc_id", "fp"], "left_semi")
+        wanted = wanted.groupBy("doc_id", "fp").agg(F.min("_row").alias("_row")).select("doc_id", "_row")
+        parts.append(again.join(wanted, ["doc_id", "_row"], "left_semi").drop("_row").dropDuplicates())
     out = parts[0].select(*docs.columns)
     for more in parts[1:]:
         out = out.unionByName(more.select(*docs.columns))
