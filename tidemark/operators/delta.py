@@ -25,14 +25,14 @@ CHUNK = 8192
 def endpoint_pair(
     df: DataFrame,
     keys: Sequence[str],
-    begin: int,
-    end: int,
+    begin: int | Column,
+    end: int | Column,
     counters: Sequence[str] = (),
     at_end: Sequence[str] = (),
     at_begin: Sequence[str] = (),
     presence: str = "end",
 ) -> DataFrame:
-    """Fold the rows of two snapshots into one row per entity.
+    """Fold the rows of two snapshots into one row per entity; the two may differ by row.
 
     ``counters`` become ``b_x`` and ``e_x``; ``at_end`` / ``at_begin`` keep only
     that side.  ``presence`` is ``end`` (left join of end to begin), ``both``
@@ -42,7 +42,7 @@ def endpoint_pair(
     folded = [F.max(F.when(is_b, F.col(c))).alias(f"b_{c}") for c in [*counters, *at_begin]]
     folded += [F.max(F.when(is_e, F.col(c))).alias(f"e_{c}") for c in [*counters, *at_end]]
     pair = (
-        df.where(F.col("snapid").isin(begin, end))
+        df.where(is_b | is_e if isinstance(begin, Column) else F.col("snapid").isin(begin, end))
         .groupBy(*keys)
         .agg(F.max(is_b.cast("int")).alias("in_begin"), F.max(is_e.cast("int")).alias("in_end"), *folded)
     )
@@ -135,7 +135,7 @@ def since_reset(end: Column, begin: Column, reset_end: Column, reset_begin: Colu
 def registry(
     df: DataFrame,
     keys: Sequence[str],
-    begin: int,
+    begin: int | Column,
     counters: Sequence[str],
     texts: Sequence[str] = (),
     latest: Sequence[str] = (),

@@ -11,7 +11,7 @@ from tidemark.functions.clock import seconds_rounded, to_second
 from tidemark.functions.numeric import size_pretty, size_pretty_nearest
 from tidemark.functions.text import qualified
 from tidemark.operators.ranking import asc
-from tidemark.plans import databases, hardware, instance, maintenance, relations, replication, resources
+from tidemark.plans import databases, fleet, hardware, instance, maintenance, relations, replication, resources
 from tidemark.plans import statements, waits
 from tidemark.repository import Repository
 
@@ -160,11 +160,20 @@ def reportable(scopes: DataFrame, instid: int | None = None) -> DataFrame:
 def run_reports(
     repo: Repository, report_id: str | None, scopes: DataFrame, instid: int | None = None
 ) -> Iterator[tuple[int, dict[str, DataFrame]]]:
-    """Section frames per instance.  Only scope rows (one per instance) come to the driver."""
+    """Section frames per instance.  Only scope rows (one per instance) come to the driver.
+
+    For the reports of :data:`tidemark.plans.fleet.REPORTS`, :func:`fleet_reports` needs one plan for all servers.
+    """
     for scope in reportable(scopes, instid).toLocalIterator():
         yield scope["instid"], report(repo, report_id, scope["begin"], scope["end"])
 
 
+def fleet_reports(repo: Repository, scopes: DataFrame) -> dict[str, DataFrame]:
+    """Reports over all scopes at once, each one lazy frame with the server's ``instid``."""
+    given = fleet.Fleet(repo, reportable(scopes))
+    return {name: build(given) for name, build in fleet.REPORTS.items()}
+
+
 def snapshot_list(repo: Repository, instid: int | None = None) -> DataFrame:
     snaps = repo.table("snapshot")
     if instid is not None:

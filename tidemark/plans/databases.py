@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.clock import minute_label, seconds_rounded, span, to_second
@@ -77,15 +77,16 @@ def summary(repo: Repository, begin: int, end: int) -> DataFrame:
     )
 
 
-def dbstats(repo: Repository, begin: int, end: int) -> DataFrame:
-    counters = [
-        "size", "xact_commit", "xact_rollback", "blks_hit", "blks_read", "tup_returned", "tup_fetched",
-        "temp_files", "temp_bytes", "deadlocks", "blk_read_time", "blk_write_time",
-    ]
-    pair = endpoint_pair(repo.at("database", begin, end), ["dbid"], begin, end, counters, at_end=["name"])
-    timed = with_pair_times(repo, pair, begin, end)
+STATS = [
+    "size", "xact_commit", "xact_rollback", "blks_hit", "blks_read", "tup_returned", "tup_fetched",
+    "temp_files", "temp_bytes", "deadlocks", "blk_read_time", "blk_write_time",
+]
+
+
+def stats_columns() -> list[Column]:
+    """Figures of one database from its counters at both ends and their times."""
     lasted = span(F.col("end_time"), F.col("begin_time"))
-    return timed.select(
+    return [
         F.col("e_name").alias("datname"),
         mib(F.col("e_size")).alias("size"),
         mib(grew("size")).alias("size_incr"),
@@ -100,7 +101,12 @@ def dbstats(repo: Repository, begin: int, end: int) -> DataFrame:
         grew("deadlocks").alias("deadlocks"),
         round_real(grew("blk_read_time"), "decimal(30,3)").alias("blk_read_time"),
         round_real(grew("blk_write_time"), "decimal(30,3)").alias("blk_write_time"),
-    )
+    ]
+
+
+def dbstats(repo: Repository, begin: int, end: int) -> DataFrame:
+    pair = endpoint_pair(repo.at("database", begin, end), ["dbid"], begin, end, STATS, at_end=["name"])
+    return with_pair_times(repo, pair, begin, end).select(*stats_columns())
 
 
 def xact_tendency(repo: Repository, begin: int, end: int) -> DataFrame:

@@ -186,23 +186,26 @@ def correlation(repo: Repository, begin: int, end: int) -> DataFrame:
     )
 
 
+SCHEMA_COUNTERS = ["size", "seq_scan", "idx_scan"]
+
+
+def schema_columns() -> list[Column]:
+    """Figures of one table."""
+    return [
+        *_relation_names(),
+        F.col("attnum"),
+        F.col("e_n_live_tup").alias("tuples"),
+        mib(F.col("e_size")).alias("size"),
+        mib(grew("size")).alias("size_incr"),
+        grew("seq_scan").alias("seq_scan"),
+        grew("idx_scan").alias("idx_scan"),
+    ]
+
+
 def schema_info_tables(repo: Repository, begin: int, end: int) -> DataFrame:
-    counters = ["size", "seq_scan", "idx_scan"]
-    tables = _table_growth(repo, begin, end, counters, at_end=["n_live_tup"]).where(_visible(repo, own=True))
+    tables = _table_growth(repo, begin, end, SCHEMA_COUNTERS, at_end=["n_live_tup"]).where(_visible(repo, own=True))
     columns = repo.at("column", end).groupBy("dbid", "tbl").agg(F.count(F.lit(1)).alias("attnum"))
-    return (
-        tables.join(columns, ["dbid", "tbl"], "left")
-        .orderBy(*_name_order())
-        .select(
-            *_relation_names(),
-            "attnum",
-            F.col("e_n_live_tup").alias("tuples"),
-            mib(F.col("e_size")).alias("size"),
-            mib(grew("size")).alias("size_incr"),
-            grew("seq_scan").alias("seq_scan"),
-            grew("idx_scan").alias("idx_scan"),
-        )
-    )
+    return tables.join(columns, ["dbid", "tbl"], "left").orderBy(*_name_order()).select(*schema_columns())
 
 
 def schema_info_indexes(repo: Repository, begin: int, end: int) -> DataFrame:

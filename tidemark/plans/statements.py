@@ -54,26 +54,20 @@ def _per(total: Column, n: Column) -> Column:
     return F.when(n == 0, F.lit(0).cast(MS)).otherwise(round_real(total / n, MS))
 
 
+COUNTERS = ["plans", "total_plan_time", "calls", "total_exec_time", *_BLOCK_TIMES]
+
+
 def _statement_registry(repo: Repository, begin: int, end: int) -> DataFrame:
-    counters = ["plans", "total_plan_time", "calls", "total_exec_time", *_BLOCK_TIMES]
     seen = registry(
-        _scoped(repo, "statement", begin, end), ["dbid", "userid", "queryid"], begin, counters, texts=["query"]
+        _scoped(repo, "statement", begin, end), ["dbid", "userid", "queryid"], begin, COUNTERS, texts=["query"]
     )
     return seen.where((grew("calls") > 0) & (grew("total_exec_time") > 0))
 
 
-def query_statements(
-    repo: Repository, begin: int, end: int, limit: int | None = None, names_as_of: str = "begin"
-) -> DataFrame:
-    """Statements seen in the scope, from ``begin`` to each one's last snapshot.
-
-    Names are those of ``begin`` (entities created later drop out); with
-    ``names_as_of='last'`` each statement is named as of its last snapshot.
-    """
-    seen = _statement_registry(repo, begin, end)
-    named = _with_names(repo, seen, begin, end, names_as_of)
+def statement_columns() -> list[Column]:
+    """Figures of one named statement."""
     plans, calls = grew("plans"), grew("calls")
-    report = named.select(
+    return [
         "rolname",
         "datname",
         "query",
@@ -88,7 +82,20 @@ def query_statements(
         "userid",
         "queryid",
         "last",
-    )
+    ]
+
+
+def query_statements(
+    repo: Repository, begin: int, end: int, limit: int | None = None, names_as_of: str = "begin"
+) -> DataFrame:
+    """Statements seen in the scope, from ``begin`` to each one's last snapshot.
+
+    Names are those of ``begin`` (entities created later drop out); with
+    ``names_as_of='last'`` each statement is named as of its last snapshot.
+    """
+    seen = _statement_registry(repo, begin, end)
+    named = _with_names(repo, seen, begin, end, names_as_of)
+    report = named.select(*statement_columns())
     return top(report, _statement_order(), limit)
 
 
