@@ -1,10 +1,14 @@
 """Alert texts on known resource and replication figures."""
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import functions as F
 
 from tests.fixture import DB, build
-from tidemark import schemas
+from tests.test_storage import scanned
+from tidemark import Repository, schemas
 from tidemark.plans import alerts
+from tidemark.sources import register, sink
 
 GIB = 1024**3
 
@@ -88,3 +92,55 @@ def test_first_snapshot_is_not_judged(spark):
     repo = fixture(spark)
     assert alerts.alert(repo, 1).count() == 0
     assert alerts.alert(repo, 2).count() == 12
+
+
+FEW = {name: alerts.RULES[name] for name in ("xact", "query", "activity")}
+
+
+def _stored(spark, root, servers, days):
+    """Snapshots of many servers whose transactions and queries break thresholds now and then."""
+    incoming = spark.createDataFrame([(f"s{i}", f"h{i}", 1) for i in range(servers)], "name string, hostname string, port int")
+    instance = register.register_instances(spark.createDataFrame([], schemas.struct("instance")), sink.conform(incoming, "instance"))
+    sink.append_dimension(instance, root, "instance")
+    sink.append_dimension(register.with_default_thresholds(spark.createDataFrame([], schemas.struct("alert")), instance), root, "alert")
+    start = datetime(2024, 5, 1, tzinfo=timezone.utc)
+    for day in range(days):
+        for instid in range(1, servers + 1):
+            n = (day + 1) * instid
+            facts = {
+                "database": spark.createDataFrame([(1, "d", 200_000_000 * n * day, 90_000_000 * n), (2, "e", 1, 1)], "dbid long, name string, xact_commit long, xact_rollback long"),
+                "statement": spark.createDataFrame([(1, 9, 1, "q", 2 + day, 40.0 * n), (1, 9, 2, None, 1 + day, 900.0 * day), (1, 9, 3, "r" * 9000, 5, 1.0)], "dbid long, userid long, queryid long, query string, calls long, total_exec_time double"),
+                "activity": spark.createDataFrame([(90 + 20 * day,)], "max_backends int"),
+                "loadavg": spark.createDataFrame([(8.0 * day, 1.0, 1.0)], "loadavg1 double, loadavg5 double, loadavg15 double"),
+            }
+            sink.append_snapshot(spark, root, instid, start + timedelta(days=day), facts, rules=FEW)
+    return Repository(spark, path=root)
+
+
+def test_one_snapshot_is_judged_from_its_folder_and_the_carried_state(spark, tmp_path):
+    root = str(tmp_path / "r")
+    repo = _stored(spark, root, servers=2, days=3)
+    state = repo.table("alert_state")
+    assert sorted(r.snapid for r in state.where("kind = 'seen'").collect()) == [5, 6]  # one a server
+    # judged again as a range and from the stored facts of the snapshot before: the same messages
+    found = alerts.alerts(repo, 3, 6, FEW).select("snapid", "message").collect()
+    for snapid in (3, 4, 5, 6):
+        stored = sorted(r.message for r in repo.at("alert_message", snapid).collect())
+        assert len(stored) >= 3 and any("Rollbacks" in m or "response" in m for m in stored)
+        assert stored == sorted(r.message for r in found if r.snapid == snapid)
+    assert sorted(r.message for r in alerts.alerts(repo, 6, 6, FEW).collect()) == stored
+    # the next snapshot of server 2: its facts come from one folder, the values before from one batch
+    row = sink._snapshot_row(spark, 7, 2, repo.table("snapshot").where("snapid = 6").first()["time"], "", None)
+    seen = Repository(spark, {"snapshot": Repository(spark, path=root).table("snapshot").unionByName(row)}, path=root)
+    assert alerts.state_after(seen, 2, 6) is not None and alerts.state_after(seen, 2, 4) is None
+    for name in ("database", "statement", "activity"):
+        sink.append_fact(sink.stamped(repo.at(name, 6), 7), root, name, F.lit("2024-05-03").cast("date"), 2, "s-7")
+    folders = [p for p, _ in scanned(alerts.alerts(seen, 7, 7, FEW))]
+    assert folders and max(folders) <= 1
+    assert "r" * 100 not in str(alerts.state_after(seen, 2, 6).collect())
+
+
+def test_query_rule_moves_no_texts(repo):
+    plan = alerts.alerts(repo, 2, 4, rules={"query": alerts.rule_query})._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("query#" in line for line in joins)

@@ -27,24 +27,82 @@ RULE_COLUMNS = ["snapid", "rule", "entity", "value", "threshold", "message"]
 MIN_PAGES = 1000  # smaller tables are too small for a garbage ratio
 
 
+def xact_sums(database: DataFrame) -> DataFrame:
+    """What the transaction rules compare between snapshots."""
+    sums = [F.sum("xact_rollback").alias("rollbacks"), F.sum("xact_commit").alias("commits")]
+    return database.groupBy("snapid").agg(*sums)
+
+
+def statement_marks(statement: DataFrame) -> DataFrame:
+    """What the query rules compare between snapshots; texts are matched by their digests, so they are never moved."""
+    same = F.sha2(F.col("query").cast("binary"), 256).alias("same")
+    return statement.select("snapid", "dbid", "userid", same, "calls", "total_exec_time")
+
+
+Shape = Callable[[DataFrame], DataFrame]
+
+
 @dataclass(frozen=True)
 class AlertInput:
     repo: Repository
     judged: DataFrame  # snapid, instid, prev_snapid, now/before texts, thresholds
     begin: int | None
     end: int | None
+    prev: int | None = None  # the snapshot before, if a single one is judged
+    state: DataFrame | None = None  # what was carried from it
 
     def fact(self, name: str) -> DataFrame:
-        """Rows of judged snapshots (the range filter reaches the scan)."""
+        """Rows of judged snapshots; of a single one from its own folder only."""
         if self.begin is None or self.end is None:
             return self.repo.table(name)
+        if self.begin == self.end:
+            return self.repo.at(name, self.begin)
         return self.repo.between(name, self.begin, self.end)
 
-    def fact_with_history(self, name: str) -> DataFrame:
-        """Rows of judged snapshots and of the snapshots before them, no older history."""
+    def earlier(self, name: str, shape: Shape) -> DataFrame:
+        """Shaped rows of the snapshots before the judged ones, no older history."""
+        if self.state is not None:
+            return self.state_of(shape)
         if self.begin is None or self.end is None:
-            return self.repo.table(name)
-        return self.repo.between(name, self.judged.agg(F.min("prev_snapid")).scalar(), self.end)
+            return shape(self.repo.table(name))
+        if self.prev is not None:
+            return shape(self.repo.at(name, self.prev))
+        return shape(self.repo.between(name, self.judged.agg(F.min("prev_snapid")).scalar(), self.end))
+
+    def state_of(self, shape: Shape) -> DataFrame:
+        rows = self.state.where(F.col("kind") == shape.__name__)
+        if shape is xact_sums:
+            return rows.select("snapid", F.col("n1").alias("rollbacks"), F.col("n2").alias("commits"))
+        return rows.select("snapid", "dbid", "userid", "same", F.col("n1").alias("calls"), F.col("x").alias("total_exec_time"))
+
+
+def carried_state(repo: Repository, snapid: int, instid: int) -> DataFrame:
+    """Rows of ``alert_state`` after a snapshot: what the rules will compare the next one with."""
+    none = F.lit(None)
+    sums = xact_sums(repo.at("database", snapid)).select(
+        "snapid", F.lit("xact_sums").alias("kind"), none.alias("dbid"), none.alias("userid"), none.alias("same"),
+        F.col("rollbacks").alias("n1"), F.col("commits").alias("n2"), none.alias("x"),
+    )
+    marks = statement_marks(repo.at("statement", snapid)).select(
+        "snapid", F.lit("statement_marks").alias("kind"), "dbid", "userid", "same", F.col("calls").alias("n1"), none.alias("n2"),
+        F.col("total_exec_time").alias("x"),
+    )
+    seen = repo.spark.range(1).select(F.lit(snapid).cast("long").alias("snapid"), F.lit("seen").alias("kind"))
+    rows = sums.unionByName(marks).unionByName(seen, allowMissingColumns=True)
+    return rows.withColumn("instid", F.lit(instid).cast("long"))
+
+
+def state_after(repo: Repository, instid: int, snapid: int) -> DataFrame | None:
+    """The state carried from a snapshot, read from its server's batch; nothing if that is of another snapshot."""
+    frame = repo._stored("alert_state")
+    if "batch" in frame.columns:
+        frame = frame.where(F.col("batch") == state_batch(instid))
+    mine = frame.where((F.col("instid") == instid) & (F.col("snapid") == snapid))
+    return None if mine.where("kind = 'seen'").isEmpty() else mine
+
+
+def state_batch(instid: int) -> str:
+    return f"i-{instid}"
 
 
 def judged_snapshots(repo: Repository, begin: int | None = None, end: int | None = None) -> DataFrame:
@@ -52,6 +110,8 @@ def judged_snapshots(repo: Repository, begin: int | None = None, end: int | None
     snaps = repo.table("snapshot").select("snapid", "instid", "time")
     if end is not None:
         snaps = snaps.where(F.col("snapid") <= end)
+    if begin is not None and begin == end:  # the history of its server only
+        snaps = snaps.where(F.col("instid") == repo.instance_of(begin))
     length = None
     if begin is not None:
         # of older history only each server's last snapshot is needed: an aggregate, not a window
@@ -66,6 +126,7 @@ def judged_snapshots(repo: Repository, begin: int | None = None, end: int | None
     second = lambda c: seconds_rounded(F.unix_micros(F.col(c)))
     return paired.join(thresholds, "instid").select(
         "snapid",
+        "instid",
         "prev_snapid",
         (second("time") - second("prev_time")).alias("lasted"),
         second_text(F.col("time")).alias("now"),
@@ -130,12 +191,8 @@ def _at_text(lead: str, value: Column, limit: Column, unit: str = "", who: Colum
 
 
 def rule_xact(given: AlertInput) -> DataFrame:
-    sums = (
-        given.fact_with_history("database")
-        .groupBy("snapid")
-        .agg(F.sum("xact_rollback").alias("rollbacks"), F.sum("xact_commit").alias("commits"))
-    )
-    earlier = sums.select(
+    sums = xact_sums(given.fact("database"))
+    earlier = given.earlier("database", xact_sums).select(
         F.col("snapid").alias("prev_snapid"), F.col("rollbacks").alias("p_rollbacks"), F.col("commits").alias("p_commits")
     )
     both = given.judged.join(sums, "snapid").join(earlier, "prev_snapid")
@@ -179,15 +236,12 @@ def rule_garbage(given: AlertInput) -> DataFrame:
 
 def rule_query(given: AlertInput) -> DataFrame:
     """Mean time per call since the previous snapshot, matched on the query text."""
-    statement = given.fact_with_history("statement").select(
-        "snapid", "dbid", "userid", "query", "calls", "total_exec_time"
-    )
-    earlier = statement.select(
-        F.col("snapid").alias("prev_snapid"), "dbid", "userid", "query", F.col("calls").alias("p_calls"),
+    earlier = given.earlier("statement", statement_marks).select(
+        F.col("snapid").alias("prev_snapid"), "dbid", "userid", "same", F.col("calls").alias("p_calls"),
         F.col("total_exec_time").alias("p_time"),
     )
-    now = given.judged.select("snapid", "prev_snapid").join(statement, "snapid")
-    matched = now.join(earlier, ["prev_snapid", "dbid", "userid", "query"], "left")
+    now = given.judged.select("snapid", "prev_snapid").join(statement_marks(given.fact("statement")), "snapid")
+    matched = now.join(earlier, ["prev_snapid", "dbid", "userid", "same"], "left")
     calls = F.col("calls") - F.coalesce("p_calls", F.lit(0))
     spent = F.col("total_exec_time") - F.coalesce("p_time", F.lit(0.0))
     per_call = matched.where(calls != 0).select("snapid", (spent / calls).alias("per_call"))
@@ -292,8 +346,18 @@ def alerts(
     end: int | None = None,
     rules: Mapping[str, Callable[[AlertInput], DataFrame]] = RULES,
 ) -> DataFrame:
-    """Messages of all rules for the snapshots in ``[begin, end]``, with their rule order."""
-    given = AlertInput(repo, judged_snapshots(repo, begin, end), begin, end)
+    """Messages of all rules for the snapshots in ``[begin, end]``, with their rule order.
+
+    For a single snapshot its one row of ``judged`` comes to the driver: facts are then read from that snapshot's folder, and
+    the values before from the state carried by its server, or, if that is missing, from the one folder of the snapshot before.
+    """
+    judged = judged_snapshots(repo, begin, end)
+    given = AlertInput(repo, judged, begin, end)
+    if begin is not None and begin == end and rules:
+        row = judged.collect()
+        if row:
+            state = state_after(repo, row[0]["instid"], row[0]["prev_snapid"])
+            given = AlertInput(repo, repo.spark.createDataFrame(row, judged.schema), begin, end, row[0]["prev_snapid"], state)
     fired = [
         rule(given).select(*RULE_COLUMNS).withColumn("ordinal", F.lit(i)) for i, rule in enumerate(rules.values())
     ]

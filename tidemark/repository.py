@@ -127,9 +127,11 @@ class Repository:
         return self.path is not None and "date" in frame.columns and "server" in frame.columns
 
     def at(self, name: str, *snapids: int) -> DataFrame:
-        """Rows of a fact at the given snapshots, from exactly their days and servers."""
+        """Rows of a fact at the given snapshots, from exactly their days and servers and no other snapshot's batch."""
         frame = self._stored(name)
         if self._partitioned(frame):
+            own = F.col("batch").isin(*[f"{versions.SNAPSHOT}{s}" for s in snapids])
+            frame = frame.where(own | ~F.col("batch").startswith(versions.SNAPSHOT))
             here = F.lit(False)
             for snapid in dict.fromkeys(snapids):
                 mark = self._mark(F.col("snapid") == snapid)

@@ -63,6 +63,7 @@ DDL: dict[str, str] = {
     "stat_subscription": "snapid bigint, subid bigint, subname string, pid int, relid bigint, received_lsn string, last_msg_send_time timestamp, last_msg_receipt_time timestamp, latest_end_lsn string, latest_end_time timestamp",
     "xlog": "snapid bigint, location string, xlogfile string",
     "alert_message": "snapid bigint, message string",
+    "alert_state": "snapid bigint, instid bigint, kind string, dbid bigint, userid bigint, same string, n1 bigint, n2 bigint, x double",
     "archive": "snapid bigint, archived_count bigint, last_archived_wal string, last_archived_time timestamp, failed_count bigint, last_failed_wal string, last_failed_time timestamp, stats_reset timestamp",
     "rusage": f"snapid bigint, dbid bigint, userid bigint, queryid bigint, {_usage('plan')}, {_usage('exec')}",
     "ht_info": "snapid bigint, statements_dealloc bigint, statements_reset timestamp, wait_sampling_dealloc bigint, wait_sampling_reset timestamp, rusage_dealloc bigint, rusage_reset timestamp",
@@ -112,6 +113,10 @@ EVENT_TIME = {
 }
 DIMENSIONS = ("instance", "snapshot", "alert")
 CHANGE_ONLY = ("cpuinfo", "meminfo")
+# One batch per server, replaced with each of its snapshots: what alert rules need of the snapshot before.
+CARRIED = ("alert_state",)
+# Tables without folders by day and server.
+UNDATED = (*DIMENSIONS, *CHANGE_ONLY, *CARRIED)
 # Repository tables whose schema carries the partition date itself.
 DATED_FACTS = ("table", "index", "column")
 
@@ -133,7 +138,7 @@ def struct(name: str) -> T.StructType:
 def stored_struct(name: str) -> T.StructType:
     """Columns of a stored table with those of its folders."""
     schema = struct(name)
-    if name not in DIMENSIONS and name not in CHANGE_ONLY:
+    if name not in UNDATED:
         if "date" not in schema.names:
             schema = schema.add("date", "date")
         schema = schema.add("server", T.IntegerType())
@@ -155,4 +160,4 @@ def _columns(ddl: str) -> list[str]:
 
 def snapshot_facts() -> list[str]:
     """Tables keyed by ``snapid`` (everything that is not an event or a dimension)."""
-    return [t for t in DDL if t not in EVENT_TIME and t not in DIMENSIONS and t not in CHANGE_ONLY]
+    return [t for t in DDL if t not in EVENT_TIME and t not in UNDATED]

@@ -134,7 +134,7 @@ def compact(spark: SparkSession, root: str, table: str, before: date) -> list[st
     Such a day must be closed: no stream will write one of its batches again.  Facts of snapshots that are not published are left
     alone, as they may still be written.  The dimensions have no days and are gathered whole.
     """
-    if table in schemas.DIMENSIONS or table in schemas.CHANGE_ONLY:
+    if table in schemas.UNDATED:
         rewrite(spark, root, table)
         versions.vacuum(spark, root, table)
         return [table]

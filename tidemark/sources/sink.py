@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import schemas, versions
-from tidemark.plans.alerts import RULES, alerts, as_log_rows
+from tidemark.plans.alerts import RULES, alerts, as_log_rows, carried_state, state_batch
 from tidemark.repository import Repository, _exists, server_of, utc_day
 
 # facts kept only for databases that the snapshot knows
@@ -176,6 +176,8 @@ def append_snapshot(
     found = _judge(spark, root, row, snapid, rules)
     append_fact(found, root, "alert_message", day, instid, batch)
     repo = Repository(spark, {"snapshot": row}, path=root)
+    state = conform(carried_state(repo, snapid, instid), "alert_state").withColumn("batch", F.lit(state_batch(instid)))
+    versions.write(state.coalesce(1), root, "alert_state")  # in place of the one before
     stored = repo.at("alert_message", snapid)  # from its own folder
     if alerts_to_log:
         shown = Repository(spark, {"snapshot": row})
