@@ -107,3 +107,23 @@ def test_discounts():
     assert all(r < good[r] < r + 1 for r in range(1, K)) or all(0 < g < r for r, g in enumerate(good, 1))
     assert all(0 < g < r for r, g in enumerate(katz.discounted(np.array([3, 0, 2, 0, 0, 1])), 1))
     assert all(0 < g < r for r, g in enumerate(katz.discounted(np.zeros(6)), 1))
+
+
+@pytest.mark.parametrize("count", [3, 60_000, 70_000, 1 << 20])
+def test_frequent_words_are_bounded_and_never_none(spark, count):
+    """Many words of one high count: no more than the limit come to the driver, and the most frequent always do."""
+    words = spark.range(5000).selectExpr("id * 7919 + 11 AS h", f"CAST({count} + IF(id < 10, 9, 0) AS BIGINT) AS c")
+    uni = katz.unigrams(words, hot=1000, top=64)
+    assert 64 <= len(uni.hot) <= 1064 and uni.top.sum() == 64
+    assert {i * 7919 + 11 for i in range(10)} <= set(uni.hot[uni.top].tolist())
+    assert (uni.total, uni.types) == (5000 * count + 90, 5000)
+    assert (np.diff(uni.hot.astype(np.int64)) > 0).all()
+
+
+def test_document_rows_are_spread_over_buckets(spark):
+    """Runs of many tasks reach all buckets, whatever the number of buckets."""
+    docs = spark.createDataFrame([(i, "a b c", False) for i in range(200)], "doc_id long, text string, held boolean").repartition(200)
+    uni = katz.unigrams(katz.word_counts(docs))
+    for buckets in (64, 128):
+        rows = docs.mapInArrow(katz._packer(uni, buckets), katz._IN.format(kind="bigint")).where("place >= 0")
+        assert rows.select("bucket").distinct().count() > buckets // 3

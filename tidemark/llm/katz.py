@@ -102,17 +102,34 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def unigrams(words: DataFrame, hot: int = HOT, top: int = TOP) -> Unigrams:
-    """Totals, discounts and the frequent words: all of at least the count that ``hot`` words reach."""
+    """Totals, discounts and the frequent words: all of at least the count that ``hot`` words reach.
+
+    Counts are told apart up to 65 536 and by powers of two beyond, so the histogram is bounded.  Where so many words share the
+    first count that it alone passes ``hot``, a part of them by hash is taken; the ``top`` most frequent always are.
+    """
     cap = 1 << 16
-    histogram = words.groupBy(F.least("c", F.lit(cap)).alias("c")).agg(F.count("*").alias("n"), F.sum("c").alias("t")).collect()
-    by = {r.c: r.n for r in histogram}  # 65 536 rows at most
+    step = F.when(F.col("c") <= cap, F.col("c")).otherwise(F.expr("shiftleft(1L, CAST(floor(log2(c)) AS INT))"))
+    rows = words.withColumn("step", step)
+    histogram = rows.groupBy("step").agg(F.count("*").alias("n"), F.sum("c").alias("t")).collect()
+    by = {r.step: r.n for r in histogram}  # 65 536 rows and one for each power of two at most
     total, types = sum(r.t for r in histogram), sum(by.values())
-    seen, least = 0, cap + 1
+    seen, least = 0, None
     for c in sorted(by, reverse=True):
         if seen + by[c] > hot:
             break
         seen, least = seen + by[c], c
-    table = words.where((F.col("c") >= least) & (F.col("h") != int(END))).toArrow()  # ``hot`` rows at most
+    some = words.where(F.col("h") != int(END))
+    if least is not None:
+        taken = some.where(F.col("c") >= least)  # ``hot`` rows at most
+    elif by:
+        first = max(by)
+        part = F.pmod(F.xxhash64("h"), F.lit(by[first])) < hot * 9 // 10
+        taken = rows.where((F.col("h") != int(END)) & (F.col("step") == first) & part).select("h", "c").limit(hot)
+    else:
+        taken = some.limit(0)
+    if least is None or seen < top:
+        taken = taken.select("h", "c").union(some.orderBy(F.desc("c"), "h").limit(top).select("h", "c")).distinct()
+    table = taken.toArrow()  # ``hot`` + ``top`` rows at most
     h, c = table["h"].to_numpy().view(np.uint64), table["c"].to_numpy()
     order = np.argsort(h)
     h, c = h[order], c[order]
@@ -189,6 +206,10 @@ def _packer(uni: Unigrams, buckets: int):
             )
         return n + 1, known, base, score, blobs
 
+    def home(run_: int) -> int:
+        """Bucket that carries a run's document rows."""
+        return int(mixed(np.array([run_], dtype=np.uint64))[0] % spread)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         held_rows: list[tuple] = []
@@ -202,7 +223,7 @@ def _packer(uni: Unigrams, buckets: int):
             ids = pa.array([i for _, _, i in held_rows], kinds[0])
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate((np.full(d, run_ % buckets), np.fromiter(blobs, np.int64, b))).astype(np.int32)),
+                    pa.array(np.concatenate((np.full(d, home(run_)), np.fromiter(blobs, np.int64, b))).astype(np.int32)),
                     pa.array(np.full(d + b, run_, dtype=np.int64)),
                     pa.array(np.concatenate((np.arange(d), np.full(b, -1))).astype(np.int32)),
                     pa.concat_arrays([ids, none(b, kinds[0])]),
@@ -401,32 +422,43 @@ def _merger(star: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = np.concatenate(([0.0], np.log10(star)))
-        held: dict[int, list] = {}
-        for batch in batches:
-            kind, runs = batch.column("kind").to_numpy(), batch.column("run").to_numpy()
-            for r in np.unique(runs).tolist():
-                sums = held.setdefault(r, [np.zeros(DOCS), np.zeros(DOCS), np.zeros(DOCS, np.int64), []])
-                for i in np.flatnonzero((runs == r) & (kind == _PART)).tolist():
-                    doc, c, times, some, s, few, base, known = parts(batch.column("blob")[i].as_py())
-                    sums[0] += np.bincount(doc, times * logs[c], DOCS) if len(doc) else 0
-                    sums[0] += np.bincount(some, s, DOCS) if len(some) else 0
-                    np.add.at(sums[1], few, base)
-                    np.add.at(sums[2], few, known.astype(np.int64))
-                docs = batch.filter(pa.array((runs == r) & (kind == _DOC)))
-                if len(docs):
-                    sums[3].append(docs)
-        for r, (s, base, known, docs) in held.items():
+        now, sums, docs = None, [], []
+
+        def flush():
+            s, base, known = sums
             for d in docs:
                 at = d.column("place").to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array((np.int64(r) << 16) + at), d.column("doc_id"), d.column("held"), d.column("n_tokens"),
+                        pa.array((np.int64(now) << 16) + at), d.column("doc_id"), d.column("held"), d.column("n_tokens"),
                         pa.array(d.column("known").to_numpy() + known[at]), pa.array(d.column("base").to_numpy() + base[at]),
                         pa.array(d.column("score").to_numpy() + s[at]),
                     ],
                     ["rid", "doc_id", "held", "n_tokens", "n_known", "base_score", "score"],
                 )
 
+        for batch in batches:
+            kind, runs = batch.column("kind").to_numpy(), batch.column("run").to_numpy()
+            # rows of a run are neighbours: its sums go when the next one begins
+            edges = np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1], [True]))) if len(runs) else []
+            for low, high in zip(edges[:-1], edges[1:]):
+                if now != runs[low]:
+                    if now is not None:
+                        yield from flush()
+                    now, sums, docs = int(runs[low]), [np.zeros(DOCS), np.zeros(DOCS), np.zeros(DOCS, np.int64)], []
+                for i in (low + np.flatnonzero(kind[low:high] == _PART)).tolist():
+                    doc, c, times, some, s, few, base, known = parts(batch.column("blob")[i].as_py())
+                    sums[0] += np.bincount(doc, times * logs[c], DOCS) if len(doc) else 0
+                    sums[0] += np.bincount(some, s, DOCS) if len(some) else 0
+                    np.add.at(sums[1], few, base)
+                    np.add.at(sums[2], few, known.astype(np.int64))
+                mine = batch.slice(low, high - low)
+                mine = mine.filter(pa.array(kind[low:high] == _DOC))
+                if len(mine):
+                    docs.append(mine)
+        if now is not None:
+            yield from flush()
+
     return run
 
 
@@ -476,7 +508,7 @@ def scores(docs: DataFrame, hot: int = HOT, top: int = TOP, bucket: int = BUCKET
     )
     extra = extra.groupBy("rid").agg(F.sum("x").alias("x"))
     parts = counted.where(F.col("kind").isin(_DOC, _PART)).select("kind", "run", "place", "doc_id", "held", "n_tokens", "known", "base", "score", "blob")
-    merged = parts.repartition("run").mapInArrow(
+    merged = parts.repartition("run").sortWithinPartitions("run").mapInArrow(
         _merger(star), f"rid long, doc_id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double"
     )
     out = merged.join(extra, "rid", "left")
