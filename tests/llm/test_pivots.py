@@ -1,9 +1,13 @@
 """Pivot-permutation index against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.test_simhash import brute_components
+from pyspark.sql import functions as F
+
+from tidemark.llm import pivots
 from tidemark.llm.pivots import near_duplicates
 
 SCHEMA = "vec_id long, embedding array<float>, label int, pivot string, n_links string"
@@ -90,3 +94,35 @@ def test_links_inside_a_hot_group_of_near_copies(spark):
 
 def test_helper_components():
     assert brute_components([1, 2, 3], [0, 1, 255], 2) == {1: 1, 2: 1, 3: 3}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.8])
+def test_vectors_that_share_a_direction(spark, share):
+    """40 000 vectors of a given mean cosine: planted near pairs are linked, and few pairs are compared."""
+    rng = np.random.default_rng(8)
+    n, d, planted = 40_000, 64, 1500
+    axis = rng.normal(size=d)
+    x = np.sqrt(share) * axis / np.linalg.norm(axis) + np.sqrt((1 - share) / d) * rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    of = rng.choice(n, planted, replace=False)
+    e = rng.normal(size=(planted, d))
+    e -= (e * x[of]).sum(axis=1, keepdims=True) * x[of]
+    near = 0.945 * x[of] + np.sqrt(1 - 0.945**2) * e / np.linalg.norm(e, axis=1, keepdims=True)
+    rows = np.vstack([x, near]).astype(np.float32)
+    table = pa.table({"vec_id": np.arange(len(rows)), "embedding": pa.array(list(rows), pa.list_(pa.float32())), "label": np.zeros(len(rows), dtype=np.int64)})
+    frame = spark.createDataFrame(table).repartition(8)
+    got = {r.vec_id: r.component_id for r in pivots.near_duplicates(frame).collect()}
+    assert np.mean([got[n + i] == got[int(b)] for i, b in enumerate(of)]) >= 0.97
+    classes = frame.select(F.col("vec_id").alias("rep"), F.lit(1).alias("copies"), "label", F.col("embedding").cast("array<double>").alias("vector"))
+    points = pivots.reference_points(classes, len(rows))
+    described = next(iter(pivots._describe(points, pivots.DEPTH)(iter([classes.limit(6000).toArrow().combine_chunks().to_batches()[0]]))))
+    has = np.zeros((len(described), len(points[d][1])), dtype=np.float32)
+    np.put_along_axis(has, np.array(described.column("near").to_pylist()), 1, axis=1)
+    assert (has[:500] @ has.T >= pivots.SHARED).mean() < 0.05
+
+
+def test_tiny_and_huge_numbers(spark):
+    rows = [(1, [1e-200, 2e-200], "a"), (2, [1e-199, 2e-199], "a"), (3, [1e200, 2e200], "a"), (4, [2e-200, -1e-200], "a"), (5, [5e-324, 0.0], "b"), (6, [1.0, 0.0], "b")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_duplicates(frame).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5)}

@@ -16,7 +16,8 @@ from tidemark.llm.graph import components, unite
 MAX_PIVOTS = 1024  # reference points of one dimension at most: chosen from the bounded sample the index is fitted on
 SPARE = 4  # sampled vectors per reference point wanted, since those near a chosen one are skipped
 PER_PIVOT = 40  # vectors per reference point aimed at
-DEPTH = 12  # nearest reference points that describe a vector
+DEPTH = 16  # nearest reference points that describe a vector
+NEAREST = 0.35  # cosine from the centre up to which reference points never count as close to each other
 SHARED = 2  # reference points two vectors must share to be compared
 LIST = 2048  # members of an inverted list handled at once
 
@@ -26,35 +27,63 @@ def _finite(column: str):
     return F.col(column).isNotNull() & ~bad & F.exists(column, lambda x: x != 0)
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1 (zero stays zero), whatever the size of their numbers."""
+    v = v / np.maximum(np.abs(v).max(axis=1, keepdims=True), np.finfo(np.float64).tiny)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def _spread(v: np.ndarray, close: float, most: int) -> list[int]:
+    """Unit rows of which no two have a cosine of ``close`` or more, ``most`` at most."""
+    chosen, taken = [], np.zeros(len(v), dtype=bool)
+    for i in range(len(v)):
+        if not taken[i] and len(chosen) < most:
+            chosen.append(i)
+            taken |= v @ v[i] >= close
+    return chosen
+
+
+def _spacing(v: np.ndarray, centre: np.ndarray, cosine: float) -> float:
+    """Cosine, seen from the centre, from which on a sampled vector is too close to a chosen point.
+
+    That is twice the link radius there, as long as it is closer than most pairs are.
+    """
+    width = float(((v - centre) ** 2).sum(axis=1).mean())
+    radius = 1 - (1 - cosine) / width if width > 0 else 1.0
+    half = len(v) // 2
+    pairs = _unit(v[: min(half, 512)] - centre) @ _unit(v[half : half + 512] - centre).T
+    most = float(np.quantile(pairs, 0.88)) if pairs.size else 0.0  # a third of near copies is a ninth of the pairs
+    twice, usual = 2 * radius**2 - 1 if radius > 0 else -1.0, 2 * cosine**2 - 1
+    return max(twice, min(max(most, NEAREST), max(usual, NEAREST)))
+
+
 def reference_points(
     vectors: DataFrame, n: int, limit: int = MAX_PIVOTS, per_pivot: int = PER_PIVOT, cosine: float = 0.93
-) -> dict[int, np.ndarray]:
-    """Unit reference points by dimension, from the vectors whose hashed id comes first.
+) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Centre and unit reference points by dimension, from the vectors whose hashed id comes first.
 
-    Their number follows the number of vectors up to ``limit``.  A vector within twice the link radius of a chosen point
-    is skipped, so a group of near copies has one point however many rows it holds: were the points as dense as
+    Vectors are seen from the sample's mean: embeddings often share a direction, which would make all of them neighbours of the
+    same points.  The points' number follows the number of vectors up to ``limit``.  A vector too close to a chosen point
+    is skipped, so a group of near copies has few points however many rows it holds: were the points as dense as
     the rows, its members would be told apart by noise and share none.  A dimension that the sample misses uses the axes.
     """
     wanted = int(min(limit, max(4 * DEPTH, n // per_pivot)))
-    close = max(2 * cosine**2 - 1, 0.5)  # cosine of twice the angle, of 60 degrees at most
     sample = vectors.orderBy(F.xxhash64("rep"), "rep").limit(SPARE * wanted).select("vector").toArrow()
-    found: dict[int, np.ndarray] = {}
+    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     rows = pa.concat_arrays(sample.column("vector").chunks) if sample.num_rows else pa.array([], pa.list_(pa.float64()))
     sizes = np.diff(rows.offsets.to_numpy())
     flat, at = rows.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
     for d in np.unique(sizes).tolist():
-        v = flat[at[sizes == d][:, None] + np.arange(d)].astype(np.float64)
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        chosen, taken = [], np.zeros(len(v), dtype=bool)
-        for i in range(len(v)):
-            if not taken[i] and len(chosen) < wanted:
-                chosen.append(i)
-                taken |= v @ v[i] >= close
-        found[d] = v[chosen]
+        v = _unit(flat[at[sizes == d][:, None] + np.arange(d)].astype(np.float64))
+        apart = v[_spread(v, cosine, len(v))]  # near copies count once, or a hot group would be the centre
+        centre = apart.mean(axis=0) if len(apart) > 4 * DEPTH else np.zeros(d)
+        close = _spacing(apart, centre, cosine)
+        v = _unit(v - centre)
+        found[d] = centre, v[_spread(v, close, wanted)]
     return found
 
 
-def _describe(pivots: dict[int, np.ndarray], depth: int):
+def _describe(pivots: dict[int, tuple[np.ndarray, np.ndarray]], depth: int):
     """Adds to each vector its nearest reference points, nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,9 +95,9 @@ def _describe(pivots: dict[int, np.ndarray], depth: int):
             near: list = [None] * len(sizes)
             for d in np.unique(sizes):
                 rows = np.flatnonzero(sizes == d)
-                points = pivots.get(int(d), np.eye(int(d), dtype=np.float64)[: MAX_PIVOTS])
+                centre, points = pivots.get(int(d), (np.zeros(int(d)), np.eye(int(d), dtype=np.float64)[:MAX_PIVOTS]))
                 for some in np.array_split(rows, ceil(len(rows) / 2048)):
-                    close = flat[at[some][:, None] + np.arange(d)] @ points.T
+                    close = _unit(_unit(flat[at[some][:, None] + np.arange(d)].astype(np.float64)) - centre) @ points.T
                     k = min(depth, len(points))
                     first = np.argpartition(-close, k - 1, axis=1)[:, :k]
                     order = np.argsort(-np.take_along_axis(close, first, axis=1), axis=1, kind="stable")
@@ -116,8 +145,7 @@ def _links(shared: int, cosine: float):
             if b - a < 2:
                 continue
             local = np.arange(b - a)
-            v = np.array([vectors[i] for i in range(a, b)], dtype=np.float64)
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            v = _unit(np.array([vectors[i] for i in range(a, b)], dtype=np.float64))
             p = np.array([near[i] for i in range(a, b)])
             c = chunk[a:b]
             left = local[c == low[a]]
@@ -160,7 +188,7 @@ def near_duplicates(
     """Links between vectors of one label: ``vec_id, n_links, component_id, kept`` for ``vectors(vec_id, embedding, label)``.
 
     Every vector is described by its ``depth`` nearest reference points (cosine; a bounded sample supplies
-    at most ``limit`` points of a dimension, spread beyond twice the link radius) and entered into the inverted list of each, by label.  Vectors that
+    at most ``limit`` points of a dimension, spread beyond the link radius, and their centre) and entered into the inverted list of each, by label.  Vectors that
     share ``shared`` points or more are candidates; their cosine is then computed in double precision.
     Lists beyond ``size`` members are cut into chunks that meet pairwise, so no task holds more than two.
 
