@@ -43,16 +43,25 @@ def classify_backend(wait_event_type: Column, state: Column) -> Column:
     )
 
 
+def clients(backends: DataFrame) -> DataFrame:
+    return backends.where(is_client(F.col("backend_type"), F.col("is_sampler")))
+
+
+def sample_counts() -> list[Column]:
+    """Backends of one sample by state."""
+    state = classify_backend(F.col("wait_event_type"), F.col("state"))
+    return [*[F.count_if(state == s).alias(s) for s in STATES], F.count(F.lit(1)).alias("backends")]
+
+
+def window_counts() -> list[Column]:
+    """Counts of the samples of one window."""
+    return [*[F.sum(s).alias(s) for s in STATES], F.max("backends").alias("max_backends")]
+
+
 def activity_rollup(backends: DataFrame, width: str = SNAPSHOT_WINDOW) -> DataFrame:
     """Summed state counts and the largest number of backends in one sample."""
-    clients = backends.where(is_client(F.col("backend_type"), F.col("is_sampler")))
-    state = classify_backend(F.col("wait_event_type"), F.col("state"))
-    per_sample = clients.groupBy(window_start(width).alias("snap_start"), "instid", "sampled_at").agg(
-        *[F.count_if(state == s).alias(s) for s in STATES], F.count(F.lit(1)).alias("backends")
-    )
-    return per_sample.groupBy("snap_start", "instid").agg(
-        *[F.sum(s).alias(s) for s in STATES], F.max("backends").alias("max_backends")
-    )
+    per_sample = clients(backends).groupBy(window_start(width).alias("snap_start"), "instid", "sampled_at").agg(*sample_counts())
+    return per_sample.groupBy("snap_start", "instid").agg(*window_counts())
 
 
 def long_xact_rollup(
@@ -143,16 +152,19 @@ RUSAGE_KEY = ["instid", "dbid", "userid", "queryid"]
 _USAGE = ("reads", "writes", "user_time", "system_time", "minflts", "majflts", "nvcsws", "nivcsws")
 
 
-def rusage_rollup(executions: DataFrame, width: str | None = SNAPSHOT_WINDOW, by_level: bool = True) -> DataFrame:
-    """Resource use per query, split into planning and execution; blocks become bytes."""
-    when = [] if width is None else [window_start(width).alias("snap_start")]
-    level = ["toplevel"] if by_level else []
-
+def usage_totals() -> list[Column]:
     def total(kind: str, c: str) -> Column:
         value = F.col(c) * SECTOR_BYTES if c in ("reads", "writes") else F.col(c)
         return F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0)).alias(f"{kind}_{c}")
 
-    return executions.groupBy(*when, *RUSAGE_KEY, *level).agg(*[total(k, c) for k in ("plan", "exec") for c in _USAGE])
+    return [total(k, c) for k in ("plan", "exec") for c in _USAGE]
+
+
+def rusage_rollup(executions: DataFrame, width: str | None = SNAPSHOT_WINDOW, by_level: bool = True) -> DataFrame:
+    """Resource use per query, split into planning and execution; blocks become bytes."""
+    when = [] if width is None else [window_start(width).alias("snap_start")]
+    level = ["toplevel"] if by_level else []
+    return executions.groupBy(*when, *RUSAGE_KEY, *level).agg(*usage_totals())
 
 
 def _clip(text: Column, limit: Column) -> Column:
