@@ -12,14 +12,24 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_LOCAL: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Without one a session of a single process (tests) uses a temporary folder; on a cluster executors would not see
+    each other's files there, so it must be named.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    folder = tempfile.mkdtemp(prefix="llm-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="llm-"))
+    return _LOCAL[0]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -207,7 +207,7 @@ def _packer(uni: Unigrams, buckets: int):
         return n + 1, known, base, score, blobs
 
     def home(run_: int) -> int:
-        """Bucket that carries a run's document rows."""
+        """Bucket of a run's first document row; the others follow in turn, as no bucket needs them."""
         return int(mixed(np.array([run_], dtype=np.uint64))[0] % spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +223,7 @@ def _packer(uni: Unigrams, buckets: int):
             ids = pa.array([i for _, _, i in held_rows], kinds[0])
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate((np.full(d, home(run_)), np.fromiter(blobs, np.int64, b))).astype(np.int32)),
+                    pa.array(np.concatenate(((home(run_) + np.arange(d)) % buckets, np.fromiter(blobs, np.int64, b))).astype(np.int32)),
                     pa.array(np.full(d + b, run_, dtype=np.int64)),
                     pa.array(np.concatenate((np.arange(d), np.full(b, -1))).astype(np.int32)),
                     pa.concat_arrays([ids, none(b, kinds[0])]),
