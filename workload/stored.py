@@ -14,9 +14,19 @@ from workload.oracle import B, E, big, full
 from workload.registry import add
 
 
+_LOCAL: list[str] = []
+
+
 def _root(spark) -> str:
-    """A new folder in the shared folder that the cluster names; a temporary one where none is set (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stored-")
+    """A new folder in the shared folder that the cluster names; a temporary one only where one process runs all (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="stored-"))
+        shared = _LOCAL[0]
     return f"{shared.rstrip('/')}/repo-{uuid.uuid4().hex}"
 
 
