@@ -22,7 +22,7 @@ HOT = 1 << 20  # frequent words known to every task at most
 TOP = 4096  # contexts whose pairs are spread over all buckets at most
 RUN = 1 << 22  # bytes of text packed together
 DOCS = 1 << 16  # documents packed together at most
-BUCKET = 2_000_000  # tokens of a bucket aimed at
+BUCKET = 1_200_000  # tokens of a bucket aimed at
 
 
 def discounted(n: np.ndarray) -> np.ndarray:
