@@ -1,8 +1,8 @@
 """Reports of many servers in one job.
 
 The scopes are a frame ``(instid, begin, end)``, one row per server, as :func:`tidemark.plans.catalogue.report_scope_by_snapid`
-gives them.  Facts meet their servers' endpoints by one join, and the folders to open follow from the scopes while
-the job runs (dynamic partition pruning), so neither plans nor driver work grow with the number of servers.
+gives them.  Facts meet their servers' endpoints by one join, and a dynamic filter on folders is planned (it does
+not prune yet, see README), so neither plans nor driver work grow with the number of servers.
 """
 
 from __future__ import annotations
