@@ -94,3 +94,57 @@ def test_rusage_stream(spark, tmp_path, by_level):
     files = spread(rng, rows, 6) + [[(9, 1, 1, 1, True, "plan", FAR, *[0] * len(samples._USAGE))]]
     got = streamed(spark, tmp_path, USAGE, files, lambda df: rollups.rusage_stream(df, by_level=by_level))
     same(got, samples.rusage_rollup(spark.createDataFrame(rows, USAGE), by_level=by_level), FAR)
+
+
+SESSIONS = "instid long, client string, pid long, xact_start timestamp, sampled_at timestamp, backend_type string, state string, query string, in_vacuum boolean"
+
+
+def test_long_xact_stream(spark, tmp_path):
+    rng, rows = random.Random(5), []
+    for i in (1, 2):
+        for pid in range(30):
+            at = T0 + timedelta(seconds=rng.randrange(300))
+            while at < T0 + timedelta(hours=1):
+                end = at + timedelta(seconds=rng.choice([0.5, 20, 400, 900]))
+                for n in range(120):
+                    seen = T0 + timedelta(seconds=30 * n)
+                    if at <= seen < end:
+                        rows.append((i, rng.choice([None, "h"]) if pid < 3 else f"c{pid}", pid, at, seen, rng.choice(["client backend"] * 9 + ["walwriter"]),
+                                     rng.choice(["active", "idle in transaction"]), f"q{seen}", rng.random() < 0.1))
+                at = end + timedelta(seconds=rng.randrange(1, 200))
+    files = spread(rng, rows, 4) + [[(9, "x", 1, T0, FAR, "client backend", "active", "q", False)], [(9, "x", 1, T0, FAR + timedelta(days=1), "client backend", "active", "q", False)]]
+    got = streamed(spark, tmp_path, SESSIONS, files, lambda df: rollups.long_xact_stream(df, keep=4))
+    same(got, samples.long_xact_rollup(spark.createDataFrame(rows, SESSIONS), keep=4), FAR)
+
+
+WAITS = "instid long, dbid long, userid long, queryid long, backend_type string, event_type string, event string, sampled_at timestamp"
+
+
+def _waits(rng):
+    rows = [
+        (rng.choice([1, 2]), 1, rng.choice([None, 7]), rng.choice([None, 1, 2**60 + 1]), rng.choice(["client backend", None]), "Lock", rng.choice(["a", "b", None]), T0 + timedelta(seconds=rng.randrange(7200)))
+        for _ in range(900)
+    ]
+    rows += [(3, 1, 1, 1, "x", "IO", "rare", T0 + timedelta(minutes=m)) for m in (1, 61)]
+    return rows, spread(rng, rows, 7) + [[(9, 1, 1, 1, "x", "IO", "end", FAR)]]
+
+
+@pytest.mark.parametrize("keep", [True, False])
+def test_wait_stream(spark, tmp_path, keep):
+    rows, files = _waits(random.Random(6))
+    got = streamed(spark, tmp_path, WAITS, files, lambda df: rollups.wait_stream(df, keep_queries=keep))
+    same(got, samples.wait_profile(spark.createDataFrame(rows, WAITS), keep_queries=keep), FAR)
+
+
+def test_wait_stream_repeats_totals(spark, tmp_path):
+    rows, files = _waits(random.Random(7))
+    last = T0 + timedelta(hours=3)
+    files[-1] = [(9, 1, 1, 1, "x", "IO", "end", last + timedelta(minutes=2))]
+    got = streamed(spark, tmp_path, WAITS, files, lambda df: rollups.wait_stream(df, every_window=True)).collect()
+    want = {}
+    for r in rows:
+        if r[6] is not None:
+            n = int((r[7] - T0).total_seconds() // 600)
+            for w in range(n, 18):
+                want[(T0 + timedelta(minutes=10 * w), *r[:7])] = want.get((T0 + timedelta(minutes=10 * w), *r[:7]), 0) + 1
+    assert len(got) == len(want) and {tuple(r)[:8]: r["count"] for r in got} == want

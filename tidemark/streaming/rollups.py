@@ -7,10 +7,13 @@ in order of time, so samples may come late and shuffled by as much as the waterm
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,3 +154,128 @@ def cpu_overflow_stream(marks: DataFrame, lateness: str = LATENESS) -> DataFrame
 
     timed = marks.withWatermark("sampled_at", lateness).select("instid", "snapid", "sampled_at", *counters)
     return timed.groupBy("instid").applyInPandasWithState(run, out, HOLD, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def long_xact_stream(
+    backends: DataFrame,
+    width_seconds: int = WINDOW_SECONDS,
+    keep: int = samples.LONG_TRANSACTIONS_KEPT,
+    lateness: str = LATENESS,
+) -> DataFrame:
+    """Twin of ``samples.long_xact_rollup``: the ``keep`` longest transactions of each window, as last seen in it.
+
+    State of a server: the samples the watermark has not passed and, per open window, the transactions of its latest
+    sample and the ``keep`` longest of those that were gone by then.  One that comes back leaves the ended ones; its
+    time has only grown, so whatever it pushed out stays out.
+    """
+    out = T.StructType.fromDDL("snap_start timestamp, instid bigint, client string, pid bigint, start timestamp, duration double, query string")
+    width = width_seconds * 1_000_000
+
+    def rank(entry: list) -> tuple:
+        name, at, _ = entry
+        client, pid, start = name
+        return start - at, (pid is not None, pid or 0), start, (client is not None, client or "")
+
+    def fold(held: dict, at: int, seen: list[list]) -> None:
+        window = held["open"].setdefault(str(at // width * width), {"running": [], "ended": []})
+        now = {tuple(name): [name, at, query] for _, name, query in sorted(seen, key=lambda r: (r[2] is not None, r[2] or ""))}
+        gone = [e for e in window["running"] + window["ended"] if tuple(e[0]) not in now]
+        window["running"], window["ended"] = list(now.values()), sorted(gone, key=rank)[:keep]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, watermark = _load(state), state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            for rows in batches:
+                times, starts = _micros(rows["sampled_at"]), _micros(rows["xact_start"])
+                for at, start, client, pid, query in zip(times, starts, rows["client"], rows["pid"], rows["query"], strict=True):
+                    pid = None if pid is None or pid != pid else int(pid)
+                    held["waiting"].append([at, [client, pid, start], query])
+        ready = _released(held, watermark)
+        for at, seen in itertools.groupby(ready, key=lambda r: r[0]):
+            fold(held, at, list(seen))
+        done = []
+        for w in sorted(int(w) for w in held["open"] if int(w) + width <= watermark):
+            window = held["open"].pop(str(w))
+            for (client, pid, start), at, query in sorted(window["running"] + window["ended"], key=rank)[:keep]:
+                done.append((pd.Timestamp(w, unit="us"), key[0], client, pid, pd.Timestamp(start, unit="us"), (at - start) / 1e6, query))
+        ends = [int(w) + width for w in held["open"]] + [r[0] for r in held["waiting"]]
+        if ends:
+            _save(state, held, min(ends))
+        elif state.exists:
+            state.remove()
+        if done:
+            frame = pd.DataFrame(done, columns=out.names)
+            frame["pid"] = frame["pid"].astype("Int64")
+            yield frame
+
+    timed = samples.long_running(backends.withWatermark("sampled_at", lateness))
+    timed = timed.select("instid", "client", F.col("pid").cast("bigint").alias("pid"), "xact_start", "sampled_at", samples.shown_query().alias("query"))
+    return timed.groupBy("instid").applyInPandasWithState(run, out, HOLD, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def wait_stream(
+    waits: DataFrame,
+    width_seconds: int = WINDOW_SECONDS,
+    lateness: str = LATENESS,
+    keep_queries: bool = True,
+    every_window: bool = False,
+) -> DataFrame:
+    """Twin of ``samples.wait_profile``: running totals per key, once for each window that adds to them.
+
+    Samples are counted per window and batch of rows before they are shuffled, so a busy key sends few rows.
+    ``every_window`` also repeats the total of a key at the end of each later window without a sample of it.  State: one
+    entry per key ever seen (its total, its last window and the counts of windows still open), some 200 bytes.
+    """
+    key = T.StructType.fromDDL("instid bigint, dbid bigint, userid bigint, queryid bigint, backend_type string, event_type string, event string")
+    counted = T.StructType([*key.fields, *T.StructType.fromDDL("snap_start bigint, sampled_at timestamp, n bigint").fields])
+    out = T.StructType([T.StructField("snap_start", T.TimestampType()), *key.fields, T.StructField("count", T.LongType())])
+    width = width_seconds * 1_000_000
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = pc.cast(batch["sampled_at"], pa.int64())
+            start = pc.multiply(pc.divide(at, width), width)
+            table = pa.Table.from_batches([batch]).append_column("snap_start", start)
+            table = table.group_by([*key.names, "snap_start"]).aggregate([("sampled_at", "max"), ([], "count_all")])
+            table = table.rename_columns({"sampled_at_max": "sampled_at", "count_all": "n"}).select(counted.names)
+            yield from table.to_batches()
+
+    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"n": 0, "last": None, "open": {}}
+        watermark = state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            for rows in batches:
+                for start, n in zip(rows["snap_start"], rows["n"], strict=True):
+                    # a window that has come out takes no more samples
+                    if held["last"] is None or start > held["last"]:
+                        held["open"][str(start)] = held["open"].get(str(start), 0) + int(n)
+        done: list[tuple[int, int]] = []
+
+        def fill(until: int) -> None:
+            while every_window and held["last"] is not None and held["last"] + width < until:
+                held["last"] += width
+                done.append((held["last"], held["n"]))
+
+        for start in sorted(int(w) for w in held["open"] if int(w) + width <= watermark):
+            fill(start)
+            held["n"], held["last"] = held["n"] + held["open"].pop(str(start)), start
+            done.append((start, held["n"]))
+        fill(watermark // width * width)
+        ends = [int(w) + width for w in held["open"]]
+        if every_window and held["last"] is not None:
+            ends.append(held["last"] + 2 * width)
+        _save(state, held, min(ends) if ends else None)
+        if done:
+            frame = pd.DataFrame({"snap_start": [pd.Timestamp(w, unit="us") for w, _ in done]})
+            for field, value in zip(key.fields, name, strict=True):
+                kind = object if isinstance(field.dataType, T.StringType) else "Int64"
+                frame[field.name] = pd.Series([None if value != value else value] * len(done), dtype=kind)
+            frame["count"] = [n for _, n in done]
+            yield frame
+
+    waiting = waits.where(F.col("event").isNotNull() & F.col("sampled_at").isNotNull())
+    if not keep_queries:
+        waiting = waiting.withColumn("queryid", F.lit(0))
+    waiting = waiting.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in key.fields], "sampled_at")
+    timed = waiting.mapInArrow(count, counted).withWatermark("sampled_at", lateness)
+    return timed.groupBy(*key.names).applyInPandasWithState(run, out, HOLD, "append", GroupStateTimeout.EventTimeTimeout)

@@ -64,21 +64,31 @@ def activity_rollup(backends: DataFrame, width: str = SNAPSHOT_WINDOW) -> DataFr
     return per_sample.groupBy("snap_start", "instid").agg(*window_counts())
 
 
-def long_xact_rollup(
-    backends: DataFrame, width: str = SNAPSHOT_WINDOW, keep: int = LONG_TRANSACTIONS_KEPT
-) -> DataFrame:
-    """Longest transactions per snapshot with their last seen duration and query."""
-    duration = (F.unix_micros("sampled_at") - F.unix_micros("xact_start")) / F.lit(1e6)
-    query = F.when(F.col("state") == "idle in transaction", F.lit(IDLE_QUERY)).otherwise(F.col("query"))
-    running = backends.where(
+def _xact_seconds() -> Column:
+    return (F.unix_micros("sampled_at") - F.unix_micros("xact_start")) / F.lit(1e6)
+
+
+def long_running(backends: DataFrame) -> DataFrame:
+    """Backends whose transaction has been open long enough."""
+    return backends.where(
         (F.col("backend_type") == "client backend")
         & F.col("xact_start").isNotNull()
-        & (duration >= LONG_TRANSACTION_SECONDS)
+        & (_xact_seconds() >= LONG_TRANSACTION_SECONDS)
         & ~F.coalesce(F.col("in_vacuum"), F.lit(False))
     )
-    last = running.groupBy(
+
+
+def shown_query() -> Column:
+    return F.when(F.col("state") == "idle in transaction", F.lit(IDLE_QUERY)).otherwise(F.col("query"))
+
+
+def long_xact_rollup(
+    backends: DataFrame, width: str = SNAPSHOT_WINDOW, keep: int = LONG_TRANSACTIONS_KEPT
+) -> DataFrame:
+    """Longest transactions per snapshot with their last seen duration and query."""
+    last = long_running(backends).groupBy(
         window_start(width).alias("snap_start"), "instid", "client", "pid", F.col("xact_start").alias("start")
-    ).agg(F.max_by(duration, "sampled_at").alias("duration"), F.max_by(query, "sampled_at").alias("query"))
+    ).agg(F.max_by(_xact_seconds(), "sampled_at").alias("duration"), F.max_by(shown_query(), "sampled_at").alias("query"))
     order = Window.partitionBy("snap_start", "instid").orderBy(F.desc("duration"), "pid", "start")
     return last.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep).drop("_n")
 
