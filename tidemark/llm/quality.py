@@ -4,33 +4,38 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
 
-BITS = 4  # leading bits kept of a sketched value: a quantile is at most 1/16 below the value
+BITS = 6  # leading bits kept of a sketched value: a quantile is at most 1/64 below the value
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Fence around the middle of a group: ``spread`` quartile ranges, and ``slack`` at least."""
+    """Fence around a group: its ``at`` per mille quantile and ``spread`` times its distance from the median.
+
+    With ``low`` the opposite quantile fences below in the same way.
+    """
 
     metric: str
     value: str  # SQL over the base counts, a non-negative integer
-    slack: int
+    at: int = 900
+    spread: int = 5
     low: bool = False
-    high: bool = True
 
 
+GRACE = 3  # symbols that say nothing about a rate: what chance gives a text whose group has none
+#: Symbols and odd words mark junk, which may be some percent of a group, so the fences start at the outer tenth;
+#: repeats are a long tail of good texts, so theirs start at the last hundredth.
 RULES = (
-    Rule("word_length", "word_chars * 100 DIV nullif(n_words, 0)", 150, low=True),
-    Rule("symbols", "n_symbols * 1000 DIV nullif(word_chars, 0)", 60),
-    Rule("dup_lines", "n_dup_lines * 1000 DIV nullif(n_words, 0)", 20),
-    Rule("repeats", "n_repeat_words * 1000 DIV nullif(n_words, 0)", 300),
+    Rule("word_length", "word_chars * 100 DIV nullif(n_words, 0)", low=True),
+    Rule("symbols", f"greatest(n_symbols - {GRACE}, 0) * 1000 DIV nullif(word_chars, 0)"),
+    Rule("dup_lines", "n_dup_lines * 1000 DIV nullif(n_words, 0)", 990, 3),
+    Rule("repeats", "n_repeat_words * 1000 DIV nullif(n_words, 0)", 990, 3),
 )
-SPREAD = 3  # quartile ranges beyond the quartiles
 LEAST = 100  # documents a group needs for thresholds of its own
 
 
@@ -74,7 +79,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def bucket(value: str) -> str:
-    """SQL of the sketch bucket of a non-negative integer: exact below 16, then its five leading bits."""
+    """SQL of the sketch bucket of a non-negative integer: exact below 64, then its seven leading bits."""
     shift = f"(length(bin({value})) - {BITS + 1})"
     return (
         f"CASE WHEN {value} < {1 << BITS} THEN {value} "
@@ -109,11 +114,12 @@ def sketches(counts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return rows.groupBy("lang_key", "source_key", "metric", "bucket").agg(F.count("*").alias("n"))
 
 
-def thresholds(sketch: DataFrame, rules: tuple[Rule, ...] = RULES, spread: int = SPREAD, least: int = LEAST) -> DataFrame:
+def thresholds(sketch: DataFrame, rules: tuple[Rule, ...] = RULES, least: int = LEAST) -> DataFrame:
     """Fences ``lang_key, source_key, level, <metric>_low, <metric>_high`` of every group in the sketch.
 
     A group of fewer than ``least`` documents takes those of the merged sketch of its language, and one whose
-    language is small as well those of the sketch of all.
+    language is small as well those of the sketch of all.  The distance of quantile and median counts as a bucket's
+    width at least, since the sketch cannot tell less.
     """
     every = F.lit("*")
     by_lang = sketch.groupBy("lang_key", "metric", "bucket").agg(F.sum("n").alias("n"))
@@ -125,16 +131,22 @@ def thresholds(sketch: DataFrame, rules: tuple[Rule, ...] = RULES, spread: int =
     group = W.partitionBy("lang_key", "source_key", "metric")
     ranked = merged.withColumn("below", F.sum("n").over(group.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)))
     ranked = ranked.withColumn("total", F.sum("n").over(group))
+    marks = sorted({500, *(r.at for r in rules), *(1000 - r.at for r in rules if r.low)})
     fences = ranked.groupBy("lang_key", "source_key", "metric").agg(
         F.max("total").alias("docs"),
-        F.expr(bucket_floor("min(CASE WHEN below * 4 >= total THEN bucket END)")).alias("q1"),
-        F.expr(bucket_floor("min(CASE WHEN below * 4 >= total * 3 THEN bucket END)")).alias("q3"),
+        *[F.expr(bucket_floor(f"min(CASE WHEN below * 1000 >= total * {m} THEN bucket END)")).alias(f"q{m}") for m in marks],
     )
     ends = []
     for r in rules:
-        here, reach = F.col("metric") == r.metric, F.greatest((F.col("q3") - F.col("q1")) * spread, F.lit(r.slack))
-        ends.append(F.max(F.when(here, F.col("q1") - reach if r.low else F.lit(0))).cast("long").alias(f"{r.metric}_low"))
-        ends.append(F.max(F.when(here, F.col("q3") + reach)).cast("long").alias(f"{r.metric}_high"))
+        here, middle = F.col("metric") == r.metric, F.col("q500")
+
+        def end(mark: int, sign: int, r: Rule = r, here: Column = here, middle: Column = middle) -> Column:
+            edge = F.col(f"q{mark}")
+            reach = F.greatest(F.abs(edge - middle), F.shiftright(edge, BITS)) * r.spread
+            return F.max(F.when(here, edge + reach * sign)).cast("long")
+
+        ends.append((end(1000 - r.at, -1) if r.low else F.lit(0).cast("long")).alias(f"{r.metric}_low"))
+        ends.append(end(r.at, 1).alias(f"{r.metric}_high"))
     fences = fences.groupBy("lang_key", "source_key").agg(F.max("docs").alias("docs"), *ends)
     named = [f"{r.metric}_{e}" for r in rules for e in ("low", "high")]
     groups = fences.where("source_key <> '*'").select("lang_key", "source_key", "docs")
@@ -152,8 +164,7 @@ def thresholds(sketch: DataFrame, rules: tuple[Rule, ...] = RULES, spread: int =
 
 
 def quality(
-    docs: DataFrame, rules: tuple[Rule, ...] = RULES, spread: int = SPREAD, least: int = LEAST, min_words: int = 50,
-    max_repeat: int = 50,
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: int = LEAST, min_words: int = 50, max_repeat: int = 50
 ) -> DataFrame:
     """Verdicts ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, level`` by document.
 
@@ -167,7 +178,7 @@ def quality(
         "base_failed", F.expr(f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeat} * n_words")
     )
     counts = stored(counts, "counts")
-    fences = thresholds(sketches(counts, rules), rules, spread, least)
+    fences = thresholds(sketches(counts, rules), rules, least)
     joined = _keyed(counts).join(fences, ["lang_key", "source_key"], "left")
     fits = " AND ".join(f"({r.value}) BETWEEN {r.metric}_low AND {r.metric}_high" for r in rules)
     return joined.select(

@@ -29,21 +29,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
-def _op2_sql() -> str:
-    def text(sql: str) -> str:  # the same expressions in DuckDB's words
-        return sql.replace(" DIV ", " // ")
-
-    rules = quality.RULES
-    metrics = " UNION ALL ".join(
-        f"SELECT lk, sk, '{r.metric}' AS metric, {text(r.value)} AS v FROM counts WHERE NOT base_failed" for r in rules
-    )
-    ends = ", ".join(
-        f"max(CASE WHEN metric = '{r.metric}' THEN {f'q1 - greatest((q3 - q1) * {quality.SPREAD}, {r.slack})' if r.low else '0'} END) "
-        f"AS {r.metric}_low, max(CASE WHEN metric = '{r.metric}' THEN q3 + greatest((q3 - q1) * {quality.SPREAD}, {r.slack}) END) AS {r.metric}_high"
-        for r in rules
-    )
-    fits = " AND ".join(f"({text(r.value)}) BETWEEN {r.metric}_low AND {r.metric}_high" for r in rules)
-    return rf"""
+# A bucket is named here by the smallest value in it: the seven leading bits, the rest zero.
+_OP2_SQL = r'''
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 cut AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
                list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs),
@@ -59,27 +46,34 @@ base AS (SELECT c.rid, doc_id, coalesce('=' || lang, '-') AS lk, coalesce('=' ||
                 coalesce(v.n, 0) AS n_repeat_words
          FROM cut c LEFT JOIN cover v ON c.rid = v.rid),
 counts AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
-metrics AS ({metrics}),
-sketch AS (SELECT lk, sk, metric, {text(quality.bucket("v"))} AS bucket, count(*) AS n FROM metrics GROUP BY 1, 2, 3, 4),
-merged AS (SELECT * FROM sketch
-           UNION ALL SELECT lk, '*', metric, bucket, sum(n) FROM sketch GROUP BY lk, metric, bucket
-           UNION ALL SELECT '*', '*', metric, bucket, sum(n) FROM sketch GROUP BY metric, bucket),
-ranked AS (SELECT *, sum(n) OVER (PARTITION BY lk, sk, metric ORDER BY bucket) AS below,
-                  sum(n) OVER (PARTITION BY lk, sk, metric) AS total FROM merged),
-edge AS (SELECT lk, sk, metric, max(total) AS docs, min(CASE WHEN below * 4 >= total THEN bucket END) AS b1,
-                min(CASE WHEN below * 4 >= total * 3 THEN bucket END) AS b3 FROM ranked GROUP BY lk, sk, metric),
-quart AS (SELECT lk, sk, metric, docs, {text(quality.bucket_floor("b1"))} AS q1, {text(quality.bucket_floor("b3"))} AS q3 FROM edge),
-fences AS (SELECT lk, sk, max(docs) AS docs, {ends} FROM quart GROUP BY lk, sk),
-groups AS (SELECT g.lk, g.sk, CASE WHEN g.docs >= {quality.LEAST} THEN 2 WHEN l.docs >= {quality.LEAST} THEN 1 ELSE 0 END AS level
-           FROM fences g JOIN fences l ON g.lk = l.lk AND l.sk = '*' WHERE g.sk <> '*' AND g.lk <> '*'),
-chosen AS (SELECT g.lk, g.sk, g.level, f.* EXCLUDE (lk, sk, docs) FROM groups g JOIN fences f
-           ON f.lk = CASE WHEN level > 0 THEN g.lk ELSE '*' END AND f.sk = CASE WHEN level > 1 THEN g.sk ELSE '*' END)
+rules(metric, hi, lo, spread) AS (VALUES ('word_length', 0.9, 0.1, 5), ('symbols', 0.9, NULL, 5), ('dup_lines', 0.99, NULL, 3), ('repeats', 0.99, NULL, 3)),
+rates AS (SELECT rid, lk, sk, 'word_length' AS metric, word_chars * 100 // n_words AS v FROM counts WHERE NOT base_failed
+          UNION ALL SELECT rid, lk, sk, 'symbols', greatest(n_symbols - 3, 0) * 1000 // word_chars FROM counts WHERE NOT base_failed
+          UNION ALL SELECT rid, lk, sk, 'dup_lines', n_dup_lines * 1000 // n_words FROM counts WHERE NOT base_failed
+          UNION ALL SELECT rid, lk, sk, 'repeats', n_repeat_words * 1000 // n_words FROM counts WHERE NOT base_failed),
+rounded AS (SELECT lk, sk, metric, v - v % (CAST(1 AS BIGINT) << greatest(CAST(floor(log2(greatest(v, 1))) AS INTEGER) - 6, 0)) AS v FROM rates),
+spread_out AS (SELECT 2 AS level, lk AS of_l, sk AS of_s, metric, v FROM rounded
+               UNION ALL SELECT 1, lk, '*', metric, v FROM rounded UNION ALL SELECT 0, '*', '*', metric, v FROM rounded),
+middles AS (SELECT level, of_l, of_s, metric, count(*) AS docs, quantile_disc(v, 0.5) AS q50, quantile_disc(v, [0.1, 0.9, 0.99]) AS q
+            FROM spread_out GROUP BY ALL),
+edges AS (SELECT m.*, spread, CASE WHEN hi = 0.9 THEN q[2] ELSE q[3] END AS up, CASE WHEN lo IS NOT NULL THEN q[1] END AS down
+          FROM middles m JOIN rules USING (metric)),
+fences AS (SELECT level, of_l, of_s, metric, docs, up + spread * greatest(up - q50, up >> 6) AS high,
+                  coalesce(down - spread * greatest(q50 - down, down >> 6), 0) AS low FROM edges),
+sizes AS (SELECT DISTINCT level, of_l, of_s, docs FROM fences),
+groups AS (SELECT g.of_l AS lk, g.of_s AS sk, CASE WHEN g.docs >= 100 THEN 2 WHEN l.docs >= 100 THEN 1 ELSE 0 END AS level
+           FROM sizes g JOIN sizes l ON g.of_l = l.of_l AND g.level = 2 AND l.level = 1),
+judged AS (SELECT r.rid, bool_and(r.v BETWEEN f.low AND f.high) AS fits
+           FROM rates r JOIN groups g USING (lk, sk)
+           JOIN fences f ON f.level = g.level AND f.metric = r.metric AND f.of_l = CASE WHEN g.level > 0 THEN g.lk ELSE '*' END
+                            AND f.of_s = CASE WHEN g.level > 1 THEN g.sk ELSE '*' END
+           GROUP BY r.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       CASE WHEN base_failed THEN false ELSE coalesce({fits}, false) END AS kept, CAST(level AS BIGINT) AS level
-FROM counts c LEFT JOIN chosen h ON c.lk = h.lk AND c.sk = h.sk"""
+       coalesce(j.fits, false) AS kept, CAST(g.level AS BIGINT) AS level
+FROM counts c LEFT JOIN groups g USING (lk, sk) LEFT JOIN judged j USING (rid)'''
 
 
-@query("op2_quality_quantile_sketch", _op2_sql())
+@query("op2_quality_quantile_sketch", _OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -110,7 +104,8 @@ WITH caps AS (SELECT page_id, url, nullif(regexp_replace(lower(regexp_extract(ur
                      {_BASE} + CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 7) AS BIGINT) % {_YEAR} AS fetched FROM pages),
 named AS (SELECT DISTINCT host AS key, 4 AS n FROM caps WHERE host IS NOT NULL
           UNION SELECT DISTINCT regexp_replace(host, '^[^.]*\.', ''), 2 FROM caps WHERE host LIKE '%.%.%'
-          UNION SELECT DISTINCT host || '/' || lower(parts[1]), 3 FROM caps WHERE host IS NOT NULL AND len(parts) > 0),
+          UNION SELECT DISTINCT host || '/' || lower(parts[1]), 3 FROM caps WHERE host IS NOT NULL AND len(parts) > 0
+          UNION SELECT DISTINCT host || '/' || lower(array_to_string(parts, '/')), 2 FROM caps WHERE host IS NOT NULL AND len(parts) > 2),
 entries AS (SELECT key, {_BASE} + CAST('0x' || substr(md5(key || '#' || k), 1, 7) AS BIGINT) % {_YEAR} AS day,
                    ['block', 'none', 'allow', 'none', 'block'][1 + CAST('0x' || substr(md5(key || '!' || k), 1, 7) AS BIGINT) % 5] AS action
             FROM (SELECT key, unnest(range(n)) AS k FROM named)),
@@ -120,7 +115,7 @@ labels AS (SELECT *, string_split(host, '.') AS names FROM caps WHERE host IS NO
 doms AS (SELECT page_id, fetched, parts, array_to_string(names[i:], '.') AS dom
          FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM labels)),
 asked AS (SELECT DISTINCT page_id, fetched, dom || CASE WHEN j = 0 THEN '' ELSE '/' || lower(array_to_string(parts[:j], '/')) END AS key
-          FROM (SELECT *, unnest(range(0, least(len(parts), 2) + 1)) AS j FROM doms)),
+          FROM (SELECT *, unnest(range(0, len(parts) + 1)) AS j FROM doms)),
 hits AS (SELECT a.page_id, a.key, h.action, h.since, row_number() OVER (PARTITION BY a.page_id ORDER BY length(a.key) DESC, a.key) AS r
          FROM asked a JOIN held h ON a.key = h.key AND h.since <= a.fetched AND (h.until IS NULL OR a.fetched < h.until)
          WHERE h.action <> 'none')
@@ -129,7 +124,7 @@ FROM caps c LEFT JOIN hits h ON c.page_id = h.page_id AND h.r = 1"""
 
 
 def _captures_and_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Pages with a fetch time of their own, and a dated list on their hosts, parent domains and first path parts."""
+    """Pages with a fetch time of their own, and a dated list on their hosts, parent domains, first path parts and deep paths."""
     number = "CAST(conv(substr(md5({0}), 1, 7), 16, 10) AS BIGINT)"
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetched", F.expr(f"{_BASE} + {number.format('CAST(page_id AS STRING)')} % {_YEAR}"))
@@ -139,6 +134,7 @@ def _captures_and_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
         hosts.select(F.col("host").alias("key"), F.lit(4).alias("n"))
         .union(hosts.where("host LIKE '%.%.%'").select(F.regexp_replace("host", r"^[^.]*\.", ""), F.lit(2)))
         .union(hosts.where("size(parts) > 0").select(F.concat("host", F.lit("/"), F.lower(F.element_at("parts", 1))), F.lit(3)))
+        .union(hosts.where("size(parts) > 2").select(F.concat("host", F.lit("/"), F.lower(F.array_join("parts", "/"))), F.lit(2)))
         .distinct()
     )
     dated = named.select("key", F.explode(F.expr("sequence(0, n - 1)")).alias("k"))
