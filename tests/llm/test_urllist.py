@@ -75,3 +75,27 @@ def test_intervals_are_disjoint(spark):
     entries = [("K", 1, "block"), ("k", 1, "allow"), ("k", 5, "block"), ("k", 5, "block"), ("k", 9, "none"), ("k", 12, "warn")]
     got = sorted(map(tuple, urllist.intervals(spark.createDataFrame(entries, "key string, at long, action string")).collect()), key=str)
     assert got == [("k", "block", 1, 5), ("k", "block", 5, 9), ("k", "warn", 12, None)]
+
+
+def test_forms_of_keys(spark):
+    entries = [("b.com/", 1, "block"), ("http://C.com", 1, "block"), ("https://d.com./p//q/", 1, "block"), ("//", 1, "block"), ("", 1, "block"), ("/x", 1, "block")]
+    want = {"http://b.com/x": "b.com", "http://w.c.com": "c.com", "http://d.com/P/q/r": "d.com/p/q", "http://d.com/p": None, "http://x": None}
+    pages = [(i, url, 5, "", "", "") for i, url in enumerate(want)]
+    got = urllist.matched(spark.createDataFrame(pages, PAGES), spark.createDataFrame(entries, "key string, at long, action string")).collect()
+    assert {r.url: r.matched_key for r in got} == want
+
+
+@pytest.mark.parametrize("epochs", [2, 1024])
+def test_far_times_cost_no_epochs(spark, epochs, monkeypatch):
+    """One capture of the year 9999 adds its own epoch, not all between; wide epochs give the same verdicts."""
+    monkeypatch.setattr(urllist, "EPOCHS", epochs)
+    far = 253370764800
+    entries = [(f"h{i % 50}.com", i * DAY, ["block", "none", "allow"][i % 3]) for i in range(200)]
+    pages = [(i, f"http://h{i % 60}.com/", i * DAY // 2, "", "", "") for i in range(300)] + [(900, "http://h0.com", far, "", "", "")]
+    frame = spark.createDataFrame(pages, PAGES)
+    out = urllist.matched(frame, spark.createDataFrame(entries, "key string, at long, action string"))
+    got = {r.page_id: (r.matched_key, r.action, r.since) if r.matched_key else None for r in out.collect()}
+    assert got == {p[0]: brute(p[1], p[2], entries) for p in pages}
+    assert got[900] == ("h0.com", "block", 150 * DAY)
+    width, seen = urllist.occurring_epochs(frame, urllist.EPOCH)
+    assert len(seen) <= (2 if epochs == 2 else 7) and (width > urllist.EPOCH) == (epochs == 2)
