@@ -76,3 +76,21 @@ def test_rows_are_packed_once(spark):
             used += r["size"]
         assert len(caps) == 1 and caps <= {16, 64, 128} and used <= min(caps)
     assert packing.packed(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_fill_does_not_depend_on_the_session(spark):
+    """Few pieces are packed together however many shuffle partitions are set, and ids that are all null spread."""
+    rng = random.Random(8)
+    rows = [(None, f"t{i} " + "w " * int(rng.lognormvariate(5, 1)), "", "", "") for i in range(4000)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "300")
+        out = packing.packed(frame)
+        got = out.collect()
+        spread = [len(list(p)) for p in packing.packed(frame, block=500).rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    final = {r.sequence_id: r.sequence_length for r in got}
+    assert len(got) == 4000 and sum(r["size"] for r in got) / sum(final.values()) > 0.99
+    assert len(spread) == 8 and max(spread) < 2 * min(spread)

@@ -11,10 +11,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import n_words
+from tidemark.llm.common import n_words, stored
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 BLOCK = 8192  # pieces packed together at most
+BLOCKS = 64  # blocks of one task in large tables
 #: Cost of a sequence of c words: a fixed part, its words, and attention growing with the square.
 FIXED, SQUARE = 64.0, 1 / 16384
 
@@ -57,10 +58,11 @@ def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> tuple[list[i
 
 
 def pieces(docs: DataFrame, longest: int) -> DataFrame:
-    """``doc_id, n_words, piece, start, size``: documents cut every ``longest`` words; a wordless one is a piece of size 0."""
-    rows = docs.select("doc_id", n_words(F.col("text").cast("string")).alias("n_words"))
+    """``doc_id, n_words, h, piece, start, size`` (``h``: hash of id and text): documents cut every ``longest`` words; a wordless one is a piece of size 0."""
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", n_words(text).alias("n_words"), F.xxhash64("doc_id", text).alias("h"))
     cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n_words") - 1) / longest)).cast("int"))
-    rows = rows.select("doc_id", "n_words", F.explode(cuts).alias("piece"))
+    rows = rows.select("doc_id", "n_words", "h", F.explode(cuts).alias("piece"))
     start = F.col("piece").cast("long") * longest
     return rows.withColumn("start", start).withColumn("size", F.least(F.lit(longest).cast("long"), F.col("n_words") - F.col("start")))
 
@@ -69,8 +71,9 @@ def packed(docs: DataFrame, lengths: Sequence[int] = LENGTHS, block: int = BLOCK
     """Where each piece of ``docs(doc_id, text)`` goes: ``doc_id, piece, start, size, sequence_id, offset, sequence_length``.
 
     Sizes are words.  Texts longer than the largest permitted length are cut into pieces (``start`` is a piece's
-    first word); the others stay whole.  Pieces are spread by a hash over partitions and packed in blocks of ``block``
-    at most, so a task's memory is bounded however many rows share an id.  ``sequence_id`` names partition,
+    first word); the others stay whole.  Pieces are spread by a hash of id and text over as many partitions as there are
+    blocks (``parts``: other than that), so texts that share an id do not meet, and packed in blocks of ``block`` at most, so a
+    task's memory is bounded however many rows are equal.  ``sequence_id`` names partition,
     block and bin.  Null and empty texts are pieces of size 0 and take no room; rows without an id are packed; repeated
     rows are packed each; extra columns are ignored; an empty table gives an empty result.
     """
@@ -100,8 +103,12 @@ def packed(docs: DataFrame, lengths: Sequence[int] = LENGTHS, block: int = BLOCK
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     if parts is None:
-        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(max(1, parts), F.xxhash64("doc_id", "piece")).sortWithinPartitions("doc_id", "piece", "size")
+        rows = stored(rows.select("doc_id", "piece", "start", "size", "h"), "pieces")
+        blocks = -(-rows.count() // block)
+        # a task packs one block, and many only when there would be far more tasks than shuffle partitions
+        parts = min(blocks, max(-(-blocks // BLOCKS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = rows.repartition(max(1, parts), F.xxhash64("h", "piece")).sortWithinPartitions("doc_id", "piece", "size", "h")
+    rows = rows.select("doc_id", "piece", "start", "size")
     return rows.mapInArrow(
         run, f"doc_id {kind}, piece int, start long, size long, sequence_id long, offset long, sequence_length long"
     )
