@@ -72,3 +72,15 @@ def test_kmeans_separates():
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     c = langid.spherical_kmeans(v, 3)
     assert sorted(c.argmax(axis=1).tolist()) == [0, 1, 2]
+
+
+def test_one_text_of_an_id_and_every_language(spark):
+    """Repeated ids add one text each, a language beyond the sample's size still has a centroid, one group limit finds all."""
+    docs = [d[:3] for d in corpus(90)]
+    frame = spark.createDataFrame(docs + [(docs[0][0], docs[0][1] + "z", docs[0][2])] * 500, "doc_id long, text string, lang string")
+    once = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.train(frame.repartition(5), sample=3000)
+    assert model.languages == ["aa", "bb", "cc"]
+    few = langid.train(once, sample=2, centroids=1)
+    assert few.languages == ["aa", "bb", "cc"] and len(few.owner) == 3
+    assert langid.train(once.where("doc_id IS NULL")).languages == []

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.llm.common import held_out, stored
 
@@ -145,9 +146,10 @@ def spherical_kmeans(v: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
 def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, slack: float = 0.1) -> Model:
     """Learn from ``docs(doc_id, text, lang)``; rows without language or letters teach nothing.
 
-    Document frequencies come from all texts.  Centroids are fitted on a bounded sample: those of each language
-    whose hashed id comes first, ``sample`` texts in all.  A language rejects texts farther from its nearest centroid than
-    the farthest of its sample and ``slack`` more; short texts are allowed more.
+    Document frequencies come from all texts.  Centroids are fitted on a bounded sample: of each language the ids
+    whose hash comes first, ``sample`` in all but at least one a language; of an id's texts in that language the least.
+    A language rejects texts farther from its nearest centroid than the farthest of its sample and ``slack`` more;
+    short texts are allowed more.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     docs = docs.where("text IS NOT NULL AND lang IS NOT NULL AND lang <> 'und'")
@@ -167,15 +169,21 @@ def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, sla
     df = np.array([tally[i] for i in range(DIMENSIONS)])
     idf = np.log((1 + tally[-1]) / (1 + df)) + 1
 
-    names = sorted(r.lang for r in docs.groupBy("lang").count().collect())  # one row per language
-    share = max(1, sample // len(names))
-    picked = None
-    for name in names[:sample]:
-        some = docs.where(F.col("lang") == name).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(share)
-        picked = some if picked is None else picked.union(some)
-    # at most ``sample`` ids
-    texts = stored(docs.join(F.broadcast(picked.distinct()), "doc_id"), "sample").select("lang", "text")
-    model = Model(names, np.zeros(0, int), np.zeros((0, DIMENSIONS)), idf, np.zeros(0))
+    named = docs.where("doc_id IS NOT NULL")
+    n_languages = named.agg(F.count_distinct("lang")).first()[0]
+    if not n_languages:
+        return Model([], np.zeros(0, int), np.zeros((0, DIMENSIONS)), idf, np.zeros(0))
+    share = max(1, sample // n_languages)
+    # all languages in one scan; each task passes on its first ``share`` ids of a language only (group limit)
+    turn = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = named.select("lang", "doc_id").distinct().withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= share)
+    picked = picked.drop("_turn")
+    if n_languages <= sample:
+        picked = F.broadcast(picked)  # ``sample`` rows at most; more languages are joined by shuffle
+    # one text of each id, the least, so repeated ids do not grow the sample
+    texts = named.join(picked, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    texts = stored(texts, "sample").select("lang", "text")
+    model = Model([], np.zeros(0, int), np.zeros((0, DIMENSIONS)), idf, np.zeros(0))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,13 +193,13 @@ def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, sla
                 raw = pa.array([x.astype(np.float32).tobytes() for x in v[ok]], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(start, len(some)).take(pa.array(ok)), raw], ["lang", "v"])
 
-    rows = texts.mapInArrow(vectors, "lang string, v binary").collect()  # ``sample`` vectors, but for repeated ids
+    rows = texts.mapInArrow(vectors, "lang string, v binary").collect()  # ``share`` vectors a language at most
     by: dict[str, list[bytes]] = {}
     for r in rows:
         by.setdefault(r.lang, []).append(bytes(r.v))
     languages, owner, found, radius = [], [], [], []
     for name in sorted(by):
-        v = np.array([np.frombuffer(x, dtype=np.float32) for x in sorted(by[name])[: 2 * share]], dtype=np.float64)
+        v = np.array([np.frombuffer(x, dtype=np.float32) for x in sorted(by[name])], dtype=np.float64)
         c = spherical_kmeans(v, centroids)
         radius.append((1 - (v @ c.T).max(axis=1)).max() + slack)
         owner += [len(languages)] * len(c)
