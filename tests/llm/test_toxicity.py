@@ -79,3 +79,14 @@ def test_risk_is_corrected():
     assert 1 / (1 + np.exp(-(w[0] + b))) == pytest.approx(want, abs=0.08)
     want = prior * (1 - inside) / (prior * (1 - inside) + (1 - prior) * (1 - outside))
     assert 1 / (1 + np.exp(-b)) == pytest.approx(want, abs=0.05)
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    docs, labels, _ = corpus(200)
+    schema = "doc_id long, text string"
+    once = [d[:2] for d in docs]
+    again = once + [(i, t + " zzz") for i, t in once[:50]] * 20
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one = toxicity.train(spark.createDataFrame(once, schema), marks)
+    two = toxicity.train(spark.createDataFrame(again, schema).repartition(5), marks)
+    assert one.known.tolist() == two.known.tolist() and np.allclose(one.weights, two.weights) and one.prior == two.prior

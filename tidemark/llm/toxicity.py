@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     """Fit on ``docs(doc_id, text)``: toxic ones in ``labels(doc_id, toxic)`` against texts taken without their labels.
 
     The class prior is the share of toxic rows among all labelled documents given.  The texts fitted on are those
-    whose hashed id comes first, ``positives`` and ``unlabelled`` at most.  A feature is weighed if it is in 3 or more toxic texts (and 1 in 75), half
+    whose hashed id comes first, ``positives`` and ``unlabelled`` at most, and of an id's texts the least.  A feature is weighed if it is in 3 or more toxic texts (and 1 in 75), half
     as often again as in unlabelled ones; the ``size`` clearest are taken.  Weight decay falls with the number of toxic texts.  Without a toxic row the model has no feature
     and scores everything 0.
     """
@@ -130,7 +130,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         marked.orderBy("turn", "doc_id").limit(unlabelled).select("doc_id", F.lit(False))
     )
     # at most positives + unlabelled ids, by the limits above
-    picked = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample").select("p", "text")
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # one text of each id, the least, so repeated ids do not grow the sample
+    picked = stored(picked.groupBy("doc_id", "p").agg(F.min("text").alias("text")), "sample").select("p", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
