@@ -125,8 +125,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST,
     for r in sums:
         sizes[r["_source"]][r["_block"]] = r["size"]
     plan = spark.createDataFrame(draw(sizes, target, shards, seed), "_source int, _block int, _whole int, _part long, shards array<int>")
-    # at most ``blocks`` rows and one per source
-    rows = rows.join(F.broadcast(plan), ["_source", "_block"], "left")
+    if len(known) <= blocks:
+        plan = F.broadcast(plan)  # ``2 * blocks`` rows at most; with more sources joined by shuffle
+    rows = rows.join(plan, ["_source", "_block"], "left")
     # the one block of each source that is taken in part: words before a document, in hash order
     order = W.partitionBy("_source", "_block").orderBy("_order", "_turn", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     partial = F.coalesce(F.col("_part"), F.lit(0)) > 0
