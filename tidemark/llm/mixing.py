@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.common import n_words
+from tidemark.llm.common import n_words, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0  # times its size a source may be taken
@@ -106,7 +106,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST,
     rows = docs.select(*kept).withColumn("size", n_words(F.col("text").cast("string")))
     rows = rows.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")))
     rows = rows.withColumn("_turn", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    totals = rows.groupBy("_key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.first("source", True).alias("source")).collect()
+    # the words of every text, counted once for both sums below
+    counted = stored(rows.select("_key", "_turn", "size", "source"), "sizes")
+    totals = counted.groupBy("_key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.first("source", True).alias("source")).collect()
     # one row per source; null is '-', which no other key equals
     totals.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be", "surrogatepass")))
     n = sum(r.n for r in totals)
@@ -119,8 +121,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST,
     sources = spark.createDataFrame(known, "_key string, _source int, _blocks int, source_size long, target double")
     if len(known) <= blocks:
         sources = F.broadcast(sources)  # ``blocks`` rows at most; more sources are joined by shuffle
-    rows = rows.join(sources, "_key", "left").withColumn("_block", F.pmod("_turn", F.col("_blocks")).cast("int"))
-    sums = rows.groupBy("_source", "_block").agg(F.sum("size").alias("size")).collect()
+    block = F.pmod("_turn", F.col("_blocks")).cast("int")
+    rows = rows.join(sources, "_key", "left").withColumn("_block", block)
+    sums = counted.join(sources, "_key").withColumn("_block", block).groupBy("_source", "_block").agg(F.sum("size").alias("size")).collect()
     sizes = [[0] * c for c in count]
     for r in sums:
         sizes[r["_source"]][r["_block"]] = r["size"]
