@@ -174,10 +174,12 @@ def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, sla
     if not n_languages:
         return Model([], np.zeros(0, int), np.zeros((0, DIMENSIONS)), idf, np.zeros(0))
     share = max(1, sample // n_languages)
-    # all languages in one scan; each task passes on its first ``share`` ids of a language only (group limit)
-    turn = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = named.select("lang", "doc_id").distinct().withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= share)
-    picked = picked.drop("_turn")
+    # all languages in one scan; a hot language is ranked in eight parts, whose first ``share`` ids are ranked together
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    picked = named.select("lang", "doc_id").distinct().withColumn("_part", F.pmod(F.hash("doc_id"), F.lit(8)))
+    for keys in (["lang", "_part"], ["lang"]):
+        picked = picked.withColumn("_turn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_turn") <= share)
+    picked = picked.select("lang", "doc_id")
     if n_languages <= sample:
         picked = F.broadcast(picked)  # ``sample`` rows at most; more languages are joined by shuffle
     # one text of each id, the least, so repeated ids do not grow the sample
