@@ -65,3 +65,44 @@ def test_commands_can_be_left_out(spark):
     assert histories(rows, spark)[1, 1] == "BEGIN;SELECT 1;savepoint a;beginning;COMMIT;"
     assert histories(rows, spark, record_commands=False)[1, 1] == "SELECT 1;beginning;"
     assert histories(rows[:0], spark) == {}
+
+
+def plain_transactions(rows):
+    """Number of the transaction of every statement, session by session."""
+    out, sessions = [], {}
+    for instid, pid, at, query in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[3] is not None, r[3] or "")):
+        word = " ".join((query or "").lower().rstrip(";").split())
+        if word.startswith(("savepoint", "release", "start transaction", "rollback to", "rollback work to")):
+            continue
+        own = sessions.setdefault((instid, pid), [0, False])
+        if word == "begin":
+            own[:] = [own[0] + 1, True]
+        elif word in ("commit", "rollback", "end", "prepare transaction 'x'", "rollback prepared 'x'"):
+            own[1] = False
+        elif not own[1]:
+            own[0] += 1
+        out.append((instid, pid, at, query, own[0]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("width", [1, 7, 50, 10_000])
+def test_transactions_equal_plain_scan(spark, width):
+    rng = random.Random(width)
+    words = ["BEGIN", " begin ;", "COMMIT", "Rollback;", "END", "PREPARE TRANSACTION 'x'", "rollback prepared 'x'", "SAVEPOINT a",
+             "rollback work to a", "ROLLBACK TO a", "release a", "START TRANSACTION", "beginning", "commits", "", None, "select 1", "x", "y"]
+    rows = [(1, i % 5, rng.randrange(120), rng.choice(words)) for i in range(300)]
+    rows += [(1, 99, i // 2, rng.choice(words[12:] if i % 90 else words)) for i in range(2500)]  # a hot session, long without a command
+    rows += [(None, 7, None, "BEGIN"), (None, 7, 3, "a"), (None, 7, 3, "b"), (None, 7, 90, "COMMIT"), (None, 7, 91, "c"), (2, 1, 5, "COMMIT")]
+    frame = spark.createDataFrame(rows, "instid long, pid long, executed_at long, query string").repartition(3)
+    got = samples.with_transactions(frame.withColumn("xact", frame.pid), width=width).collect()
+    assert sorted(map(tuple, got), key=str) == plain_transactions(rows)
+    assert samples.with_transactions(frame.limit(0)).collect() == []
+
+
+def test_histories_from_raw_statements(spark):
+    rows = [(1, 1, i, q) for i, q in enumerate(["a", "BEGIN", "b", "savepoint s", "c", "COMMIT", "d", "ROLLBACK"])]
+    raw = spark.createDataFrame(rows, "instid long, pid long, executed_at long, query string")
+    timed = raw.withColumn("executed_at", raw.executed_at.cast("timestamp"))
+    for frame in (raw, timed):
+        got = samples.xact_query_history(samples.with_transactions(frame, width=3_000_000))
+        assert {r.xact: r.queries for r in got.collect()} == {1: "a;", 2: "BEGIN;b;c;COMMIT;", 3: "d;ROLLBACK;"}

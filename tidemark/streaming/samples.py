@@ -187,6 +187,63 @@ def _clip(text: Column, limit: Column) -> Column:
 _COMMANDS = r"(?i)^\s*(begin|start\s+transaction|commit|end|rollback|abort|savepoint|release|prepare\s+transaction)\b"
 
 
+# What opens a transaction, what ends one, and what a session's history passes over.
+_OPENS = r"(?i)^\s*begin\b"
+_ENDS = r"(?i)^\s*(commit|end|abort|rollback|prepare\s+transaction)\b"
+_PASSED = r"(?i)^\s*(savepoint|release|start\s+transaction|rollback\s+((work|transaction)\s+)?to)\b"
+CHUNK_MICROS = 3600 * 1_000_000
+
+
+def with_transactions(
+    statements: DataFrame, session: Sequence[str] = ("instid", "pid"), order: str = "executed_at", width: int = CHUNK_MICROS
+) -> DataFrame:
+    """Raw statements with the number ``xact`` of their transaction in the session, as :func:`xact_query_history` wants it.
+
+    BEGIN opens a transaction, and so does every other statement outside of one, for itself alone.  An end of a transaction belongs
+    to the last one opened (0: none yet).  Savepoint commands and START TRANSACTION neither open nor end
+    one and are left out.  NULL times come first, ties in ``order`` follow the text, NULL before empty; a
+    column ``xact`` is replaced.
+
+    Sessions are cut into chunks of ``width`` (microseconds of a timestamp, units of a number).  A session runs one
+    statement after another, so a chunk is bounded by what one process does in that time however long the session
+    lasts.  A chunk counts what it opens for sure and, before its first command, what it opens if the
+    session came in outside a transaction; one row per chunk carries state and number on.
+    """
+    text = F.coalesce(F.col("query"), F.lit(""))
+    at = F.col(order)
+    if statements.schema[order].dataType.typeName().startswith("timestamp"):
+        at = F.unix_micros(at.cast("timestamp"))
+    rows = statements.drop("xact").where(~text.rlike(_PASSED))
+    columns = rows.columns
+    mark = F.when(text.rlike(_OPENS), True).when(text.rlike(_ENDS), False)  # whether a transaction is open afterwards
+    rows = rows.withColumn("_chunk", F.floor(at / width)).withColumn("_mark", mark)
+    turn = Window.partitionBy(*session, "_chunk").orderBy(F.col(order).asc_nulls_first(), text, F.col("query").asc_nulls_first())
+    before, upto = turn.rowsBetween(Window.unboundedPreceding, -1), turn.rowsBetween(Window.unboundedPreceding, 0)
+    state = F.last("_mark", True).over(before)
+    plain = F.col("_mark").isNull()
+    sure = F.coalesce(F.col("_mark"), ~F.col("_state"), F.lit(False))  # BEGIN, or known to be outside
+    rows = rows.withColumn("_state", state)
+    rows = rows.withColumn("_sure", sure.cast("long")).withColumn("_maybe", (plain & F.col("_state").isNull()).cast("long"))
+    last = F.when(~plain, F.struct(F.col(order).isNotNull(), order, text))
+    chunks = rows.groupBy(*session, "_chunk").agg(
+        F.sum("_sure").alias("n"), F.sum("_maybe").alias("m"), F.max_by("_mark", last).alias("mark")
+    )
+    earlier = Window.partitionBy(*session).orderBy(F.col("_chunk").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_open", F.coalesce(F.last("mark", True).over(earlier), F.lit(False)))
+    opened = F.col("n") + F.when(F.col("_open"), 0).otherwise(F.col("m"))
+    chunks = chunks.select(
+        *[F.col(k).alias(f"_c_{k}") for k in [*session, "_chunk"]],
+        "_open",
+        F.coalesce(F.sum(opened).over(earlier), F.lit(0)).alias("_before"),
+    )
+    same = F.lit(True)
+    for k in [*session, "_chunk"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
+    rows = rows.withColumn("_n", F.sum("_sure").over(upto)).withColumn("_m", F.sum("_maybe").over(upto))
+    number = F.col("_before") + F.col("_n") + F.when(F.col("_open"), 0).otherwise(F.col("_m"))
+    return rows.join(chunks, same).select(*columns, number.cast("long").alias("xact"))
+
+
 def xact_query_history(
     statements: DataFrame,
     keys: Sequence[str] = ("instid", "pid", "xact"),

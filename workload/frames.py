@@ -461,6 +461,10 @@ F["x_queries"] = """
 SELECT 1 + o_custkey % 2 AS instid, o_custkey AS pid, EXTRACT(YEAR FROM o_orderdate) AS xact, o_orderkey AS executed_at,
        CONCAT('UPDATE t SET a = ', CAST(o_orderkey AS STRING), REPEAT('x', CAST(o_orderkey % 140 AS INT)), CASE WHEN o_orderstatus = 'F' THEN ';' ELSE '' END) AS query
 FROM orders"""
+F["x_statements"] = """
+SELECT instid, pid % 53 AS pid, executed_at,
+       CASE WHEN executed_at % 11 = 0 THEN 'BEGIN' WHEN executed_at % 13 = 5 THEN 'COMMIT' WHEN executed_at % 29 = 3 THEN 'savepoint s' ELSE query END AS query
+FROM x_queries"""
 
 # --- catalogs ----------------------------------------------------------------
 F["c_databases"] = """

@@ -211,6 +211,15 @@ WITH l AS (SELECT instid, pid, CAST(xact AS BIGINT) AS xact, list(query ORDER BY
 SELECT instid, pid, xact, list_reduce(qs, lambda a, q: a || CASE WHEN length(q) <= {_ROOM} THEN CASE WHEN q LIKE '%;' THEN q ELSE q || ';' END
        WHEN {_ROOM} > 4 THEN left(q, {_ROOM} - 4) || '...;' ELSE '' END, '') AS queries FROM l""",
 )
+add(
+    "statement_transactions",
+    lambda r: samples.with_transactions(r.table("x_statements"), width=9999).select("instid", "pid", "executed_at", "query", "xact"),
+    """
+WITH s AS (SELECT *, CASE WHEN query = 'BEGIN' THEN 1 WHEN query = 'COMMIT' THEN 0 END AS mark FROM x_statements WHERE query <> 'savepoint s'),
+     t AS (SELECT *, COALESCE(LAST_VALUE(mark IGNORE NULLS) OVER (PARTITION BY instid, pid ORDER BY executed_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS state FROM s)
+SELECT instid, pid, executed_at, query, CAST(SUM(CASE WHEN mark = 1 OR (mark IS NULL AND state = 0) THEN 1 ELSE 0 END)
+       OVER (PARTITION BY instid, pid ORDER BY executed_at) AS BIGINT) AS xact FROM t""",
+)
 add(
     "chunked_previous",
     lambda r: delta.with_previous(r.table("x_rel"), ["instid", "tbl"], ["n", "p"], scope_length=None, chunk=7).select(
