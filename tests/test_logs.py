@@ -188,3 +188,52 @@ def test_one_stream_to_several_sinks(spark, folder, tmp_path):
     assert query.awaitTermination(120)
     assert spark.read.text(out["errors"]).count() == 0
     assert spark.read.text(out["everything"]).where("value LIKE '%relation missing'").count() == 1
+
+
+@pytest.fixture
+def pieces_of(spark):
+    """Cut files into pieces of so many bytes; the settings are put back."""
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    kept = [spark.conf.get(n) for n in names]
+
+    def cut(size):
+        spark.conf.set(names[0], str(size))
+        spark.conf.set(names[1], "0")
+
+    yield cut
+    for n, v in zip(names, kept):
+        spark.conf.set(n, v)
+
+
+def same_rows(a, b):
+    return sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+@pytest.mark.parametrize("size", [61, 333, 1 << 20])
+def test_large_files_are_read_in_pieces(spark, tmp_path, pieces_of, size):
+    texts = ['say "hi"\nthere', "\n\n\n", '"', '""\n"', "a,b", "line\n\n" * 9, "'", 'x\n"broken,record\n', " \t"]
+    path = tmp_path / "instid=4"
+    path.mkdir()
+    for name, n in (("a.csv", 9), ("b.csv", 1), ("c.csv", 4)):
+        with open(path / name, "w", newline="") as f:
+            writer = csv.writer(f, lineterminator="\n")
+            for i in range(n):
+                row = record(i, message=texts[i % len(texts)], detail=texts[(i * 5 + 2) % len(texts)], username="u")
+                writer.writerow([row[c] for c in FIELDS])
+                f.write("broken,record\n" if i % 3 == 1 else "\n" if i % 4 == 2 else "")
+    (path / "empty.csv").write_text("")
+    whole = logfile.read_csvlog(spark, str(path))
+    assert whole.count() == 14
+    whole = whole.collect()
+    pieces_of(size)
+    got = logfile.read_large_csvlog(spark, str(path))
+    assert got.columns == schemas.column_names("log")
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole))
+    assert got.select("pid").count() == 14 and got.where("message LIKE '%broken%'").count() == sum("broken" in (r.message or "") for r in whole)
+
+
+def test_pieces_equal_whole_files(spark, folder, log, pieces_of):
+    pieces_of(200)
+    assert logfile.read_large_csvlog(spark, folder).rdd.getNumPartitions() > 1
+    assert same_rows(logfile.read_large_csvlog(spark, folder), log)
+    assert same_rows(logfile.read_large_csvlog(spark, folder, 9).select("instid").distinct(), spark.sql("SELECT 9L AS instid"))

@@ -211,7 +211,7 @@ add(
 # --- files ----------------------------------------------------------------------
 
 
-def _csvlog(r):
+def _csvlog(r, read):
     """The log as CSV files in the server's format, one folder per server."""
     root, log = _root(r.spark), r.table("log")
     fields = []
@@ -223,11 +223,12 @@ def _csvlog(r):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss z")
         fields.append(c.cast("string").alias(f))
     log.select("instid", *fields).write.partitionBy("instid").option("escape", '"').option("quoteAll", "true").csv(root)
-    return logfile.read_csvlog(r.spark, root)
+    return read(r.spark, root)
 
 
 _LOG = ["instid", "username", "database", "pid", "session_line_num", "elevel", "message", "user_query", "query_pos"]
-add("csvlog_round_trip", lambda r: _csvlog(r).select(*_LOG), f"SELECT {_sql('log', _LOG)} FROM log")
+add("csvlog_round_trip", lambda r: _csvlog(r, logfile.read_csvlog).select(*_LOG), f"SELECT {_sql('log', _LOG)} FROM log")
+add("csvlog_pieces_round_trip", lambda r: _csvlog(r, logfile.read_large_csvlog).select(*_LOG), f"SELECT {_sql('log', _LOG)} FROM log")
 
 
 def _bulk(r):
